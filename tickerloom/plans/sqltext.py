@@ -2,11 +2,21 @@
 
 from tickerloom.functions.conditions import CLASS_IDS, NEUTRAL_IDS
 from tickerloom.functions.slices import AUCTIONS, COUNTED, EXTENDED
-from tickerloom.plans.tapes import BASKETS, EVENT_TAPE_SQL, LINE_TAPE_SQL, SYMBOLS
+from tickerloom.plans.tapes import (
+    BASKETS,
+    EVENT_TAPE_SQL,
+    LINE_TAPE_SQL,
+    SYMBOLS,
+    WIDE_SYMBOLS,
+)
 from tickerloom.schema import CLASSES
 
 NY = "'America/New_York'"
-TAPES = {"event": EVENT_TAPE_SQL, "line": LINE_TAPE_SQL}
+TAPES = {
+    "event": EVENT_TAPE_SQL,
+    "line": LINE_TAPE_SQL,
+    "wide": EVENT_TAPE_SQL.replace("(user_id % 6)", f"(user_id % {WIDE_SYMBOLS})"),
+}
 
 
 def _ids(ids):
@@ -169,13 +179,13 @@ def profiles(tape, bar=1):
 
 
 def asof(times):
-    """asof and clk: as-of seconds of every session, and their window edges."""
+    """times and clk: as-of seconds of every session, and their window edges."""
     union = " UNION ALL ".join(
         f"SELECT session_date, {clock('session_date', t)} AS at_sec FROM days_all" for t in times
     )
     return [
         "days_all AS (SELECT DISTINCT session_date FROM bs)",
-        f"asof AS ({union})",
+        f"times AS ({union})",
         *CLK,
     ]
 
@@ -184,7 +194,7 @@ CLK = [
     f"""clk0 AS (
   SELECT *, {wall("session_date", 570)} AS open_sec, {wall("session_date", 960)} AS close_sec,
          {wall("session_date", 240)} AS pre_sec, at_sec - at_sec % 60 AS bar_sec
-  FROM asof)""",
+  FROM times)""",
     """clk1 AS (
   SELECT *, bar_sec - 60 AS prev_sec, least(at_sec + 1, close_sec) AS live_end,
          greatest(least(bar_sec, close_sec), open_sec) AS cum_end,

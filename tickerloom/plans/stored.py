@@ -9,7 +9,7 @@ from tickerloom.operators.metrics import Inputs
 from tickerloom.plans import tapes
 from tickerloom.sources import store
 
-TAPES = {"event": tapes.event_tape, "line": tapes.line_tape}
+TAPES = {"event": tapes.event_tape, "line": tapes.line_tape, "wide": tapes.wide_tape}
 _PATHS = {}
 
 

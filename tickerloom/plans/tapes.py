@@ -16,14 +16,15 @@ BASKETS = {"core": ("S1", "S2", "S3"), "edge": ("S3", "S4"), "solo": ("S5",)}
 SYMBOLS = ("S0", "S1", "S2", "S3", "S4", "S5")
 FIRST_DATE = dt.date(2024, 3, 1)
 N_DATES = 20
+WIDE_SYMBOLS = 24
 LINE_DATES = [FIRST_DATE + dt.timedelta(days=i) for i in range(N_DATES)]
 
 
-def _symbol_case(number):
-    return F.concat(F.lit("S"), (number % 6).cast("string"))
+def _symbol_case(number, n=6):
+    return F.concat(F.lit("S"), (number % n).cast("string"))
 
 
-def event_tape(spark, sf_dir):
+def event_tape(spark, sf_dir, n_symbols=6):
     """Messages of the events table."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     i = F.col("event_id")
@@ -43,7 +44,7 @@ def event_tape(spark, sf_dir):
         .otherwise(F.array(k % 36 + 1, lit(14)))
     )
     df = e.select(
-        _symbol_case(F.col("user_id")).alias("symbol"),
+        _symbol_case(F.col("user_id"), n_symbols).alias("symbol"),
         F.when(F.col("event_type") == "view", "quote").otherwise("trade").alias("kind"),
         F.col("value").alias("price"),
         (1 + i % 5).cast("double").alias("size"),
@@ -68,6 +69,11 @@ def event_tape(spark, sf_dir):
     )
 
 
+def wide_tape(spark, sf_dir):
+    """The events table over more symbols: some sessions lack a basket member."""
+    return event_tape(spark, sf_dir, WIDE_SYMBOLS)
+
+
 def line_tape(spark, sf_dir):
     """Messages of the lineitem table."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
