@@ -1,12 +1,13 @@
 """How a query is registered, shaped and paired with its SQL.
 
 A column spec is a list of `kind:name` texts shared by both sides, so names and types agree:
-d date as text, s text, i integer, f double rounded to six digits, p price (eight digits).
+d date as text, s text, i integer; doubles by digits kept: m 3 (large sums), f 6, p 8, x 11
+(short decimals that would otherwise tie).
 """
 
 from pyspark.sql import functions as F
 
-DIGITS = {"f": 6, "p": 8}
+DIGITS = {"f": 6, "p": 8, "m": 3, "x": 11}
 QUERIES = {}
 ORACLES = {}
 
@@ -40,7 +41,7 @@ def shape(df, spec):
         elif kind == "i":
             c = c.cast("bigint")
         else:
-            c = F.round(c.cast("double"), DIGITS[kind])
+            c = F.round(c.cast("double"), DIGITS[kind]) + F.lit(0.0)  # no negative zero
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -55,7 +56,7 @@ def pick(spec, **exprs):
         elif kind == "i":
             e = f"CAST({e} AS BIGINT)"
         else:
-            e = f"round(CAST({e} AS DOUBLE), {DIGITS[kind]})"
+            e = f"round(CAST({e} AS DOUBLE), {DIGITS[kind]}) + 0.0::DOUBLE"
         out.append(f"{e} AS {name}")
     return ", ".join(out)
 

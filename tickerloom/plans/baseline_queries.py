@@ -139,7 +139,7 @@ def basket_day_shares(spark, sf):
     return shape(BL.basket_day_shares(buckets, tapes.members(spark), dates), DAYS)
 
 
-A17 = "i:minute_of_day p:sigma_floor_shares p:sigma_floor_dollars"
+A17 = "i:minute_of_day x:sigma_floor_shares x:sigma_floor_dollars"
 
 
 @register("volume_floors", select(Q.profiles("line"), A17, "fl"))
@@ -221,8 +221,8 @@ def basket_profile_store(spark, sf):
 
 
 S11 = (
-    "i:minute_of_day p:sigma_floor_shares p:sigma_floor_dollars p:sigma_floor_flowshare"
-    " p:sigma_floor_cumshare f:frac"
+    "i:minute_of_day x:sigma_floor_shares x:sigma_floor_dollars f:sigma_floor_flowshare"
+    " f:sigma_floor_cumshare f:frac"
 )
 
 

@@ -1,5 +1,7 @@
 """Queries on data quality, load and agreement of two sources."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tickerloom.operators import baselines as BL
@@ -233,8 +235,6 @@ LOST = "lost_tape AS (SELECT * FROM tape WHERE arrival % 40 <> 1)"
 
 def _renamed(ctes, suffix, tape):
     """The metric CTEs once more, under other names and over another tape."""
-    import re
-
     names = ["cls", "b", "bs", "w", "g", "un", "k", "m1", "m2", "base"]
     out = []
     for c in ctes:
@@ -242,7 +242,7 @@ def _renamed(ctes, suffix, tape):
             c = re.sub(rf"(?m)^{n} AS \(", f"{n}{suffix} AS (", c)
             c = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {n}{suffix}", c)
         c = re.sub(r"\bFROM tape\b", f"FROM {tape}", c)
-        c = c.replace("m1.", f"m1{suffix}.").replace("k.*", f"k{suffix}.*")
+        c = re.sub(r"\b(m1|k)\.", rf"\1{suffix}.", c)
         out.append(c)
     return out
 
@@ -322,7 +322,7 @@ def symbols_without_baseline(spark, sf):
     return shape(seen.join(config.member_union(tapes.members(spark)), "symbol", "left_anti"), U3)
 
 
-J2 = "s:basket i:days f:dollars"
+J2 = "s:basket i:days m:dollars"
 
 
 @register("basket_members_join", select(Q.bars("line"), J2, "bar JOIN mem USING (symbol)",

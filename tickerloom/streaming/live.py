@@ -139,18 +139,20 @@ class SequenceWatch:
 
 
 class LiveTable:
-    """Observer that renders the basket table at the clock second of each batch's sessions."""
+    """Observer that renders the basket table of each session a batch touched.
+
+    A session is rendered as of its latest second in the store. Buckets carry the date of
+    their own time, so a corrupt far-off time lands in another session and moves no clock.
+    """
 
     def __init__(self, inputs, store_path, out_path, mode="trader"):
         self.inputs, self.store_path, self.out_path, self.mode = inputs, store_path, out_path, mode
 
     def __call__(self, tape, epoch):
         spark = tape.sparkSession
-        clock = believable(tape).groupBy("session_date").agg(
-            F.floor(F.max("sip_ns") / 1_000_000_000).cast("bigint").alias("at_sec")
-        )
-        touched = clock.select("session_date")
+        touched = tape.select(S.et_date(S.second_of("sip_ns")).alias("session_date")).distinct()
         rows = read_live_buckets(spark, self.store_path).join(touched, "session_date", "left_semi")
+        clock = rows.groupBy("session_date").agg(F.max("second").alias("at_sec"))
         inp = self.inputs.with_(buckets=rows, asof=clock)
         (
             table.basket_table(inp, self.mode)
