@@ -33,13 +33,13 @@ def _rank_by_id():
     return [ranks.get(i) for i in range(max(ranks) + 1)]
 
 
-def rank_table():
+def rank_table_sql():
     """Literal array: id -> class rank, NULL where the id is not known."""
-    return F.array(*[F.lit(r).cast("int") for r in _rank_by_id()])
+    return "array(" + ", ".join("NULL" if r is None else str(r) for r in _rank_by_id()) + ")"
 
 
 def _known_rank(cond_id):
-    return F.get(rank_table(), cond_id)
+    return F.get(F.expr(rank_table_sql()), cond_id)
 
 
 def parse_conditions(text):
@@ -63,15 +63,18 @@ def overflowed(ids):
     return (F.coalesce(F.size(ids), F.lit(0)) > MAX_CONDITIONS).cast("int")
 
 
-def classify(conditions):
-    """Class rank of a capped id array (0 = highest precedence)."""
-    conditions = _col(conditions)
-    slots = [F.get(conditions, F.lit(i)) for i in range(MAX_CONDITIONS)]
+def classify_sql(conditions):
+    table, top = rank_table_sql(), RANK["continuous"]
+    slots = [f"get({conditions}, {i})" for i in range(MAX_CONDITIONS)]
     ranks = [
-        F.when(slot.isNotNull(), F.coalesce(_known_rank(slot), F.lit(RANK["unknown"])))
-        for slot in slots
+        f"if({s} IS NULL, {top}, coalesce(get({table}, {s}), {RANK['unknown']}))" for s in slots
     ]
-    return F.least(*ranks, F.lit(RANK["continuous"]))
+    return f"least({', '.join(ranks)})"
+
+
+def classify(conditions):
+    """Class rank of a capped id array column (0 = highest precedence)."""
+    return F.expr(classify_sql(conditions))
 
 
 def classify_uncapped(conditions):

@@ -1,7 +1,8 @@
 """Exchange clock (America/New_York) on epoch seconds.
 
-Every expression goes through epoch arithmetic, so results do not depend on
-spark.sql.session.timeZone.
+Arguments are SQL texts: a column name or an expression. Every expression goes through epoch
+arithmetic, so results do not depend on spark.sql.session.timeZone. The `*_sql` forms return
+the text for use inside larger expressions; the others return a Column.
 """
 
 from pyspark.sql import Column
@@ -9,42 +10,68 @@ from pyspark.sql import functions as F
 
 from tickerloom.schema import CLOSE_MINUTE, OPEN_MINUTE, SESSION_MINUTES, ZONE
 
-DAY = 86400
-
 
 def _col(x):
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
-def idiv(a, b):
-    """Whole-number division of two integer columns."""
-    return F.call_function("div", _col(a), _col(b))
+def second_of_sql(ns):
+    return f"({ns}) div 1000000000"
 
 
-def second_of(ns):
-    """Epoch second of an epoch-nanosecond column."""
-    return idiv(_col(ns), F.lit(1_000_000_000))
+def local_seconds_sql(sec):
+    return f"unix_seconds(from_utc_timestamp(timestamp_seconds({sec}), '{ZONE}'))"
+
+
+def minute_of_day_sql(sec):
+    return f"cast(pmod({local_seconds_sql(sec)}, 86400) div 60 as int)"
+
 
+def et_date_sql(sec):
+    return f"date_from_unix_date(cast(floor({local_seconds_sql(sec)} / 86400) as int))"
 
-def local_seconds(sec):
-    """Seconds since 1970-01-01 00:00 on the New York wall clock."""
-    return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(_col(sec)), ZONE))
+
+def wall_second_sql(date, second_of_day):
+    local = f"cast(unix_date({date}) as bigint) * 86400 + ({second_of_day})"
+    return f"unix_seconds(to_utc_timestamp(timestamp_seconds({local}), '{ZONE}'))"
+
+
+def bucket_start_sql(date, minute):
+    start = wall_second_sql(date, f"({minute}) * 60")
+    if isinstance(minute, int) and 0 <= minute < 1440:
+        return start
+    bad = f"cast(raise_error(concat('minute of day out of range: ', {minute})) as bigint)"
+    return f"CASE WHEN ({minute}) BETWEEN 0 AND 1439 THEN {start} ELSE {bad} END"
+
+
+def bar_minute_sql(minute, bar_minutes=1):
+    if bar_minutes == 1:
+        return f"cast({minute} as int)"
+    return f"cast(({minute}) - pmod(({minute}) - {OPEN_MINUTE}, {bar_minutes}) as int)"
+
+
+def bar_start_sql(sec, open_sec, bar_minutes=1):
+    return f"({sec}) - pmod(({sec}) - ({open_sec}), {60 * bar_minutes})"
+
+
+def second_of(ns):
+    """Epoch second of epoch nanoseconds."""
+    return F.expr(second_of_sql(ns))
 
 
 def minute_of_day(sec):
     """0..1439 on the New York wall clock, daylight saving included."""
-    return idiv(F.pmod(local_seconds(sec), F.lit(DAY)), F.lit(60)).cast("int")
+    return F.expr(minute_of_day_sql(sec))
 
 
 def et_date(sec):
     """New York calendar date of an epoch second."""
-    return F.date_from_unix_date(F.floor(local_seconds(sec) / DAY).cast("int"))
+    return F.expr(et_date_sql(sec))
 
 
 def wall_second(date, second_of_day):
     """Epoch second of a New York date and second of the day."""
-    local = F.unix_date(_col(date)).cast("bigint") * DAY + _col(second_of_day)
-    return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), ZONE))
+    return F.expr(wall_second_sql(date, second_of_day))
 
 
 def bucket_start(date, minute):
@@ -52,30 +79,24 @@ def bucket_start(date, minute):
 
     A minute outside 0..1439 fails the job.
     """
-    minute = _col(minute)
-    ok = minute.between(0, 1439)
-    bad = F.raise_error(F.concat(F.lit("minute of day out of range: "), minute.cast("string")))
-    return F.when(ok, wall_second(date, minute * 60)).otherwise(bad.cast("bigint"))
+    return F.expr(bucket_start_sql(date, minute))
 
 
 def et_ns(date, hms):
-    """Epoch nanoseconds of a New York date and an 'HH:MM:SS' text."""
-    parts = F.split(_col(hms) if isinstance(hms, Column) else F.lit(hms), ":")
-    sod = (
-        parts[0].cast("int") * 3600 + parts[1].cast("int") * 60 + parts[2].cast("int")
-    )
-    return wall_second(date, sod) * 1_000_000_000
+    """Epoch nanoseconds of a New York date and an 'HH:MM:SS' text column."""
+    part = lambda i: f"cast(split({hms}, ':')[{i}] as int)"
+    sod = f"{part(0)} * 3600 + {part(1)} * 60 + {part(2)}"
+    return F.expr(f"{wall_second_sql(date, sod)} * 1000000000")
 
 
 def minute_start(sec):
     """Epoch second at which the minute of `sec` starts."""
-    sec = _col(sec)
-    return sec - F.pmod(sec, F.lit(60))
+    return F.expr(f"({sec}) - pmod({sec}, 60)")
 
 
 def in_regular(minute):
     """True for the 390 regular-session minutes."""
-    return _col(minute).between(OPEN_MINUTE, CLOSE_MINUTE - 1)
+    return F.expr(f"({minute}) BETWEEN {OPEN_MINUTE} AND {CLOSE_MINUTE - 1}")
 
 
 def check_bar(bar_minutes):
@@ -87,14 +108,9 @@ def check_bar(bar_minutes):
 
 def bar_minute(minute, bar_minutes=1):
     """First minute of the session-aligned bar holding `minute`."""
-    minute = _col(minute)
-    if bar_minutes == 1:
-        return minute.cast("int")
-    offset = F.pmod(minute - OPEN_MINUTE, F.lit(bar_minutes))
-    return (minute - offset).cast("int")
+    return F.expr(bar_minute_sql(minute, bar_minutes))
 
 
 def bar_start(sec, open_sec, bar_minutes=1):
     """Epoch second at which the session-aligned bar of `sec` starts."""
-    sec, open_sec = _col(sec), _col(open_sec)
-    return sec - F.pmod(sec - open_sec, F.lit(60 * bar_minutes))
+    return F.expr(bar_start_sql(sec, open_sec, bar_minutes))

@@ -28,12 +28,25 @@ def sorted_median(values):
     return F.when(n == 0, F.lit(0.0)).when(n % 2 == 1, high).otherwise((low + high) / 2)
 
 
-def robust(values):
-    """(median, 1.4826 * median absolute deviation) of an array of samples."""
-    ordered = F.sort_array(values)
-    med = sorted_median(ordered)
-    spread = F.sort_array(F.transform(ordered, lambda x: F.abs(x - med)))
-    return med, sorted_median(spread) * MAD_TO_SIGMA
+def with_robust(df, **columns):
+    """df with (median, 1.4826 * median absolute deviation) of array columns.
+
+    columns: array column -> (median name, sigma name). Steps are separate projections, so
+    each array is sorted once.
+    """
+    keep = [c for c in df.columns if c not in columns]
+    arrays = list(columns)
+    df = df.select(*keep, *[F.sort_array(a).alias(a) for a in arrays])
+    meds = [sorted_median(F.col(a)).alias(columns[a][0]) for a in arrays]
+    df = df.select(*keep, *arrays, *meds)
+
+    def spread(a):
+        m = F.col(columns[a][0])
+        return F.sort_array(F.transform(a, lambda x: F.abs(x - m))).alias(a)
+
+    df = df.select(*keep, *[columns[a][0] for a in arrays], *[spread(a) for a in arrays])
+    sigmas = [(sorted_median(F.col(a)) * MAD_TO_SIGMA).alias(columns[a][1]) for a in arrays]
+    return df.select(*keep, *[columns[a][0] for a in arrays], *sigmas)
 
 
 def padded(values, n):

@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import session as S
 from tickerloom.functions import slices
-from tickerloom.functions.stats import padded, ratio, robust
-from tickerloom.schema import CLOSE_MINUTE, FLOOR_FRACTION, LOOKBACK_SESSIONS, OPEN_MINUTE
+from tickerloom.functions.stats import padded, ratio, with_robust
+from tickerloom.schema import (
+    BASKET_PROFILE,
+    CLOSE_MINUTE,
+    FLOOR_FRACTION,
+    LOOKBACK_SESSIONS,
+    OPEN_MINUTE,
+    TICKER_PROFILE,
+)
 
 UNION = ""  # reserved basket name: every member once
 
@@ -20,7 +27,7 @@ def regular_dates(buckets, n=LOOKBACK_SESSIONS, through=None):
 
     The list is bounded by n and becomes the partition filter of every baseline scan.
     """
-    regular = buckets.filter(S.in_regular(S.minute_of_day("second")))
+    regular = buckets.filter(S.in_regular(S.minute_of_day_sql("second")))
     if through is not None:
         regular = regular.filter(F.col("session_date") <= F.lit(through))
     latest = regular.select("session_date").distinct().orderBy(F.desc("session_date")).limit(n)
@@ -56,12 +63,12 @@ def session_bars(buckets, bar_minutes=1, counted=None, auctions=None):
     S.check_bar(bar_minutes)
     shares, dollars = counted or slices.counted()
     _, auction_dollars = auctions or slices.counted_with_auctions()
-    minute = S.minute_of_day("second")
+    minute = S.minute_of_day_sql("second")
     rows = buckets.select(
         "session_date",
         "symbol",
         S.bar_minute(minute, bar_minutes).alias("minute_of_day"),
-        minute.alias("minute"),
+        S.minute_of_day("second").alias("minute"),
         shares.alias("shares"),
         dollars.alias("dollars"),
         auction_dollars.alias("auction_dollars"),
@@ -107,19 +114,17 @@ def ticker_profile(buckets, symbols, dates, bar_minutes=1, counted=None):
     full = with_bars(symbols.select("symbol").distinct(), bar_minutes).join(
         samples, ["symbol", "minute_of_day"], "left"
     )
-    med_s, sig_s = robust(F.col("s"))
-    med_d, sig_d = robust(F.col("d"))
-    return full.select(
-        "symbol", "minute_of_day", padded("s", F.lit(n)).alias("s"), padded("d", F.lit(n)).alias("d")
-    ).select(
+    full = full.select(
         "symbol",
         "minute_of_day",
         F.lit(n).alias("days"),
-        med_s.alias("median_shares"),
-        sig_s.alias("sigma_shares"),
-        med_d.alias("median_dollars"),
-        sig_d.alias("sigma_dollars"),
+        padded("s", F.lit(n)).alias("s"),
+        padded("d", F.lit(n)).alias("d"),
     )
+    out = with_robust(
+        full, s=("median_shares", "sigma_shares"), d=("median_dollars", "sigma_dollars")
+    )
+    return out.select(*TICKER_PROFILE.names)
 
 
 def uncovered_members(bars, members, dates):
@@ -201,19 +206,11 @@ def basket_profile(buckets, members, dates, bar_minutes=1):
     full = with_bars(lists, bar_minutes).join(samples, ["basket", "minute_of_day"], "left")
     none = F.array().cast("array<double>")
     full = full.withColumn("s", F.coalesce("s", none)).withColumn("c", F.coalesce("c", none))
-    med_s, sig_s = robust(F.col("s"))
-    med_c, sig_c = robust(F.col("c"))
-    return full.select(
-        "basket",
-        "minute_of_day",
-        F.size("s").alias("days"),
-        med_s.alias("median_share"),
-        sig_s.alias("sigma_share"),
-        F.size("c").alias("cum_days"),
-        med_c.alias("median_cum_share"),
-        sig_c.alias("sigma_cum_share"),
-        "members",
+    full = full.withColumn("days", F.size("s")).withColumn("cum_days", F.size("c"))
+    out = with_robust(
+        full, s=("median_share", "sigma_share"), c=("median_cum_share", "sigma_cum_share")
     )
+    return out.select(*BASKET_PROFILE.names)
 
 
 def check_fraction(frac):

@@ -16,56 +16,51 @@ def tape_order(arrival_type):
     Kept in one fixed-width column so the bucket aggregate stays a hash aggregate. A BIGINT
     arrival must be below 2^33 (a sequence number); wider clocks come as DECIMAL(27,0).
     """
-    nanos = F.pmod(F.col("sip_ns"), F.lit(1_000_000_000))
-    arrival = F.col("arrival")
+    nanos = "pmod(sip_ns, 1000000000)"
     if isinstance(arrival_type, T.DecimalType):
-        shift = F.lit("1" + "0" * 27).cast("decimal(28,0)")
-        return nanos.cast("decimal(10,0)") * shift + arrival.cast("decimal(27,0)")
-    too_wide = F.raise_error(
-        F.concat(F.lit("arrival does not fit 33 bits: "), arrival.cast("string"))
-    ).cast("bigint")
-    fits = arrival.between(0, (1 << _ARRIVAL_BITS) - 1)
-    return F.when(fits, nanos * (1 << _ARRIVAL_BITS) + arrival).otherwise(too_wide)
+        shift = "cast('1" + "0" * 27 + "' as decimal(28,0))"
+        return f"cast({nanos} as decimal(10,0)) * {shift} + cast(arrival as decimal(27,0))"
+    top = 1 << _ARRIVAL_BITS
+    too_wide = "cast(raise_error(concat('arrival does not fit 33 bits: ', arrival)) as bigint)"
+    packed = f"{nanos} * {top} + arrival"
+    return f"CASE WHEN arrival >= 0 AND arrival < {top} THEN {packed} ELSE {too_wide} END"
 
 
 def _flags(tape):
     """Narrow input of the bucket aggregate: one fixed-width row per message."""
     if "kind" not in tape.columns:
         tape = tape.withColumn("kind", F.lit("trade"))
-    trade = F.col("kind") == "trade"
     order = tape_order(tape.schema["arrival"].dataType)
-    return tape.select(
+    when = lambda value, other="NULL": f"CASE WHEN kind = 'trade' THEN {value} ELSE {other} END"
+    return tape.selectExpr(
         "symbol",
-        S.second_of("sip_ns").alias("second"),
-        trade.alias("is_trade"),
-        F.when(trade, C.classify("conditions")).alias("rank"),
-        F.when(trade, F.col("price")).alias("price"),
-        F.when(trade, F.col("size")).otherwise(0.0).alias("size"),
-        F.when(trade, F.col("price") * F.col("size")).otherwise(0.0).alias("notional"),
-        F.when(trade, F.col("sip_ns")).alias("trade_ns"),
-        F.when(trade, order).alias("ord"),
+        f"{S.second_of_sql('sip_ns')} AS second",
+        "kind = 'trade' AS is_trade",
+        when(C.classify_sql("conditions")) + " AS rank",
+        when("price") + " AS price",
+        when("size", "0D") + " AS size",
+        when("price * size", "0D") + " AS notional",
+        when("sip_ns") + " AS trade_ns",
+        when(order) + " AS ord",
     )
 
 
 def _bucket_aggregates():
-    one = lambda cond: F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0)))
-    trade = F.col("is_trade")
     out = [
-        one(trade).alias("trades"),
-        F.sum("size").alias("shares"),
-        F.sum("notional").alias("dollars"),
-        F.coalesce(F.max_by("price", "ord"), F.lit(0.0)).alias("last_price"),
-        F.coalesce(F.max("trade_ns"), F.lit(0)).alias("last_sip_ns"),
-        one(~trade).alias("quotes"),
+        "sum(if(is_trade, 1, 0)) AS trades",
+        "sum(size) AS shares",
+        "sum(notional) AS dollars",
+        "coalesce(max_by(price, ord), 0D) AS last_price",
+        "coalesce(max(trade_ns), 0) AS last_sip_ns",
+        "sum(if(is_trade, 0, 1)) AS quotes",
     ]
     for rank, name in enumerate(CLASSES):
-        hit = F.col("rank") == rank
         out += [
-            one(hit).alias(f"{name}_trades"),
-            F.sum(F.when(hit, F.col("size")).otherwise(0.0)).alias(f"{name}_shares"),
-            F.sum(F.when(hit, F.col("notional")).otherwise(0.0)).alias(f"{name}_dollars"),
+            f"sum(if(rank = {rank}, 1, 0)) AS {name}_trades",
+            f"sum(if(rank = {rank}, size, 0D)) AS {name}_shares",
+            f"sum(if(rank = {rank}, notional, 0D)) AS {name}_dollars",
         ]
-    return out
+    return [F.expr(e) for e in out]
 
 
 def bucketize(tape):
@@ -83,7 +78,7 @@ def merge_buckets(buckets, *keys):
     """Bucket columns summed over groups of rows; the last price follows the latest SIP time."""
     sums = ["trades", "shares", "dollars", "quotes"] + class_columns()
     return buckets.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in sums],
+        *[F.expr(f"sum({c}) AS {c}") for c in sums],
         F.max_by("last_price", "last_sip_ns").alias("last_price"),
         F.max("last_sip_ns").alias("last_sip_ns"),
     )
@@ -146,11 +141,10 @@ def session_bounds(buckets, *keys):
 
 def spans_regular_session(bounds):
     """bounds with `date` (of the first second) and `spans`: data from open to close."""
-    date = S.et_date("min_sec")
-    spans = (F.col("min_sec") <= S.bucket_start(date, OPEN_MINUTE)) & (
-        F.col("max_sec") >= S.bucket_start(date, CLOSE_MINUTE)
+    spans = (F.col("min_sec") <= S.bucket_start("date", OPEN_MINUTE)) & (
+        F.col("max_sec") >= S.bucket_start("date", CLOSE_MINUTE)
     )
-    return bounds.withColumn("date", date).withColumn("spans", spans)
+    return bounds.withColumn("date", S.et_date("min_sec")).withColumn("spans", spans)
 
 
 def coverage(bounds, trades_only=False):

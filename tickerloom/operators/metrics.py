@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import session as S
 from tickerloom.functions import slices
-from tickerloom.functions.stats import ratio, zguard
+from tickerloom.functions.stats import zguard
 from tickerloom.operators.baselines import UNION
 from tickerloom.schema import (
     BENCHMARK,
@@ -72,9 +72,12 @@ def asof_literal(spark, at_sec):
 
 def asof_clock(dates, *hms):
     """The same wall-clock seconds on every session of `dates` (session_date)."""
-    at = S.idiv(S.et_ns(F.col("session_date"), F.col("hms")), F.lit(1_000_000_000))
+    at = F.expr("ns div 1000000000")
     times = F.explode(F.array(*[F.lit(t) for t in hms])).alias("hms")
-    return dates.select("session_date", times).select("session_date", at.alias("at_sec"))
+    ns = S.et_ns("session_date", "hms").alias("ns")
+    return dates.select("session_date", times).select("session_date", ns).select(
+        "session_date", at.alias("at_sec")
+    )
 
 
 def outside_span(buckets, asof):
@@ -91,24 +94,37 @@ def clocks(asof, bar_minutes=1):
     """as-of rows with every window edge."""
     S.check_bar(bar_minutes)
     bar = 60 * bar_minutes
-    at, date = F.col("at_sec"), F.col("session_date")
-    df = asof.select(
-        *KEYS,
-        S.bucket_start(date, OPEN_MINUTE).alias("open_sec"),
-        S.bucket_start(date, CLOSE_MINUTE).alias("close_sec"),
-        S.bucket_start(date, PRE_OPEN_MINUTE).alias("pre_sec"),
+    key = S.bar_minute_sql(S.minute_of_day_sql(f"cum_end - {bar}"), bar_minutes)
+    return (
+        asof.selectExpr(
+            *KEYS,
+            f"{S.bucket_start_sql('session_date', OPEN_MINUTE)} AS open_sec",
+            f"{S.bucket_start_sql('session_date', CLOSE_MINUTE)} AS close_sec",
+            f"{S.bucket_start_sql('session_date', PRE_OPEN_MINUTE)} AS pre_sec",
+        )
+        .selectExpr("*", f"{S.bar_start_sql('at_sec', 'open_sec', bar_minutes)} AS bar_sec")
+        .selectExpr(
+            "*",
+            f"bar_sec - {bar} AS prev_sec",
+            "least(at_sec + 1, close_sec) AS live_end",
+            "greatest(least(bar_sec, close_sec), open_sec) AS cum_end",
+            "least(at_sec + 1, open_sec) AS pre_end",
+            f"(least(bar_sec, close_sec) - open_sec) div {bar} AS bars_done",
+        )
+        .selectExpr(
+            "*",
+            "prev_sec >= open_sec AND prev_sec < close_sec AS prev_regular",
+            f"CASE WHEN cum_end > open_sec THEN {key} END AS key_minute",
+        )
     )
-    df = df.withColumn("bar_sec", S.bar_start(at, "open_sec", bar_minutes))
-    df = df.withColumn("prev_sec", F.col("bar_sec") - bar)
-    df = df.withColumn("live_end", F.least(at + 1, "close_sec"))
-    df = df.withColumn("cum_end", F.greatest(F.least("bar_sec", "close_sec"), "open_sec"))
-    df = df.withColumn("pre_end", F.least(at + 1, "open_sec"))
-    done = S.idiv(F.least("bar_sec", "close_sec") - F.col("open_sec"), F.lit(bar))
-    df = df.withColumn("bars_done", done)
-    regular = (F.col("prev_sec") >= F.col("open_sec")) & (F.col("prev_sec") < F.col("close_sec"))
-    df = df.withColumn("prev_regular", regular)
-    key = S.bar_minute(S.minute_of_day(F.col("cum_end") - bar), bar_minutes)
-    return df.withColumn("key_minute", F.when(F.col("cum_end") > F.col("open_sec"), key))
+
+
+def _bounded(packed):
+    """The one array of `packed`, refused when it holds more than MAX_MEMBERS entries."""
+    too_many = F.raise_error(F.lit(f"more than {MAX_MEMBERS} basket members"))
+    ok = F.size("m") <= MAX_MEMBERS
+    kept = F.when(ok, F.col("m")).otherwise(too_many.cast(packed.schema["m"].dataType))
+    return packed.select(kept).scalar()
 
 
 def config_array(members, benchmark=None):
@@ -120,16 +136,29 @@ def config_array(members, benchmark=None):
     union = members.select(F.lit(UNION).alias("basket"), "symbol")
     rows = members.select("basket", "symbol").unionByName(union)
     packed = rows.agg(F.array_sort(F.collect_set(F.struct("basket", "symbol"))).alias("m"))
-    too_many = F.raise_error(F.lit(f"more than {MAX_MEMBERS} basket members"))
-    ok = F.size("m") <= MAX_MEMBERS
-    packed = packed.select(F.when(ok, F.col("m")).otherwise(too_many.cast(packed.schema["m"].dataType)))
-    array = packed.scalar()
+    array = _bounded(packed)
     if benchmark is None:
         return array
     mark = F.struct(F.lit(MARK).alias("basket"), F.lit(benchmark).alias("symbol"))
     return F.concat(array, F.array(mark))
 
 
+def config_symbols(inp):
+    """Every basket member and the benchmark once."""
+    mark = inp.members.sparkSession.range(1).select(F.lit(inp.benchmark).alias("symbol"))
+    return inp.members.select("symbol").unionByName(mark).distinct()
+
+
+def config_rows(inp):
+    """Buckets of the configuration's symbols only."""
+    return inp.buckets.join(config_symbols(inp), "symbol", "left_semi")
+
+
+def symbol_array(inp):
+    """The configuration's symbols as one literal array (bounded like config_array)."""
+    return _bounded(config_symbols(inp).agg(F.array_sort(F.collect_set("symbol")).alias("m")))
+
+
 def _slices(inp):
     return (
         (inp.counted or slices.counted())[1],
@@ -142,8 +171,7 @@ def member_windows(inp):
     """Per as-of second and symbol: dollars and prices of every window (one pass)."""
     bar = 60 * inp.bar_minutes
     counted, auctions, extended = _slices(inp)
-    sec = F.col("second")
-    rows = inp.buckets.select(
+    rows = config_rows(inp).select(
         "session_date",
         "symbol",
         "second",
@@ -152,31 +180,27 @@ def member_windows(inp):
         extended.alias("extended"),
         F.when(F.col("trades") > 0, F.col("last_price")).alias("price"),
     ).join(clocks(inp.asof, inp.bar_minutes), "session_date")
-    rows = rows.filter(sec <= F.col("at_sec"))
+    rows = rows.filter("second <= at_sec")
 
     def within(lo, hi):
-        return (sec >= lo) & (sec < hi)
+        return f"second >= {lo} AND second < {hi}"
 
-    def dollars(what, lo, hi):
-        return F.sum(F.when(within(lo, hi), F.col(what)).otherwise(0.0))
+    def dollars(what, lo, hi, name):
+        return f"sum(if({within(lo, hi)}, {what}, 0D)) AS {name}"
 
-    edge, end = F.col("cum_end"), F.col("at_sec") + 1
+    end = [f"cum_end - {j * bar}" for j in range(PERSIST_BARS + 1)]
+    when = lambda hi: f"if(price IS NOT NULL AND {within('open_sec', hi)}, second, NULL)"
     aggs = [
-        dollars("counted", F.col("prev_sec"), F.col("bar_sec")).alias("prev_d"),
-        dollars("counted", F.col("bar_sec"), end).alias("cur_d"),
-        dollars("auctions", F.col("open_sec"), F.col("live_end")).alias("live_d"),
-        dollars("auctions", F.col("open_sec"), edge).alias("cum_d"),
-        dollars("extended", F.col("pre_sec"), F.col("pre_end")).alias("pre_d"),
+        dollars("counted", "prev_sec", "bar_sec", "prev_d"),
+        dollars("counted", "bar_sec", "at_sec + 1", "cur_d"),
+        dollars("auctions", "open_sec", "live_end", "live_d"),
+        dollars("auctions", "open_sec", "cum_end", "cum_d"),
+        dollars("extended", "pre_sec", "pre_end", "pre_d"),
+        *[dollars("counted", end[j], end[j - 1], f"bar{j}_d") for j in _BARS],
+        f"min_by(price, {when(end[0])}) AS anchor",
+        *[f"max_by(price, {when(end[j - 1])}) AS last{j}" for j in _BARS],
     ]
-    for j in _BARS:
-        lo, hi = edge - j * bar, edge - (j - 1) * bar
-        aggs.append(dollars("counted", lo, hi).alias(f"bar{j}_d"))
-    traded = F.col("price").isNotNull()
-    when = lambda hi: F.when(traded & within(F.col("open_sec"), hi), sec)
-    aggs.append(F.min_by("price", when(edge)).alias("anchor"))
-    for j in _BARS:
-        aggs.append(F.max_by("price", when(edge - (j - 1) * bar)).alias(f"last{j}"))
-    return rows.groupBy(*KEYS, "symbol").agg(*aggs)
+    return rows.groupBy(*KEYS, "symbol").agg(*[F.expr(a) for a in aggs])
 
 
 def _grid(inp):
@@ -201,35 +225,29 @@ def member_frame(inp, breadth=False, volume=False):
 
 def _with_sides(df):
     """`ret{j}`, `bench{j}`, `measured` and the persistent `side` of every row."""
-    at = W.partitionBy(*KEYS)
-    for j in _BARS:
-        ok = (F.col("anchor") > 0) & (F.col(f"last{j}") > 0)
-        df = df.withColumn(f"ret{j}", F.when(ok, F.col(f"last{j}") / F.col("anchor") - 1))
-    marks = [
-        F.max(F.when(F.col("basket") == MARK, F.col(f"ret{j}"))).over(at).alias(f"bench{j}")
-        for j in _BARS
-    ]
-    df = df.select("*", *marks)
+    rets = [f"if(anchor > 0 AND last{j} > 0, last{j} / anchor - 1, NULL) AS ret{j}" for j in _BARS]
+    df = df.selectExpr("*", *rets)
+    at = f"OVER (PARTITION BY {', '.join(KEYS)})"
+    df = df.selectExpr(
+        "*", *[f"max(if(basket = '{MARK}', ret{j}, NULL)) {at} AS bench{j}" for j in _BARS]
+    )
 
     def state(j):
-        diff = F.col(f"ret{j}") - F.col(f"bench{j}")
+        d = f"(ret{j} - bench{j})"
         return (
-            F.when(diff.isNull(), None)
-            .when(diff > DEAD_BAND, 1)
-            .when(diff < -DEAD_BAND, -1)
-            .otherwise(0)
+            f"CASE WHEN {d} > {DEAD_BAND} THEN 1 WHEN {d} < -{DEAD_BAND} THEN -1"
+            f" WHEN {d} IS NOT NULL THEN 0 END AS state{j}"
         )
 
-    states = [state(j) for j in _BARS]
-    measured = states[0].isNotNull()
-    same = F.lit(True)
-    for s in states[1:]:
-        measured = measured & s.isNotNull()
-        same = same & (s == states[0])
-    ready = F.col("bars_done") >= PERSIST_BARS
-    df = df.withColumn("measured", F.coalesce(measured & ready, F.lit(False)))
-    side = F.when(F.col("measured") & F.coalesce(same, F.lit(False)), states[0]).otherwise(0)
-    return df.withColumn("side", side)
+    df = df.selectExpr("*", *[state(j) for j in _BARS])
+    known = " AND ".join(f"state{j} IS NOT NULL" for j in _BARS)
+    same = " AND ".join(f"state{j} = state1" for j in _BARS)
+    measured = f"(coalesce(bars_done >= {PERSIST_BARS}, false) AND {known})"
+    return df.selectExpr(
+        "*",
+        f"{measured} AS measured",
+        f"if({measured} AND coalesce({same}, false), state1, 0) AS side",
+    )
 
 
 def _with_volume_state(df, inp):
@@ -242,53 +260,50 @@ def _with_volume_state(df, inp):
         *[F.lag("median_dollars", j - 1).over(by_minute).alias(f"med{j}") for j in _BARS[1:]],
     )
     df = df.join(meds, ["symbol", "key_minute"], "left")
-    verdict = F.lit(1)
+    verdict = "1"
     for j in reversed(_BARS):
-        med, dollars = F.col(f"med{j}"), F.col(f"bar{j}_d")
         verdict = (
-            F.when(med.isNull() | (med == 0), -1)
-            .when(dollars <= VOLUME_MULTIPLE * med, 0)
-            .otherwise(verdict)
+            f"CASE WHEN coalesce(med{j}, 0) = 0 THEN -1"
+            f" WHEN bar{j}_d <= {VOLUME_MULTIPLE} * med{j} THEN 0 ELSE {verdict} END"
         )
-    return df.withColumn("vol", F.when(F.col("bars_done") >= PERSIST_BARS, verdict))
+    return df.selectExpr("*", f"if(bars_done >= {PERSIST_BARS}, {verdict}, NULL) AS vol")
 
 
 def _top(dollars):
     """(-dollars, symbol) of the largest member; ties go to the first name."""
-    return F.min(F.when(F.col(dollars) > 0, F.struct((-F.col(dollars)).alias("d"), "symbol")))
+    pair = f"struct(-{dollars} AS d, symbol)"
+    return F.expr(f"min(if({dollars} > 0, {pair}, NULL)) AS {dollars}_top")
 
 
 def basket_frame(inp, shares=True, baseline=False, breadth=False, volume=False):
     """One row per as-of second and basket with every metric of the families asked for."""
     rows = member_frame(inp, breadth or volume, volume)
     sums = ["prev_d", "cur_d", "live_d", "cum_d", "pre_d"]
-    aggs = [F.count("*").alias("members")] + [F.sum(c).alias(c) for c in sums]
+    aggs = ["count(*) AS members", *[f"sum({c}) AS {c}" for c in sums]]
     edges = [
         "open_sec", "bar_sec", "pre_end", "pre_sec", "live_end", "cum_end",
         "bars_done", "prev_regular", "key_minute",
     ]
-    aggs += [F.first(c).alias(c) for c in edges]
-    if shares:
-        aggs += [_top(c).alias(f"{c}_top") for c in ("prev_d", "live_d", "pre_d")]
+    aggs += [f"first({c}) AS {c}" for c in edges]
     if breadth or volume:
         aggs += [
-            F.count_if(F.col("side") > 0).alias("up"),
-            F.count_if(F.col("side") < 0).alias("down"),
-            F.count_if(F.col("measured")).alias("n_measured"),
-            F.first("bench1").alias("bench1"),
+            "count_if(side > 0) AS up",
+            "count_if(side < 0) AS down",
+            "count_if(measured) AS n_measured",
         ]
     if volume:
         aggs += [
-            F.count_if(F.col("vol") == 1).alias("n_unusual"),
-            F.count_if(F.col("vol") == -1).alias("n_unmeasured"),
-            F.count_if((F.col("side") > 0) & (F.col("vol") == 1)).alias("n_up_on_vol"),
+            "count_if(vol = 1) AS n_unusual",
+            "count_if(vol = -1) AS n_unmeasured",
+            "count_if(side > 0 AND vol = 1) AS n_up_on_vol",
         ]
+    aggs = [F.expr(a) for a in aggs]
+    if shares:
+        aggs += [_top(c) for c in ("prev_d", "live_d", "pre_d")]
     df = rows.groupBy(*KEYS, "basket").agg(*aggs)
-    at = W.partitionBy(*KEYS)
-    union = [
-        F.max(F.when(F.col("basket") == UNION, F.col(c))).over(at).alias(f"uni_{c}") for c in sums
-    ]
-    df = df.select("*", *union).filter(~F.col("basket").isin(UNION, MARK))
+    at = f"OVER (PARTITION BY {', '.join(KEYS)})"
+    union = [f"max(if(basket = '{UNION}', {c}, NULL)) {at} AS uni_{c}" for c in sums]
+    df = df.selectExpr("*", *union).filter(f"basket NOT IN ('{UNION}', '{MARK}')")
     if baseline:
         df = _with_baselines(df, inp)
     return _with_metrics(df, shares, baseline, breadth, volume)
@@ -317,62 +332,70 @@ def _with_baselines(df, inp):
 
 
 def _with_metrics(df, shares, baseline, breadth, volume):
-    add = {}
-    after_open = F.col("live_end") > F.col("open_sec")
-    completed = F.col("cum_end") > F.col("open_sec")
-    pre = F.col("pre_end") > F.col("pre_sec")
-    add["member_count"] = F.col("members")
-    add["last_minute_dollar_vol"] = F.col("prev_d")
-    add["current_minute_dollar_vol"] = F.col("cur_d")
-    add["flow_share"] = ratio("cur_d", "uni_cur_d")
-    add["prev_share"] = ratio("prev_d", "uni_prev_d")
-    add["cum_share"] = F.when(after_open, ratio("live_d", "uni_live_d"))
-    add["cum_share_completed"] = F.when(completed, ratio("cum_d", "uni_cum_d"))
-    add["pre_vol"] = F.when(pre, F.col("pre_d"))
-    add["pre_share"] = F.when(pre, ratio("pre_d", "uni_pre_d"))
+    after_open, completed = "live_end > open_sec", "cum_end > open_sec"
+    pre = "pre_end > pre_sec"
+    part = lambda a, b: f"{a} / nullif({b}, 0D)"
+    when = lambda cond, value: f"CASE WHEN {cond} THEN {value} END"
+    add = {
+        "member_count": "members",
+        "last_minute_dollar_vol": "prev_d",
+        "current_minute_dollar_vol": "cur_d",
+        "flow_share": part("cur_d", "uni_cur_d"),
+        "prev_share": part("prev_d", "uni_prev_d"),
+        "cum_share": when(after_open, part("live_d", "uni_live_d")),
+        "cum_share_completed": when(completed, part("cum_d", "uni_cum_d")),
+        "pre_vol": when(pre, "pre_d"),
+        "pre_share": when(pre, part("pre_d", "uni_pre_d")),
+    }
     if shares:
         for name, col, ok in (
-            ("concentration", "prev_d", F.lit(True)),
+            ("concentration", "prev_d", "true"),
             ("concentration_day", "live_d", after_open),
             ("pre_conc", "pre_d", pre),
         ):
-            add[f"{name}_symbol"] = F.when(ok, F.col(f"{col}_top.symbol"))
-            add[name] = F.when(ok, ratio(-F.col(f"{col}_top.d"), col))
-    df = df.select("*", *[c.alias(n) for n, c in add.items()])
+            add[f"{name}_symbol"] = when(ok, f"{col}_top.symbol")
+            add[name] = when(ok, part(f"-{col}_top.d", col))
+    steps = [add]
     if baseline:
-        base = F.when(F.col("prev_regular"), F.col("base_d"))
-        df = df.withColumn("baseline_20d_dollar_vol", base)
-        df = df.withColumn("relative_vol", ratio("prev_d", "baseline_20d_dollar_vol"))
-    if baseline and "median_share" in df.columns:
-        enough = F.col("prev_regular") & (F.col("days") >= MIN_SAMPLED_DAYS)
-        z = zguard("prev_share", "median_share", "sigma_share", "sigma_floor_flowshare")
-        cum_z = zguard(
-            "cum_share_completed", "median_cum_share", "sigma_cum_share", "sigma_floor_cumshare"
-        )
-        typical = F.col("cum_share_completed").isNotNull() & (F.col("cum_days") > 0)
-        df = (
-            df.withColumn("flow_share_z", F.when(enough, z))
-            .withColumn("cum_share_typ", F.when(typical, F.col("median_cum_share")))
-            .withColumn("cum_share_z", F.when(F.col("cum_days") >= MIN_SAMPLED_DAYS, cum_z))
-        )
-        early = F.col("bar_sec") <= F.col("open_sec")
-        df = df.withColumn("rank_key", F.when(early, F.col("pre_share")).otherwise(F.col("cum_share_z")))
+        steps.append({"baseline_20d_dollar_vol": when("prev_regular", "base_d")})
+        steps.append({"relative_vol": part("prev_d", "baseline_20d_dollar_vol")})
+    with_shares = baseline and "median_share" in df.columns
     if breadth or volume:
-        shown = F.col("n_measured") > 0
-        df = (
-            df.withColumn("breadth_up", F.when(shown, F.col("up")))
-            .withColumn("breadth_down", F.when(shown, F.col("down")))
-            .withColumn("breadth_inline", F.when(shown, F.col("members") - F.col("up") - F.col("down")))
-            .withColumn("breadth", F.when(shown, F.col("up") / F.col("members")))
+        shown = "n_measured > 0"
+        steps.append(
+            {
+                "breadth_up": when(shown, "up"),
+                "breadth_down": when(shown, "down"),
+                "breadth_inline": when(shown, "members - up - down"),
+                "breadth": when(shown, "up / members"),
+            }
         )
     if volume:
-        known = (F.col("bars_done") >= PERSIST_BARS) & (F.col("n_unmeasured") < F.col("members"))
-        df = (
-            df.withColumn("vol_unusual", F.when(known, F.col("n_unusual")))
-            .withColumn("vol_unmeasured", F.when(known, F.col("n_unmeasured")))
-            .withColumn("up_on_vol", F.when(known & (F.col("n_measured") > 0), F.col("n_up_on_vol")))
+        known = f"bars_done >= {PERSIST_BARS} AND n_unmeasured < members"
+        steps.append(
+            {
+                "vol_unusual": when(known, "n_unusual"),
+                "vol_unmeasured": when(known, "n_unmeasured"),
+                "up_on_vol": when(f"{known} AND n_measured > 0", "n_up_on_vol"),
+            }
         )
-    return df
+    for step in steps:
+        df = df.selectExpr("*", *[f"{e} AS {n}" for n, e in step.items()])
+    if not with_shares:
+        return df
+    z = zguard("prev_share", "median_share", "sigma_share", "sigma_floor_flowshare")
+    cum_z = zguard(
+        "cum_share_completed", "median_cum_share", "sigma_cum_share", "sigma_floor_cumshare"
+    )
+    typical = when("cum_share_completed IS NOT NULL AND cum_days > 0", "median_cum_share")
+    return df.select(
+        "*",
+        F.when(F.expr(f"prev_regular AND days >= {MIN_SAMPLED_DAYS}"), z).alias("flow_share_z"),
+        F.expr(f"{typical} AS cum_share_typ"),
+        F.when(F.expr(f"cum_days >= {MIN_SAMPLED_DAYS}"), cum_z).alias("cum_share_z"),
+    ).selectExpr(
+        "*", "CASE WHEN bar_sec <= open_sec THEN pre_share ELSE cum_share_z END AS rank_key"
+    )
 
 
 def benchmark_status(inp):

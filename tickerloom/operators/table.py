@@ -92,7 +92,7 @@ def series_windows(step, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
         regular = (sec >= opened) & (sec < closed)
         early = (sec >= F.col("pre_sec")) & (sec < opened)
         traded = (F.col("trades") > 0) & regular
-        rows = inp.buckets.join(days, "session_date").filter(sec <= F.col("clock_to"))
+        rows = M.config_rows(inp).join(days, "session_date").filter(sec <= F.col("clock_to"))
         rows = rows.select(
             "session_date",
             "symbol",
@@ -130,7 +130,7 @@ def series_windows(step, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
                 "last_price"
             ),
         )
-        sym_days = rows.select(*who).distinct()
+        sym_days = dates.select("session_date", F.explode(M.symbol_array(inp)).alias("symbol"))
         bar_from = F.least("clock_from", "open_sec") - (M.PERSIST_BARS + 1) * bar
         dense = (
             sym_days.join(days, "session_date")
@@ -160,11 +160,20 @@ def series_windows(step, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
         for j in M._BARS:
             dense = dense.withColumn(f"bar{j}_d", lag("counted", j))
             dense = dense.withColumn(f"last{j}", lag("last_to_here", j))
+        # After the close the completed windows stay those of the last session bar. A value that
+        # is missing at a bar is missing at every earlier one, so carrying it forward is exact.
         bar_cols = ["cum_d", "anchor"] + [f"bar{j}_d" for j in M._BARS] + [f"last{j}" for j in M._BARS]
-        dense = dense.select(*who, "bar_sec", "prev_d", *bar_cols)
+        through = order.rowsBetween(W.unboundedPreceding, 0)
+        frozen = [
+            F.last(F.when(F.col("bar_sec") <= F.col("close_sec"), F.col(c)), ignorenulls=True)
+            .over(through)
+            .alias(c)
+            for c in bar_cols
+        ]
+        dense = dense.select(*who, "bar_sec", "prev_d", *frozen)
 
         ticks = sym_days.join(inp.asof, "session_date").join(
-            days.select("session_date", "open_sec", "close_sec"), "session_date"
+            days.select("session_date", "open_sec"), "session_date"
         )
         ticks = ticks.withColumn("bar_sec", S.bar_start("at_sec", "open_sec", inp.bar_minutes))
         per_tick = steps.groupBy(*who, "at_sec").agg(
@@ -184,12 +193,8 @@ def series_windows(step, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
             ticks.withColumn("live_d", F.sum("auctions").over(along))
             .withColumn("pre_d", F.sum("extended").over(along))
             .withColumn("cur_d", F.sum("own").over(in_bar))
-            # After the close the completed windows stay those of the last session bar.
-            .withColumn("done_sec", F.least("bar_sec", "close_sec"))
         )
-        prev = dense.select(*who, "bar_sec", "prev_d")
-        done = dense.select(*who, F.col("bar_sec").alias("done_sec"), *bar_cols)
-        out = ticks.join(done, [*who, "done_sec"], "left").join(prev, [*who, "bar_sec"], "left")
+        out = ticks.join(dense, [*who, "bar_sec"], "left")
         return out.select(*M.KEYS, "symbol", *M.DOLLARS, *M.PRICES)
 
     return build

@@ -5,8 +5,6 @@ d date as text, s text, i integer; doubles by digits kept: m 3 (large sums), f 6
 (short decimals that would otherwise tie).
 """
 
-from pyspark.sql import functions as F
-
 DIGITS = {"f": 6, "p": 8, "m": 3, "x": 11}
 QUERIES = {}
 ORACLES = {}
@@ -35,15 +33,14 @@ def shape(df, spec):
     """df with exactly the columns of a spec."""
     out = []
     for kind, name in cols(spec):
-        c = F.col(name)
         if kind in "ds":
-            c = c.cast("string")
+            e = f"cast({name} as string)"
         elif kind == "i":
-            c = c.cast("bigint")
+            e = f"cast({name} as bigint)"
         else:
-            c = F.round(c.cast("double"), DIGITS[kind]) + F.lit(0.0)  # no negative zero
-        out.append(c.alias(name))
-    return df.select(*out)
+            e = f"round(cast({name} as double), {DIGITS[kind]}) + 0D"  # no negative zero
+        out.append(f"{e} AS {name}")
+    return df.selectExpr(*out)
 
 
 def pick(spec, **exprs):

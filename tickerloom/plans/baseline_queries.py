@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tickerloom.functions.stats import robust
+from tickerloom.functions.stats import with_robust
 from tickerloom.operators import baselines as BL
 from tickerloom.plans import sqltext as Q
 from tickerloom.plans import stored, tapes
@@ -69,8 +69,8 @@ def robust_daily(spark, sf):
         .agg(F.sum(slices.counted()[1]).alias("d"))
     )
     per_symbol = daily.groupBy("symbol").agg(F.collect_list("d").alias("a"))
-    med, sigma = robust(F.col("a"))
-    return shape(per_symbol.select("symbol", F.size("a").alias("n"), med.alias("med"), sigma.alias("sigma")), A13)
+    per_symbol = per_symbol.withColumn("n", F.size("a"))
+    return shape(with_robust(per_symbol, a=("med", "sigma")), A13)
 
 
 A14 = "s:symbol i:minute_of_day i:days f:median_shares f:sigma_shares f:median_dollars f:sigma_dollars"

@@ -87,17 +87,18 @@ P12_SQL = select(
 
 @register("session_clock_fields", P12_SQL)
 def session_clock_fields(spark, sf):
-    sec = S.second_of("sip_ns")
-    minute = S.minute_of_day(sec)
-    df = tapes.line_tape(spark, sf).select(
+    sec = "sec"
+    minute = S.minute_of_day_sql(sec)
+    df = tapes.line_tape(spark, sf).withColumn("sec", S.second_of("sip_ns"))
+    df = df.select(
         "arrival",
         "symbol",
         S.et_date(sec).alias("et_date"),
-        minute.alias("minute_of_day"),
+        S.minute_of_day(sec).alias("minute_of_day"),
         S.minute_start(sec).alias("minute_start"),
         S.in_regular(minute).cast("int").alias("in_regular"),
         S.bucket_start("session_date", minute).alias("bucket_start"),
-        S.et_ns(F.col("session_date"), "09:30:00").alias("open_ns"),
+        S.et_ns("session_date", "'09:30:00'").alias("open_ns"),
     )
     return shape(df, P12)
 

@@ -9,13 +9,16 @@ from tickerloom.plans.bucket_queries import A1
 from tickerloom.sources import capture, config, flat, store
 
 EVENT = Q.TAPES["event"]
-IDS = F.array_join(F.col("conditions").cast("array<string>"), ",")
 JOINED_IDS = "array_to_string(conditions, ',')"
 FROM_NS, TO_NS = 1_704_200_000_000_000_000, 1_706_500_000_000_000_000
 WINDOW = f"sip_ns >= {FROM_NS} AND sip_ns < {TO_NS}"
 KNOWN = "symbol IN ('S0', 'S1', 'S2', 'S3', 'S4')"
 
 
+def ids_text():
+    return F.array_join(F.col("conditions").cast("array<string>"), ",")
+
+
 def universe(spark):
     return tapes.symbols(spark).filter(KNOWN)
 
@@ -32,7 +35,7 @@ def _csv(spark, sf, kind):
                 text("price").alias("PRICE"),
                 F.when(bad, "12x").otherwise(text("size")).alias("size"),
                 F.col("symbol").alias(" Ticker "),
-                IDS.alias("conditions"),
+                ids_text().alias("conditions"),
                 "exchange", "tape",
                 F.col("part_ns").alias("participant_timestamp"),
                 F.col("sip_ns").alias("sip_timestamp"),
@@ -48,7 +51,7 @@ def _csv(spark, sf, kind):
                 F.col("ask_exch").alias("ask_exchange"),
                 F.col("bid_exch").alias("bid_exchange"),
                 F.col("symbol").alias("ticker"),
-                IDS.alias("conditions"),
+                ids_text().alias("conditions"),
                 F.col("sip_ns").alias("sip_timestamp"),
                 F.col("seq").alias("sequence_number"),
             )
@@ -64,7 +67,7 @@ S1 = "s:symbol f:price f:size i:sip_ns i:part_ns i:seq i:exchange i:tape s:ids"
     size="CASE WHEN arrival % 41 = 3 THEN 0 ELSE size END", tape="tape_id", ids=JOINED_IDS))
 def read_trades_flat(spark, sf):
     df = flat.read_trades_flat(spark, _csv(spark, sf, "trade"), universe(spark), FROM_NS, TO_NS)
-    return shape(df.withColumn("ids", IDS), S1)
+    return shape(df.withColumn("ids", ids_text()), S1)
 
 
 S2 = "s:symbol f:bid_price f:ask_price i:bid_size i:ask_size i:bid_exch i:ask_exch i:sip_ns i:seq s:ids"
@@ -74,7 +77,7 @@ S2 = "s:symbol f:bid_price f:ask_price i:bid_size i:ask_size i:bid_exch i:ask_ex
     ask_price="CASE WHEN arrival % 41 = 3 THEN 0 ELSE ask_price END", ids=JOINED_IDS))
 def read_quotes_flat(spark, sf):
     df = flat.read_quotes_flat(spark, _csv(spark, sf, "quote"))
-    return shape(df.withColumn("ids", IDS), S2)
+    return shape(df.withColumn("ids", ids_text()), S2)
 
 
 S1S = "i:rows i:submitted i:filtered i:windowed i:malformed"
@@ -159,7 +162,7 @@ S4T = "s:symbol f:price f:size i:sip_ns i:part_ns i:seq i:exchange i:tape s:ids
     sip_ns=MS, part_ns="part_ns // 1000000 * 1000000", tape="tape_id", ids=JOINED_IDS, recv_ns="frame_ns"))
 def decode_trades(spark, sf):
     df = capture.capture_trades(decoded(spark, sf, universe(spark)))
-    return shape(df.withColumn("ids", IDS), S4T)
+    return shape(df.withColumn("ids", ids_text()), S4T)
 
 
 S4Q = S2 + " i:recv_ns"
@@ -169,7 +172,7 @@ S4Q = S2 + " i:recv_ns"
     ids=JOINED_IDS, recv_ns="frame_ns"))
 def decode_quotes(spark, sf):
     df = capture.capture_quotes(decoded(spark, sf))
-    return shape(df.withColumn("ids", IDS), S4Q)
+    return shape(df.withColumn("ids", ids_text()), S4Q)
 
 
 S4S = "i:trades i:quotes i:status i:unknown i:decode_errs i:cond_overflow"

@@ -32,6 +32,14 @@ def _once(spark, sf_dir, name, write):
     return _PATHS[key]
 
 
+def _checked(spark, path, read):
+    """A table read and validated once per application."""
+    key = (spark.sparkContext.applicationId, path, "frame")
+    if key not in _PATHS:
+        _PATHS[key] = read(path)
+    return _PATHS[key]
+
+
 def buckets(spark, sf_dir, tape):
     """bucket_1s of a tape, from its store."""
     path = _once(
@@ -40,7 +48,7 @@ def buckets(spark, sf_dir, tape):
         f"{tape}_bucket_1s",
         lambda p: store.write_buckets(B.bucketize(TAPES[tape](spark, sf_dir)), p),
     )
-    return store.read_buckets(spark, path)
+    return _checked(spark, path, lambda p: store.read_buckets(spark, p))
 
 
 def dates(spark, sf_dir, tape):
@@ -64,7 +72,7 @@ def ticker_profile(spark, sf_dir, tape, bar_minutes=1):
         store.write_table(df, path)
 
     path = _once(spark, sf_dir, f"{tape}_ticker_profile_{bar_minutes}", write)
-    return store.read_ticker_profile(spark, path, bar_minutes)
+    return _checked(spark, path, lambda p: store.read_ticker_profile(spark, p, bar_minutes))
 
 
 def basket_profile(spark, sf_dir, tape, bar_minutes=1):
@@ -78,7 +86,8 @@ def basket_profile(spark, sf_dir, tape, bar_minutes=1):
         store.write_table(df, path)
 
     path = _once(spark, sf_dir, f"{tape}_basket_profile_{bar_minutes}", write)
-    return store.read_basket_profile(spark, path, members, bar_minutes)
+    read = lambda p: store.read_basket_profile(spark, p, members, bar_minutes)
+    return _checked(spark, path, read)
 
 
 def floors(spark, sf_dir, tape, bar_minutes=1):
@@ -92,12 +101,17 @@ def floors(spark, sf_dir, tape, bar_minutes=1):
         store.write_floors(df, path, BL.FLOOR_FRACTION, f"{tape} tape")
 
     path = _once(spark, sf_dir, f"{tape}_floors_{bar_minutes}", write)
-    return store.read_floors(spark, path, bar_minutes)
+    return _checked(spark, path, lambda p: store.read_floors(spark, p, bar_minutes))
 
 
 def session_dates(spark, sf_dir, tape):
-    """(session_date) of every session with a bucket."""
-    return buckets(spark, sf_dir, tape).select("session_date").distinct()
+    """(session_date) of every session with a bucket: the store's partition list."""
+    key = (spark.sparkContext.applicationId, str(sf_dir), f"{tape}_sessions")
+    if key not in _PATHS:
+        days = buckets(spark, sf_dir, tape).select("session_date").distinct().collect()
+        rows = ", ".join(f"(DATE '{d}')" for d in sorted(r[0] for r in days))
+        _PATHS[key] = f"SELECT * FROM VALUES {rows} AS t(session_date)"
+    return spark.sql(_PATHS[key])
 
 
 def inputs(spark, sf_dir, asof, tape="line", baselines=True):

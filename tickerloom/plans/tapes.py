@@ -65,7 +65,7 @@ def event_tape(spark, sf_dir, n_symbols=6):
         "*",
         (F.col("sip_ns") - (F.col("arrival") % 11) * 1_000_000).alias("part_ns"),
         (F.col("sip_ns") + (F.col("arrival") * 37 % 1009) * 1_000_000).alias("recv_ns"),
-        S.et_date(S.second_of("sip_ns")).alias("session_date"),
+        S.et_date("sip_ns div 1000000000").alias("session_date"),
     )
 
 
@@ -81,9 +81,8 @@ def line_tape(spark, sf_dir):
     line = F.col("l_linenumber").cast("bigint")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     mix = order * 7919 + part * 31 + supp * 17 + line
-    sod = F.when(mix % 8 == 0, 14400 + S.idiv(mix, F.lit(8)) % 57600).otherwise(
-        34200 + S.idiv(mix, F.lit(8)) % 23460
-    )
+    eighth = F.floor(mix / 8)
+    sod = F.when(mix % 8 == 0, 14400 + eighth % 57600).otherwise(34200 + eighth % 23460)
     date = F.date_add(F.lit(FIRST_DATE), ((part * 7 + supp + order) % N_DATES).cast("int"))
     lit = lambda n: F.lit(n).cast("int")
     digit = cents % 10
@@ -115,13 +114,14 @@ def line_tape(spark, sf_dir):
 
 def members(spark):
     """(basket, symbol) of the test baskets."""
-    rows = [(b, s) for b, names in BASKETS.items() for s in names]
-    return spark.createDataFrame(rows, "basket string, symbol string")
+    rows = ", ".join(f"('{b}', '{s}')" for b, names in BASKETS.items() for s in names)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(basket, symbol)")
 
 
 def symbols(spark):
     """(symbol) of the test universe."""
-    return spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string")
+    rows = ", ".join(f"('{s}')" for s in SYMBOLS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(symbol)")
 
 
 # --- the same tapes as SQL for the checking engine -------------------------------------

@@ -99,7 +99,7 @@ def live_book(quote_stream):
 
 def believable(tape_stream):
     """Messages whose SIP date is their session date: one corrupt time cannot move a watermark."""
-    return tape_stream.filter(S.et_date(S.second_of("sip_ns")) == F.col("session_date"))
+    return tape_stream.filter(S.et_date("sip_ns div 1000000000") == F.col("session_date"))
 
 
 class SequenceWatch:
@@ -150,7 +150,7 @@ class LiveTable:
 
     def __call__(self, tape, epoch):
         spark = tape.sparkSession
-        touched = tape.select(S.et_date(S.second_of("sip_ns")).alias("session_date")).distinct()
+        touched = tape.select(S.et_date("sip_ns div 1000000000").alias("session_date")).distinct()
         rows = read_live_buckets(spark, self.store_path).join(touched, "session_date", "left_semi")
         clock = rows.groupBy("session_date").agg(F.max("second").alias("at_sec"))
         inp = self.inputs.with_(buckets=rows, asof=clock)
