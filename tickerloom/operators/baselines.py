@@ -47,7 +47,7 @@ def check_dates(dates):
 def check_sessions_have_data(buckets, dates):
     """Raise for a date without a single bucket in its own regular session."""
     found = set(regular_dates(of_dates(buckets, dates), n=len(dates)))
-    empty = [d for d in dates if d not in found]
+    empty = [str(d) for d in dates if d not in found]
     if empty:
         raise ValueError(f"no data in the regular session of {empty}")
     return dates
