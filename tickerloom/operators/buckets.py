@@ -1,5 +1,6 @@
 """One-second buckets per symbol, and every read on them."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,6 +120,25 @@ def last_trade_price(buckets, *keys):
     return traded.groupBy(*keys).agg(F.max_by("last_price", "second").alias("last_price"))
 
 
+def bucket_positions(buckets):
+    """`pos`: the row number of each bucket in its session's (second, symbol) order.
+
+    Minutes are counted first, so only the buckets of one minute are sorted in one task.
+    """
+    rows = buckets.withColumn("minute", S.minute_start("second"))
+    sizes = rows.groupBy("session_date", "minute").agg(F.count("*").alias("n"))
+    earlier = (
+        W.partitionBy("session_date").orderBy("minute").rowsBetween(W.unboundedPreceding, -1)
+    )
+    starts = sizes.select(
+        "session_date", "minute", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    inside = W.partitionBy("session_date", "minute").orderBy("second", "symbol")
+    rows = rows.withColumn("pos", F.row_number().over(inside))
+    rows = rows.join(starts, ["session_date", "minute"])
+    return rows.withColumn("pos", F.col("pos") + F.col("before")).drop("before", "minute")
+
+
 def session_bounds(buckets, *keys):
     """First and last second, rows, symbols, trades and quotes, per session by default."""
     keys = keys or ("session_date",)

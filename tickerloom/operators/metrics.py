@@ -10,8 +10,10 @@ Where `at_sec` is the as-of second and bars are `bar_minutes` long:
   since open    = from 09:30, clamped at 16:00  pre-market  = from 04:00, clamped at 09:30
 """
 
+import datetime as dt
 from dataclasses import dataclass, field, replace
 from typing import Any
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,6 +32,7 @@ from tickerloom.schema import (
     PERSIST_BARS,
     PRE_OPEN_MINUTE,
     VOLUME_MULTIPLE,
+    ZONE,
 )
 
 KEYS = ["session_date", "at_sec"]
@@ -63,6 +66,13 @@ class Inputs:
         """A copy with some fields changed."""
         return replace(self, **changes)
 
+    def at(self, at_sec):
+        """A copy for one second: the scan is cut to that session and to what came before."""
+        day = dt.datetime.fromtimestamp(at_sec, ZoneInfo(ZONE)).date()
+        only = (F.col("session_date") == F.lit(day)) & (F.col("second") <= at_sec)
+        asof = asof_literal(self.buckets.sparkSession, at_sec)
+        return replace(self, buckets=self.buckets.filter(only), asof=asof)
+
 
 def asof_literal(spark, at_sec):
     """One as-of second."""

@@ -284,11 +284,7 @@ T1 = "i:pos i:second s:symbol i:trades"
     "(SELECT *, row_number() OVER (PARTITION BY session_date ORDER BY second, symbol) AS pos FROM b)"))
 def bucket_order(spark, sf):
     """Position of each bucket in its session's file order."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("session_date").orderBy("second", "symbol")
-    df = stored.buckets(spark, sf, "line").withColumn("pos", F.row_number().over(order))
-    return shape(df, T1)
+    return shape(B.bucket_positions(stored.buckets(spark, sf, "line")), T1)
 
 
 # --- prints ----------------------------------------------------------------------------

@@ -105,8 +105,9 @@ def believable(tape_stream):
 class SequenceWatch:
     """Observer that counts sequence regressions across batches.
 
-    Stream maxima of each batch are written under its id; the next batch continues from the
-    latest ones, so a repeated batch gives the same answer.
+    Every batch writes the running maximum of every stream under its id and the next one
+    reads only those, so the state stays one row per stream and a repeated batch gives the
+    same answer.
     """
 
     def __init__(self, path, block_width):
@@ -114,9 +115,13 @@ class SequenceWatch:
 
     def __call__(self, tape, epoch):
         spark = tape.sparkSession
-        found = book.sequence_regressions(
-            tape, self.block_width, prior=self._prior(spark, epoch) if epoch else None
-        )
+        keys = ["session_date", "symbol", "kind"]
+        prior = self._prior(spark, epoch) if epoch else None
+        found = book.sequence_regressions(tape, self.block_width, prior=prior)
+        if prior is not None:
+            quiet = prior.join(found, keys, "left_anti")
+            zero = [F.lit(0).cast("bigint").alias(c) for c in ("messages", "regressions")]
+            found = found.unionByName(quiet.select(*keys, *zero, "max_seq"))
         (
             found.withColumn("epoch", F.lit(epoch).cast("bigint"))
             .write.mode("overwrite")
@@ -126,8 +131,8 @@ class SequenceWatch:
         )
 
     def _prior(self, spark, epoch):
-        past = spark.read.parquet(self.path).filter(F.col("epoch") < epoch)
-        return past.groupBy("session_date", "symbol", "kind").agg(F.max("max_seq").alias("max_seq"))
+        last = spark.read.parquet(self.path).filter(F.col("epoch") == epoch - 1)
+        return last.select("session_date", "symbol", "kind", "max_seq")
 
     def counts(self, spark):
         """Messages and regressions of every stream so far."""
