@@ -186,7 +186,7 @@ J9_CTES = [
   SELECT sym.symbol, k.kind, coalesce(c.n, 0) AS capture, coalesce(f.n, 0) AS flat
   FROM sym CROSS JOIN (VALUES ('trade'), ('quote')) k(kind)
   LEFT JOIN (SELECT symbol, kind, count(*) AS n FROM inside
-             WHERE NOT (symbol = 'S4' AND arrival % 50 = 7) GROUP BY ALL) c
+             WHERE NOT (symbol = 'S4' AND price > 60) GROUP BY ALL) c
     ON c.symbol = sym.symbol AND c.kind = k.kind
   LEFT JOIN (SELECT symbol, kind, count(*) AS n FROM inside GROUP BY ALL) f
     ON f.symbol = sym.symbol AND f.kind = k.kind)""",
@@ -196,7 +196,7 @@ J9_CTES = [
 def event_reconcile(spark, sf):
     """The events tape against a copy that lost some S4 messages."""
     flat = tapes.event_tape(spark, sf)
-    capture = flat.filter("NOT (symbol = 'S4' AND arrival % 50 = 7)")
+    capture = flat.filter("NOT (symbol = 'S4' AND price > 60)")
     return QL.reconcile(capture, flat, tapes.symbols(spark), J9_FROM, J9_TO)
 
 
@@ -222,15 +222,15 @@ J10 = "d:session_date i:at_sec s:basket f:rel_delta i:base_pass i:rvol_pass i:la
 
 
 def _pair(spark, sf):
-    """Metrics of the full tape and of a tape that lost every 40th message."""
+    """Metrics of the full tape and of a tape that lost its one-share messages."""
     asof = M.asof_clock(stored.session_dates(spark, sf, "line"), *J10_TIMES)
     inp = stored.inputs(spark, sf, asof)
-    thinner = B.bucketize(tapes.line_tape(spark, sf).filter("arrival % 40 <> 1"))
+    thinner = B.bucketize(tapes.line_tape(spark, sf).filter("size <> 1"))
     frame = lambda i: M.basket_frame(i, shares=False, baseline=True)
     return frame(inp.with_(buckets=thinner)), frame(inp)
 
 
-LOST = "lost_tape AS (SELECT * FROM tape WHERE arrival % 40 <> 1)"
+LOST = "lost_tape AS (SELECT * FROM tape WHERE size <> 1)"
 
 
 def _renamed(ctes, suffix, tape):

@@ -55,7 +55,7 @@ def dates(spark, sf_dir, tape):
     """Every session date with regular-session data, ascending."""
     key = (spark.sparkContext.applicationId, str(sf_dir), f"{tape}_dates")
     if key not in _PATHS:
-        _PATHS[key] = BL.regular_dates(buckets(spark, sf_dir, tape), n=1000)
+        _PATHS[key] = BL.regular_dates(buckets(spark, sf_dir, tape), n=1_000_000)
     return _PATHS[key]
 
 

@@ -23,6 +23,7 @@ PARTIAL_SUFFIX = ".partial.csv"
 def shared_dir(spark):
     """The folder all executors share: spark.checkpoint.dir, or a new one on a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    path = path or spark.sparkContext.getCheckpointDir()
     if path:
         return path
     if not spark.sparkContext.master.startswith("local"):
