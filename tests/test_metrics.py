@@ -60,6 +60,18 @@ def test_volume_columns(spark, tape):
     assert by_basket(M.basket_frame(early, baseline=True))["chips"]["baseline_20d_dollar_vol"] is None
 
 
+def test_one_second_reads_one_session(spark, tape):
+    for d in ("2026-08-10", D):
+        tape.trade("A", et(d, "10:00:10"), 10, 3).trade("B", et(d, "10:00:20"), 10, 1)
+    inp = inputs(spark, tape, at("10:00:15"), dict(a=["A"], b=["B"]))
+    cut = inp.with_(asof=None).at(at("10:00:15"))
+    plan = M.basket_frame(cut)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    order = lambda i: M.basket_frame(i).orderBy("basket").collect()
+    assert order(cut) == order(inp)
+    assert by_basket(M.basket_frame(cut))["a"]["flow_share"] == 1.0
+
+
 def test_flow_share_and_concentration(spark, tape):
     for s, d in (("A", 300), ("B", 100), ("C", 600)):
         tape.trade(s, at("13:00:10"), d, 1)

@@ -69,14 +69,14 @@ class Inputs:
     def at(self, at_sec):
         """A copy for one second: the scan is cut to that session and to what came before."""
         day = dt.datetime.fromtimestamp(at_sec, ZoneInfo(ZONE)).date()
-        only = (F.col("session_date") == F.lit(day)) & (F.col("second") <= at_sec)
+        only = F.col("session_date").between(day, day) & (F.col("second") <= at_sec)
         asof = asof_literal(self.buckets.sparkSession, at_sec)
         return replace(self, buckets=self.buckets.filter(only), asof=asof)
 
 
 def asof_literal(spark, at_sec):
     """One as-of second."""
-    one = spark.range(1).select(F.lit(at_sec).cast("bigint").alias("at_sec"))
+    one = spark.range(at_sec, at_sec + 1).withColumnRenamed("id", "at_sec")
     return one.select(S.et_date("at_sec").alias("session_date"), "at_sec")
 
 

@@ -70,6 +70,7 @@ def windowed_buckets(tape_stream, watermark="24 hours"):
     rows = tape_stream.withColumn("ts", F.timestamp_micros((F.col("sip_ns") / 1000).cast("bigint")))
     trade = F.col("kind") == "trade"
     win = F.window("ts", "1 second")
+    order = F.expr(B.tape_order(tape_stream.schema["arrival"].dataType))
     return (
         rows.withWatermark("ts", watermark)
         .groupBy("symbol", win.alias("w"))
@@ -78,7 +79,7 @@ def windowed_buckets(tape_stream, watermark="24 hours"):
             F.sum(F.when(trade, F.col("size")).otherwise(0.0)).alias("shares"),
             F.sum(F.when(trade, F.col("price") * F.col("size")).otherwise(0.0)).alias("dollars"),
             F.count_if(~trade).alias("quotes"),
-            F.max_by("price", F.when(trade, F.struct("sip_ns", "arrival"))).alias("last_price"),
+            F.max_by("price", F.when(trade, order)).alias("last_price"),
         )
         .select(
             "symbol",
