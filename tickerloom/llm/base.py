@@ -1,5 +1,6 @@
 """What the operators share: registration, input tables, tables kept in the shared folder."""
 
+import os
 import tempfile
 import uuid
 
@@ -52,6 +53,16 @@ def settled(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df, fn, schema):
+    """df.mapInArrow, with this package's folder on the Python workers' path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = df.sparkSession.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+    return df.mapInArrow(fn, schema)
+
+
 def partitions(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -163,7 +163,7 @@ def pack(docs, tokenizer=None, window=WINDOW, end_id=END_ID, pool=POOL):
         if rows := packer.finish():
             yield table(rows)
 
-    return docs.select(F.col("doc_id").cast("bigint"), base.text_or_empty()).mapInArrow(run, OUT)
+    return base.map_arrow(docs.select(F.col("doc_id").cast("bigint"), base.text_or_empty()), run, OUT)
 
 
 @base.register("op4_pack_min_slack")
