@@ -54,13 +54,18 @@ def settled(df, name):
 
 
 def map_arrow(df, fn, schema):
-    """df.mapInArrow, with this package's folder on the Python workers' path."""
+    """df.mapInArrow by workers that find this package."""
+    reachable(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
+def reachable(spark):
+    """Put this package's folder on the path of Python workers."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = df.sparkSession.sparkContext.environment
+    env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
-    return df.mapInArrow(fn, schema)
 
 
 def partitions(spark):
