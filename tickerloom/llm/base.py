@@ -76,6 +76,16 @@ def text_or_empty(name="text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def once(column):
+    """`column`, computed once a row.
+
+    The optimizer writes deterministic projections anew into filters and generators above them,
+    and there into lambdas too, where an array would be computed again for each element. A term
+    that differs by partition keeps it from that, and always holds.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def words(text):
     """The words of a text column, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

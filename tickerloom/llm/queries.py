@@ -1,6 +1,6 @@
 """Imports the operators, which register their queries."""
 
-from tickerloom.llm import base, linedup, mixing, ogg, packing, quality, simhash, suffix, tokenfile  # noqa: F401
+from tickerloom.llm import base, licenses, linedup, mixing, ogg, packing, quality, simhash, suffix, tokenfile, urllists  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
