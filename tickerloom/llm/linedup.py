@@ -21,11 +21,11 @@ def windows(docs, n=LINES):
     """
     text = base.text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text).alias("hash"), lines.alias("lines"))
-    df = df.filter(F.size("lines") >= n)
+    df = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text).alias("hash"), base.once(lines).alias("lines"))
     mine = lambda i: [F.get("lines", i + k) for k in range(n)]
     two = lambda i: F.struct(F.xxhash64(*mine(i)).alias("h1"), F.xxhash64(F.lit(n), *mine(i)).alias("h2"))
-    df = df.withColumn("all", F.transform(F.sequence(F.lit(0), F.size("lines") - n), two))
+    every = F.transform(F.sequence(F.lit(0), F.size("lines") - n), two)
+    df = df.withColumn("all", base.once(F.when(F.size("lines") >= n, every)))
     df = df.select(F.col("id").isNull().alias("no_id"), "id", "hash", F.posexplode("all").alias("place", "window"))
     return df.select("no_id", "id", "hash", "place", "window.h1", "window.h2")
 
@@ -60,11 +60,11 @@ def remove_lines(docs, n=LINES):
     df = docs.withColumn(no_id, F.col("doc_id").isNull())
     df = df.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).withColumn(text_hash, F.xxhash64(text))
     df = df.join(found, [no_id, key, text_hash], "left")
-    df = df.withColumn(lines, F.split(text, "\n"))
-    df = df.withColumn(worded, F.transform(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn(lines, base.once(F.split(text, "\n")))
+    df = df.withColumn(worded, base.once(F.transform(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
     # Places count lines with a word; turn them to places among all lines, then drop those.
     all_lines = F.sequence(F.lit(0), F.size(lines) - 1)
-    df = df.withColumn(every, F.filter(all_lines, lambda i: F.get(worded, i)))
+    df = df.withColumn(every, base.once(F.filter(all_lines, lambda i: F.get(worded, i))))
     gone = F.transform(places, lambda p: F.get(every, p))
     kept = F.array_except(all_lines, gone)
     clean = F.concat_ws("\n", F.transform(kept, lambda i: F.get(lines, i)))

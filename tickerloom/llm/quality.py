@@ -67,23 +67,23 @@ def measure(docs):
     has_word = r"[^\x20\x09-\x0D]"
     df = df.select(
         "doc_id",
-        base.words(text).alias("_words"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word)).alias("_lines"),
-        F.length(F.regexp_replace(text, base.SPACE, "")).alias("word_chars"),
-        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS + "+", ""))).alias("n_symbols"),
+        base.once(base.words(text)).alias("_words"),
+        base.once(F.filter(F.split(text, "\n"), lambda x: x.rlike(has_word))).alias("_lines"),
+        base.once(F.length(F.regexp_replace(text, base.SPACE, ""))).alias("word_chars"),
+        base.once(F.length(text) - F.length(F.regexp_replace(text, SYMBOLS + "+", ""))).alias("n_symbols"),
     )
     word = lambda i: [F.get("_words", i + k) for k in range(WINDOW)]
     enough = F.size("_words") >= WINDOW
     starts = F.sequence(F.lit(0), F.size("_words") - WINDOW)
-    df = df.withColumn("_hashes", F.when(enough, F.transform(starts, lambda i: F.xxhash64(*word(i)))))
+    df = df.withColumn("_hashes", base.once(F.when(enough, F.transform(starts, lambda i: F.xxhash64(*word(i))))))
     # Where all hashes differ, all windows do; only other documents compare the windows themselves.
     some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
     pair = lambda i: F.struct(F.concat_ws(" ", *word(i)).alias("window"), i.alias("place"))
-    df = df.withColumn("_order", F.when(some, F.array_sort(F.transform(starts, pair))))
-    df = df.withColumn("_places", _repeated_places("_order"))
+    df = df.withColumn("_order", base.once(F.when(some, F.array_sort(F.transform(starts, pair)))))
+    df = df.withColumn("_places", base.once(_repeated_places("_order")))
     gap = lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_places", i + 1) - x, F.lit(WINDOW)))
     covered = F.aggregate(F.transform("_places", gap), F.lit(0), lambda a, x: a + x)
-    long = lambda c: c.cast("bigint")
+    long = lambda c: base.once(c.cast("bigint"))
     return df.select(
         "doc_id",
         long(F.size("_words")).alias("n_words"),
