@@ -144,22 +144,25 @@ def take(docs, seed=SEED):
 
     Rows of equal doc_id, source and size are told apart by a hash of all their columns.
     """
-    size, key, k = (base.free_name(docs, c) for c in ("_size", "_key", "_k"))
-    whole = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
-    n = F.size(base.words(F.col("text").cast("string"))).cast("bigint")
-    ids = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("source").cast("string"))
-    nulls = F.concat(F.col("doc_id").isNull().cast("string"), F.col("source").isNull().cast("string"))
-    one = W.partitionBy(size, "doc_id", "source")
-    left = docs.withColumn(size, n).withColumn(k, F.row_number().over(one.orderBy(whole)))
-    left = left.withColumn(key, F.concat_ws("/", nulls, ids.cast("string"), F.col("doc_id").cast("string"), F.col("source")))
-    mixed = mix(docs, seed).filter("times > 0")
-    right = mixed.select(
-        F.concat_ws("/", nulls, ids.cast("string"), F.col("doc_id").cast("string"), F.col("source")).alias(key),
-        F.col("size").alias(size),
-        F.row_number().over(W.partitionBy("size", "doc_id", "source").orderBy(F.desc("times"))).alias(k),
-        F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))),
-    )
-    return left.join(right.drop("col"), [key, size, k]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    no_id, key, source, size, k, times = (base.free_name(docs, c) for c in ("_no", "_key", "_source", "_size", "_k", "_times"))
+    keys = [no_id, key, source, size]  # nulls apart, so that rows join on plain equality
+
+    def keyed(df, n, more):
+        null = F.concat_ws("/", F.col("doc_id").isNull().cast("string"), F.col("source").isNull().cast("string"))
+        own = [null.alias(no_id), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias(key)]
+        own += [F.coalesce(F.col("source").cast("string"), F.lit("")).alias(source), n.alias(size)]
+        return df.select(*own, *more)
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    words = F.size(base.words(F.col("text").cast("string"))).cast("bigint")
+    whole = F.xxhash64(*(c.cast("string") for c in columns))
+    left = keyed(docs, words, columns)
+    left = left.withColumn(k, F.row_number().over(W.partitionBy(*keys).orderBy(whole)))
+    right = keyed(mix(docs, seed).filter("times > 0"), F.col("size"), [F.col("times").alias(times)])
+    right = right.withColumn(k, F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(times))))
+    both = left.join(right, [*keys, k])
+    copies = F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)
+    return both.select(*columns, copies).select(*columns)
 
 
 @base.register("op3_mix_subset_sum")
