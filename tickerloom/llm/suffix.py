@@ -186,6 +186,7 @@ def _level(strings, m, length, last):
     found = base.settled(_cut(strings, m, length), "pieces")
     anchors = found.groupBy("anchor").agg(F.sum("n").alias("k"), F.min("whole").alias("a"), F.max("whole").alias("b"))
     anchors = anchors.filter("k > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    anchors = base.settled(anchors, "anchors")  # so both sides of the join are split where one is hot
     found = base.settled(found.join(anchors, "anchor"), "repeated")
     distinct = found.groupBy("anchor", "whole", "size", "mixed").agg(
         F.sum("n").alias("total"), F.min(F.struct(*KEYS, "first")).alias("at")
