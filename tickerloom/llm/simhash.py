@@ -25,6 +25,11 @@ BLOCK = 4096
 #: Buckets of at most this many members are verified pair by pair.
 FEW = 32
 SLICE = 1 << 16
+#: For near copies by shingles: planes of 64 bits, segments of each, and differing bits of the first
+#: plane up to which a pair is verified (similarity 0.8: 9.7 on average, deviation 2.9).
+PLANES, PLANE_SEGMENTS, NEAR_BITS = 4, 3, 18
+#: Fingerprints compared at once within a bucket.
+MATRIX = 1 << 18
 
 
 def shingle_hashes(data, n):
@@ -37,9 +42,7 @@ def shingle_hashes(data, n):
     return np.array([h(s, SEED) for s in parts], np.uint64)
 
 
-def fingerprint(data, n=SHINGLE):
-    """The bits set in over half of the shingles' hashes, as an unsigned integer; no words: 0."""
-    hashes = shingle_hashes(data, n)
+def _majority(hashes):
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), SLICE):
         part = hashes[at : at + SLICE].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -47,15 +50,33 @@ def fingerprint(data, n=SHINGLE):
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs, keys, n=SHINGLE):
-    """keys of docs and `fp`, the fingerprint of `text` as a signed bigint; null text has no words."""
-    schema = ", ".join(f"{k} bigint" for k in keys) + ", fp bigint"
+def fingerprint(data, n=SHINGLE, planes=1):
+    """The bits set in over half of the shingles' hashes, as unsigned integers; no words: 0.
+
+    Planes after the first are taken from the same hashes, mixed anew.
+    """
+    hashes, out = shingle_hashes(data, n), []
+    for _ in range(planes):
+        out.append(_majority(hashes))
+        hashes = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(32)
+    return out if planes > 1 else out[0]
+
+
+def fingerprints(docs, keys, n=SHINGLE, planes=1):
+    """keys of docs and the fingerprint of `text` (null: no words) as signed bigint `fp`.
+
+    More planes follow as fp1, fp2 and so on.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, planes))]
+    schema = ", ".join(f"{k} bigint" for k in [*keys, *names])
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py(), n) for t in batch.column(len(keys)).cast(pa.binary())]
-            fps = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], [*keys, "fp"])
+            texts = batch.column(len(keys)).cast(pa.binary())
+            fps = np.array([fingerprint(t.as_py(), n, planes) for t in texts], np.uint64).reshape(len(batch), planes)
+            found = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(planes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*keys, *names])
 
     return base.map_arrow(docs.select(*keys, base.text_or_empty()), run, schema)
 
@@ -67,14 +88,15 @@ def segments(bits):
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-def variants(fps, bits):
-    """fps (fp) with `variant` 0..63 (the bit left out) and `key`: that number and the segment."""
+def variants(fps, bits, planes=1):
+    """fps (fp, fp1, ...) with `variant` (the bit left out) and `key`: that number and the segment."""
     keys = []
-    for low, width in segments(bits):
-        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
-        for p in range(width):
-            rest = part.bitwiseAND(F.lit((1 << width) - 1 - (1 << p)))
-            keys.append(rest + F.lit((low + p) << 57))
+    for plane in range(planes):
+        for low, width in segments(bits):
+            part = F.shiftrightunsigned(f"fp{plane or ''}", low).bitwiseAND(F.lit((1 << width) - 1))
+            for p in range(width):
+                rest = part.bitwiseAND(F.lit((1 << width) - 1 - (1 << p)))
+                keys.append(rest + F.lit((64 * plane + low + p) << 33))
     return fps.select("fp", F.posexplode(F.array(*keys)).alias("variant", "key"))
 
 
@@ -96,21 +118,27 @@ def forest(f, bits):
     """Pairs of places that connect what links of `bits` or fewer connect: at most len(f) - 1."""
     a, b, left = [], [], np.arange(len(f))
     while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            near = np.bitwise_count(f[left] ^ f[i]) <= bits
-            new = left[near]
-            a += [i] * len(new)
-            b += new.tolist()
-            queue += new.tolist()
-            left = left[~near]
-    return f[a], f[b]
-
-
-def _links(bits):
-    """For mapInArrow over rows (variant, group, fp) that are sorted by group: linked (u, v)."""
-    segs = segments(bits)
+        queue, left = left[:1], left[1:]
+        while len(queue) and len(left):
+            k = max(1, min(len(queue), MATRIX // len(left)))
+            now, queue = queue[:k], queue[k:]
+            near = np.bitwise_count(f[now][:, None] ^ f[left]) <= bits
+            hit = near.any(axis=0)
+            new = left[hit]
+            a.append(now[near[:, hit].argmax(axis=0)])
+            b.append(new)
+            queue, left = np.concatenate([queue, new]), left[~hit]
+    if not a:
+        return f[:0], f[:0]
+    return f[np.concatenate(a)], f[np.concatenate(b)]
+
+
+def _links(bits, segs):
+    """For mapInArrow over rows (variant, group, fp) that are sorted by group: linked (u, v).
+
+    segs: the segments of one plane; then a pair of a small bucket is given at its first variant
+    only. None: wherever it meets.
+    """
 
     def linked(variant, group, f):
         cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -122,7 +150,8 @@ def _links(bits):
         while len(at := at[at + k < ends[at]]):
             x = f[at] ^ f[at + k]
             ok = np.bitwise_count(x) <= bits
-            ok[ok] = _first_only(x[ok], variant[at[ok]], segs)
+            if segs:
+                ok[ok] = _first_only(x[ok], variant[at[ok]], segs)
             out.append((f[at[ok]], f[at[ok] + k]))
             k += 1
         u, v = (np.concatenate([o[i] for o in out] or [f[:0]]).view(np.int64) for i in (0, 1))
@@ -146,20 +175,25 @@ def _links(bits):
     return run
 
 
-def links(fps, bits=BITS, block=BLOCK):
-    """fps (fp, distinct) -> (u, v): links that connect all fingerprints within `bits` of each other."""
+def links(fps, bits=BITS, block=BLOCK, planes=1, cut=None):
+    """fps (fp, distinct) -> (u, v): links that connect all fingerprints within `bits` of each other.
+
+    With more planes (fp1, ...), their segments, cut for `cut` differences in 64 bits, find pairs
+    too, and `bits` is asked of the first plane: no bound finds them all then.
+    """
     same = W.partitionBy("key")
-    rows = variants(fps, bits).withColumn("n", F.count("*").over(same)).filter("n > 1")
+    linked = _links(bits, segments(bits) if planes == 1 else None)
+    rows = variants(fps, cut or bits, planes).withColumn("n", F.count("*").over(same)).filter("n > 1")
     rows = rows.withColumn("k", F.row_number().over(same.orderBy("fp")) - 1)
     near = rows.filter(F.col("n") <= block).select("variant", F.col("key").alias("group"), "fp")
-    found = base.map_arrow(near, _links(bits), "u bigint, v bigint")
+    found = base.map_arrow(near, linked, "u bigint, v bigint")
     mine, n = F.floor(F.col("k") / block), F.ceil(F.col("n") / block)
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("other")
     hot = rows.filter(F.col("n") > block).select("variant", "key", "fp", mine.alias("mine"), other)
     group = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group")
     hot = hot.select("variant", group, "fp").repartition(base.partitions(fps.sparkSession), "group")
     hot = hot.sortWithinPartitions("group", "fp")
-    return found.union(base.map_arrow(hot, _links(bits), "u bigint, v bigint"))
+    return found.union(base.map_arrow(hot, linked, "u bigint, v bigint"))
 
 
 def classes(fps, bits=BITS):
@@ -185,20 +219,51 @@ def components_of(docs, n=SHINGLE, bits=BITS):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs, n=SHINGLE, bits=BITS):
+def _sets(texts, n):
+    """texts (fp, text) -> (fp, shingles: hashes of the distinct shingles of n words)."""
+    texts = texts.select("fp", base.once(base.words(F.lower(base.text_or_empty()))).alias("w"))
+    one = lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(n)))
+    many = F.transform(F.sequence(F.lit(0), F.size("w") - n), one)
+    few = F.array(F.xxhash64(F.concat_ws(" ", "w")))
+    return texts.select("fp", base.once(F.array_distinct(F.when(F.size("w") >= n, many).otherwise(few))).alias("shingles"))
+
+
+def similar(pairs, texts, n, similarity):
+    """pairs (u, v) of fp whose texts (fp, text) share `similarity` of their shingles of n words."""
+    sets = base.settled(_sets(texts, n), "shingles")
+    a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
+    both = pairs.join(a, "u").join(b, "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    both = both.select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), base.once(shared).alias("k"))
+    return both.filter(F.col("k") >= similarity * (F.col("m") + F.col("n") - F.col("k"))).select("u", "v")
+
+
+def keep_one(docs, n=5, similarity=0.8, planes=PLANES):
     """docs with one row of each class: the least doc_id (null last), then the least row hash.
 
-    Columns stay as they are. Rows that are equal in all columns are copies; one of them stays.
+    Near copies are texts whose sets of n-word shingles have this similarity (Jaccard). Segments of
+    `planes` times 64 bits find the pairs: at similarity 0.8 with probability 0.86, at 0.85 with
+    0.95, at 0.9 with 0.99; each pair found is verified by its shingles. Texts of one fingerprint
+    are one class. Columns stay as they are. Rows equal in all columns are copies; one stays.
     """
     key, row, no_id = (base.free_name(docs, c) for c in ("_key", "_row", "_no_id"))
     whole = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
     df = docs.withColumn(no_id, F.col("doc_id").isNull().cast("bigint"))
     df = df.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint"))).withColumn(row, whole)
     own = df.select(F.col(no_id).alias("no_id"), F.col(key).alias("key"), F.col(row).alias("row"), "text")
-    fps = base.settled(fingerprints(own, ["no_id", "key", "row"], n), "fingerprints")
-    first = fps.groupBy("fp").agg(F.min(F.struct("no_id", "key", "row")).alias("first"))
-    first = first.join(classes(fps, bits), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    stay = first.select(F.col("first.no_id").alias(no_id), F.col("first.key").alias(key), F.col("first.row").alias(row))
+    mine = ["no_id", "key", "row"]
+    fps = base.settled(fingerprints(own, mine, n, planes), "fingerprints")
+    more = [f"fp{k}" for k in range(1, planes)]
+    first = fps.groupBy("fp").agg(F.min(F.struct(*mine, *more)).alias("first"))
+    first = base.settled(first.select("fp", *(F.col(f"first.{c}").alias(c) for c in [*mine, *more])), "first")
+    pairs = links(first.select("fp", *more), NEAR_BITS, BLOCK, planes, 2 * PLANE_SEGMENTS - 1)
+    pairs = base.settled(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    texts = own.join(first.join(ends, "fp").select("fp", *mine), mine).dropDuplicates(["fp"])
+    found = components.roots(similar(pairs, texts, n, similarity)).withColumnRenamed("node", "fp")
+    roots = first.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    stay = roots.groupBy("root").agg(F.min(F.struct(*mine)).alias("first"))
+    stay = stay.select(F.col("first.no_id").alias(no_id), F.col("first.key").alias(key), F.col("first.row").alias(row))
     kept = df.join(stay, [no_id, key, row], "left_semi").dropDuplicates([no_id, key, row])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
