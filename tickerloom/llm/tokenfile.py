@@ -47,14 +47,19 @@ def _width(vocabulary, end_id):
 
 
 def train_dictionary(docs, path, end_id, width):
-    """A dictionary trained on the ids of a bounded sample: the documents with the least hash.
+    """A dictionary trained on the ids of a bounded sample, chosen by hash.
 
-    The bound is SAMPLE_DOCS x SAMPLE_IDS. Too little to train on gives an empty dictionary.
+    The bound is SAMPLE_DOCS x SAMPLE_IDS, whatever the table's size: a share of the documents is
+    let through that gives about twice as many, and the first SAMPLE_DOCS of them are taken.
+    Which ones they are changes the frames and never what is read back. Too little to train on
+    gives an empty dictionary.
     """
+    share = min(1 << 20, -(-(2 * SAMPLE_DOCS << 20) // max(1, docs.count())))
+    mark = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20))
     beginning = F.substring("text", 1, 8 * SAMPLE_IDS)  # of the sample only: no row is read from it
-    sample = docs.orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id").limit(SAMPLE_DOCS)
+    sample = docs.filter(mark < share).select(beginning.alias("t")).limit(SAMPLE_DOCS)
     enc, ids = tokens.encoder(path), []
-    for row in sample.select(beginning.alias("t")).collect():
+    for row in sample.collect():
         data = np.frombuffer(enc.encode(row.t.encode()), "<u4")[:SAMPLE_IDS]
         ids.append(np.append(data, end_id).astype(width).tobytes())
     try:
