@@ -53,10 +53,13 @@ def test_order_of_rows_does_not_matter_and_wide_arrival_agrees(spark):
     assert B.bucketize(wide).orderBy("second", "symbol").collect() == base
 
 
-def test_arrival_beyond_the_packed_width_fails_loudly(spark, tape):
-    df = tape.trade("A", 1, 1, 1).frame(spark).withColumn("arrival", F.lit(2**33))
-    with pytest.raises(Exception, match="33 bits"):
-        B.bucketize(df).collect()
+@pytest.mark.parametrize("base", [0, 2**33 - 1, 2**62, -(2**63), 2**63 - 3])
+def test_arrivals_of_any_width_order_ties(spark, tape, base):
+    for price in (7, 9, 8):
+        tape.trade("A", 1, price, 1, ns=5)
+    tape.trade("A", 1, 1, 1, ns=4)  # earlier on the tape's clock, later in arrival
+    df = tape.frame(spark).withColumn("arrival", F.lit(base) + F.least("arrival", F.lit(2)))
+    assert B.bucketize(df).first()["last_price"] == 8
 
 
 def test_minutes_equal_the_sum_of_their_seconds(spark):

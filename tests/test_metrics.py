@@ -213,7 +213,14 @@ def test_member_without_baseline_is_an_error(spark, tape):
     tape.trade("A", at("10:00:00"), 1, 1)
     inp = inputs(spark, tape, at("10:01:00"), dict(a=["A", "Z"]), tickers=ticker_profile(spark, dict(A=1)))
     with pytest.raises(ValueError, match="Z"):
-        table.check_profiles(inp)
+        table.basket_table(inp)
+
+
+def test_benchmark_outside_the_universe_is_an_error(spark, tape):
+    tape.trade("A", at("10:00:00"), 1, 1)
+    inp = inputs(spark, tape, at("10:01:00"), dict(a=["A"]), tickers=ticker_profile(spark, dict(A=1)))
+    with pytest.raises(ValueError, match="benchmark"):
+        table.basket_table(inp.with_(universe=spark.createDataFrame([("A",)], "symbol string")))
 
 
 def test_registered_metric(spark, tape):

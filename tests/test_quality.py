@@ -54,6 +54,21 @@ def test_clock_ignores_a_corrupt_future_time(spark):
     assert QL.session_clock(df).first()["clock_ns"] == base + 30 * 10**9
 
 
+def test_clock_takes_chains_of_jumps_from_zero(spark):
+    hour = 3600 * 10**9
+    steps = [0, 0, 5, 30, 20, 90, 30, 53, 53 + 24, 200, 100, 124, 150]  # hours after base; 0 is no time
+    rows = [("d", k, h and (1000 + h) * hour) for k, h in enumerate(steps)]
+    rows += [("e", k, 0) for k in range(2)] + [("f", 0, 7), ("f", 1, 24 * hour + 8), ("f", 2, 24 * hour + 7)]
+    df = spark.createDataFrame(rows, "session_date string, arrival bigint, sip_ns bigint")
+    clock = {}
+    for day, _, ns in rows:
+        now = clock.get(day, 0)
+        if ns > now and (now == 0 or ns - now <= 24 * hour):
+            clock[day] = ns
+    for block in (1, 3, 4096):
+        assert dict(QL.session_clock(df.repartition(3), block).collect()) == clock
+
+
 def test_reconcile(spark):
     schema = "symbol string, kind string, sip_ns bigint"
     cap = spark.createDataFrame([("A", "trade", 10), ("A", "trade", 20), ("B", "quote", 10)], schema)

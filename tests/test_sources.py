@@ -4,17 +4,17 @@ import json
 import pytest
 
 from tickerloom.operators import buckets as B
-from tickerloom.sources import capture, config, flat
+from tickerloom.sources import capture, config, flat, store
 
 TRADES = """Size,TICKER, price ,conditions,exchange,tape,participant_timestamp,sip_timestamp,sequence_number,trf_id
-100.5,NVDA,50.25,"14,37",4,3,900,1000,1,x
-10,NVDA,50.5,,4,3,,2000,2,
-7,MSFT,300,,4,3,,3000,3,
+12.75,WIDG,8.125,"14,37",4,3,900,1000,1,x
+10,WIDG,8.5,,4,3,,2000,2,
+7,BOLT,300,,4,3,,3000,3,
 """
 QUOTES = """ask_price,ask_size,ticker,bid_price,bid_size,ask_exchange,bid_exchange,conditions,sequence_number,sip_timestamp
-500.02,1,SPY,500.01,1,1,1,,1,1000
-500.04,2.9,SPY,500.03,4,1,1,1,2,2000
-50x.02,,SPY,500.05,4,1,1,,3,3000
+77.13,1,KITE,77.11,1,1,1,,1,1000
+77.2,2.9,KITE,77.19,4,1,1,1,2,2000
+7q.4,,KITE,77.21,4,1,1,,3,3000
 """
 
 
@@ -30,11 +30,11 @@ def write(path, text):
 @pytest.mark.parametrize("name", ["t.csv", "t.csv.gz"])
 def test_trades(spark, tmp_path, name):
     path = write(tmp_path / name, TRADES)
-    u = universe(spark, "NVDA", "SPY")
+    u = universe(spark, "WIDG", "SPY")
     rows = flat.read_trades_flat(spark, path, u).orderBy("sip_ns").collect()
     assert [(r["symbol"], r["price"], r["size"], r["part_ns"], r["conditions"]) for r in rows] == [
-        ("NVDA", 50.25, 100.5, 900, [14, 37]),
-        ("NVDA", 50.5, 10.0, 0, []),
+        ("WIDG", 8.125, 12.75, 900, [14, 37]),
+        ("WIDG", 8.5, 10.0, 0, []),
     ]
     s = flat.flat_stats(flat.read_flat_annotated(spark, path, "trade", u)).first()
     assert (s["rows"], s["submitted"], s["filtered"], s["windowed"], s["malformed"]) == (3, 2, 1, 0, 0)
@@ -44,7 +44,7 @@ def test_trades(spark, tmp_path, name):
 def test_quotes_window_and_malformed(spark, tmp_path):
     path = write(tmp_path / "q.csv", QUOTES)
     rows = flat.read_quotes_flat(spark, path).orderBy("sip_ns").collect()
-    assert [(r["ask_price"], r["ask_size"]) for r in rows] == [(500.02, 1), (500.04, 2), (0.0, 0)]
+    assert [(r["ask_price"], r["ask_size"]) for r in rows] == [(77.13, 1), (77.2, 2), (0.0, 0)]
     s = flat.flat_stats(flat.read_flat_annotated(spark, path, "quote")).first()
     assert (s["submitted"], s["malformed"]) == (3, 1)
     s = flat.flat_stats(flat.read_flat_annotated(spark, path, "quote", None, 1000, 3000)).first()
@@ -58,8 +58,8 @@ def test_missing_column_is_an_error(spark, tmp_path):
         flat.read_trades_flat(spark, path)
 
 
-T = '{"ev":"T","sym":"NVDA","x":4,"p":225.63,"s":10.5,"c":[14,37],"t":1786722695123,"pt":1786722695120,"q":7,"z":3,"trfi":202,"new":1}'
-Q = '{"ev":"Q","sym":"NVDA","bx":1,"bp":225.62,"bs":100,"ax":2,"ap":225.64,"as":500,"c":1,"t":1786722695124,"q":8,"z":3}'
+T = '{"ev":"T","sym":"WIDG","x":4,"p":41.07,"s":3.25,"c":[14,37],"t":1786790411377,"pt":1786790411305,"q":7,"z":3,"trfi":202,"new":1}'
+Q = '{"ev":"Q","sym":"WIDG","bx":1,"bp":41.06,"bs":100,"ax":2,"ap":41.09,"as":500,"c":1,"t":1786790411399,"q":8,"z":3}'
 STATUS = '{"ev":"status","message":"ok"}'
 
 
@@ -74,17 +74,17 @@ def test_frame(spark, tmp_path):
     s = capture.capture_stats(d).first()
     assert (s["trades"], s["quotes"], s["status"], s["unknown"], s["decode_errs"]) == (1, 1, 1, 0, 0)
     t = capture.capture_trades(d).first()
-    assert (t["sip_ns"], t["part_ns"], t["size"]) == (1786722695123 * 10**6, 1786722695120 * 10**6, 10.5)
+    assert (t["sip_ns"], t["part_ns"], t["size"]) == (1786790411377 * 10**6, 1786790411305 * 10**6, 3.25)
     assert (t["conditions"], t["seq"], int(t["arrival"])) == ([14, 37], 7, 17 * 10**6 + 1)
     q = capture.capture_quotes(d).first()
-    assert (q["bid_price"], q["bid_size"], q["ask_price"], q["ask_size"]) == (225.62, 100, 225.64, 500)
+    assert (q["bid_price"], q["bid_size"], q["ask_price"], q["ask_size"]) == (41.06, 100, 41.09, 500)
     assert q["conditions"] == [1]
 
 
 def test_torn_lines_are_skipped_and_bad_events_counted(spark, tmp_path):
-    lines = ["", "nospace", f"x1 [{T}]", f"18 [{T[:40]}", ' 19 []', f"20 [{T.replace('NVDA', 'MSFT')}]",
-             '21 {"ev":"T"}', f'22 [{T.replace("225.63", json.dumps("abc"))},5,{STATUS}]', "23 []", f"24 [{T}"]
-    records, d = decoded(spark, tmp_path, lines, universe(spark, "NVDA"))
+    lines = ["", "nospace", f"x1 [{T}]", f"18 [{T[:40]}", ' 19 []', f"20 [{T.replace('WIDG', 'BOLT')}]",
+             '21 {"ev":"T"}', f'22 [{T.replace("41.07", json.dumps("abc"))},5,{STATUS}]', "23 []", f"24 [{T}"]
+    records, d = decoded(spark, tmp_path, lines, universe(spark, "WIDG"))
     assert sorted(r["recv_ns"] for r in records.collect()) == [20, 21, 22, 23]
     s = capture.capture_stats(d).first()
     assert (s["trades"], s["unknown"], s["status"], s["decode_errs"]) == (0, 1, 1, 3)
@@ -99,9 +99,9 @@ def test_too_many_conditions(spark, tmp_path):
 
 def test_peek(spark, tmp_path):
     plain = T.replace("[14,37]", "[]")
-    _, d = decoded(spark, tmp_path, [f"18 [{T}]", f"17 [{plain},{Q}]", f"19 [{T.replace('NVDA', 'A')}]"])
+    _, d = decoded(spark, tmp_path, [f"18 [{T}]", f"17 [{plain},{Q}]", f"19 [{T.replace('WIDG', 'A')}]"])
     assert [r["recv_ns"] for r in capture.peek(d, 2).collect()] == [17, 18]
-    assert [r["recv_ns"] for r in capture.peek(d, 5, "NVDA", True).collect()] == [18]
+    assert [r["recv_ns"] for r in capture.peek(d, 5, "WIDG", True).collect()] == [18]
 
 
 def test_configuration(spark, tmp_path):
@@ -129,3 +129,20 @@ def test_unlisted_symbols(spark):
                                 "symbol string, market string, active boolean")
     got = config.unlisted_symbols(universe(spark, "A", "B", "C", "D"), ref).collect()
     assert sorted(map(tuple, got)) == [("B", "inactive"), ("B", "market"), ("C", "inactive"), ("D", "missing")]
+
+
+def test_session_files_are_found_in_a_real_folder(spark, tmp_path):
+    for name in ("2026-08-10.csv", "2026-08-10.csv.gz", "2026-08-11.trades-only.csv", "2026-08-12.partial.csv", "2026-08-13.csv.gz", "notes.txt"):
+        (tmp_path / name).write_text("x")
+    files = store.list_bucket_files(spark, str(tmp_path))
+    found = store.discover_sessions(store.bucket_catalog(files), 2).collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in found] == ["2026-08-11.trades-only.csv", "2026-08-13.csv.gz"]
+    with pytest.raises(ValueError, match="no bucket files"):
+        store.check_discovered(store.discover_sessions(store.bucket_catalog(files), 2, through="2026-01-01"))
+
+
+def test_a_store_without_a_column_is_refused(spark, tape, tmp_path):
+    rows = B.bucketize(tape.trade("A", 1, 1, 1).frame(spark))
+    rows.drop("last_price").write.partitionBy("session_date").parquet(str(tmp_path / "b"))
+    with pytest.raises(ValueError, match="last_price"):
+        store.read_buckets(spark, str(tmp_path / "b"))

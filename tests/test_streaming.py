@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest import Tape, et
 
 from tickerloom.operators import book
@@ -43,6 +44,51 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     assert sum(got) == df.count() + 5
 
 
+def test_a_long_day_keeps_few_files_and_folds_add_up(spark, tmp_path):
+    df = make_tape().frame(spark)
+    out, n, most = str(tmp_path / "out"), 50, 0
+    for k in range(n):
+        live.append_epoch(df.filter(f"arrival % {n} = {k}").coalesce(1), k, out)
+        if k % 8 == 7:
+            live.fold(spark, out, k - 1)
+        most = max(most, len(list((tmp_path / "out/delta").rglob("*.parquet"))))
+    assert most <= 10 * 4  # ten epochs at most, a file per shuffle partition
+    assert len(list((tmp_path / "out/fold").glob("through=*"))) == 1
+    order = lambda rows: [r[:3] for r in rows.orderBy("second", "symbol").select("symbol", "second", "trades").collect()]
+    assert order(live.read_live_buckets(spark, out)) == order(B.bucketize(df))
+
+
+def test_a_new_checkpoint_over_an_old_store_is_refused(spark, tmp_path):
+    df = make_tape().frame(spark)
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    df.write.parquet(src)
+    for epoch in (0, 1):
+        live.append_epoch(df, epoch, out)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    with pytest.raises(Exception, match="another checkpoint"):
+        live.start_bucket_store(stream, out, str(tmp_path / "new"), available_now=True).awaitTermination()
+
+
+def test_sequence_watch_keeps_two_states(spark, tmp_path):
+    df = make_tape().frame(spark)
+    watch = live.SequenceWatch(str(tmp_path / "w"), 50)
+    for k in range(5):
+        watch(df.filter(f"arrival >= {k * 200} AND arrival < {(k + 1) * 200}"), k)
+    assert len(list((tmp_path / "w").glob("epoch=*"))) == 2
+    rows = lambda d: sorted((r["symbol"], r["kind"], r["messages"], r["regressions"]) for r in d.collect())
+    assert rows(watch.counts(spark)) == rows(book.sequence_regressions(df.filter("arrival < 1000"), 50))
+
+
+def test_window_state_uses_the_nanosecond(spark, tmp_path):
+    late = 1704200000999999999
+    df = spark.createDataFrame([("A", "trade", 5.0, 1.0, late, [], 0)], "symbol string, kind string, price double, size double, sip_ns bigint, conditions array<int>, arrival bigint")
+    df.write.parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "src"))
+    live.start_updates(live.windowed_buckets(stream), str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    got = live.read_updates(spark, str(tmp_path / "out"), "symbol", "second")
+    assert got.select("second", "trades", "continuous_trades").collect() == [(1704200000, 1, 1)]
+
+
 def test_close_session_labels_coverage(spark, tmp_path):
     d = "2026-08-11"
     t = Tape().trade("A", et(d, "09:30:00"), 1, 1).quote("A", et(d, "12:00:00")).trade("A", et(d, "16:00:00"), 1, 1)

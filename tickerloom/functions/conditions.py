@@ -1,7 +1,8 @@
 """Sale-condition codes: parsing, print classes, lateness flag.
 
 The class of a print is looked up in a literal array, one slot at a time, so the
-expression stays inside generated code (no higher-order function in the hot path).
+expression stays inside generated code; only arrays of more than eight ids take a higher-order
+function. Readers keep eight ids and count the rest; `classify` sees whatever array it is given.
 """
 
 from pyspark.sql import functions as F
@@ -64,28 +65,20 @@ def overflowed(ids):
 
 
 def classify_sql(conditions):
-    table, top = rank_table_sql(), RANK["continuous"]
+    """Class rank over every id of the array: the first slots in generated code, longer ones whole."""
+    table, top, unknown = rank_table_sql(), RANK["continuous"], RANK["unknown"]
     slots = [f"get({conditions}, {i})" for i in range(MAX_CONDITIONS)]
-    ranks = [
-        f"if({s} IS NULL, {top}, coalesce(get({table}, {s}), {RANK['unknown']}))" for s in slots
-    ]
-    return f"least({', '.join(ranks)})"
+    ranks = [f"if({s} IS NULL, {top}, coalesce(get({table}, {s}), {unknown}))" for s in slots]
+    rank = f"if(x IS NULL, {top}, coalesce(get({table}, x), {unknown}))"
+    every = f"array_min(transform({conditions}, x -> {rank}))"
+    return f"CASE WHEN size({conditions}) > {MAX_CONDITIONS} THEN {every} ELSE least({', '.join(ranks)}) END"
 
 
 def classify(conditions):
-    """Class rank of a capped id array column (0 = highest precedence)."""
+    """Class rank of an id array column of any length (0 = highest precedence)."""
     return F.expr(classify_sql(conditions))
 
 
-def classify_uncapped(conditions):
-    """Class rank of an id array of any length."""
-    ranks = F.transform(
-        F.coalesce(_col(conditions), F.array().cast("array<int>")),
-        lambda i: F.coalesce(_known_rank(i), F.lit(RANK["unknown"])),
-    )
-    return F.coalesce(F.array_min(ranks), F.lit(RANK["continuous"]))
-
-
 def class_name(rank):
     """Upper-case class name of a rank."""
     return F.get(F.array(*[F.lit(c.upper()) for c in CLASSES]), _col(rank))

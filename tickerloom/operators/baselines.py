@@ -106,7 +106,7 @@ def ticker_profile(buckets, symbols, dates, bar_minutes=1, counted=None):
 
     Every symbol x bar has len(dates) samples; silence counts as zero.
     """
-    n = len(check_dates(dates))
+    n = len(check_sessions_have_data(buckets, check_dates(dates)))
     bars = session_bars(of_dates(buckets, dates), bar_minutes, counted)
     samples = bars.groupBy("symbol", "minute_of_day").agg(
         F.collect_list("shares").alias("s"), F.collect_list("dollars").alias("d")
@@ -198,6 +198,7 @@ def basket_profile(buckets, members, dates, bar_minutes=1):
     A session on which some member never printed is left out for every basket. A bar in
     which no member traded gives no sample.
     """
+    check_sessions_have_data(buckets, check_dates(dates))
     days = basket_day_shares(buckets, members, dates, bar_minutes)
     samples = days.groupBy("basket", "minute_of_day").agg(
         F.collect_list("share").alias("s"), F.collect_list("cum_share").alias("c")

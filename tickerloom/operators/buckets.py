@@ -1,37 +1,30 @@
 """One-second buckets per symbol, and every read on them."""
 
+import datetime as dt
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickerloom.functions import conditions as C
 from tickerloom.functions import session as S
-from tickerloom.schema import BUCKETS, CLASSES, CLOSE_MINUTE, OPEN_MINUTE, class_columns
-
-_ARRIVAL_BITS = 33
+from tickerloom.schema import BUCKETS, CLASSES, CLOSE_MINUTE, OPEN_MINUTE, ZONE, class_columns
 
 
-def tape_order(arrival_type):
-    """Sort key inside one second: SIP nanosecond, then arrival.
+def tape_order():
+    """Sort key inside one second: SIP nanosecond, then arrival (any BIGINT or DECIMAL(27,0)).
 
-    Kept in one fixed-width column so the bucket aggregate stays a hash aggregate. A BIGINT
-    arrival must be below 2^33 (a sequence number); wider clocks come as DECIMAL(27,0).
+    Both fit one DECIMAL(38,0), which aggregate buffers hold in place: the bucket aggregate stays
+    a hash aggregate. An arrival is less than 10^27 either way, a nanosecond step is 10^28.
     """
-    nanos = "pmod(sip_ns, 1000000000)"
-    if isinstance(arrival_type, T.DecimalType):
-        shift = "cast('1" + "0" * 27 + "' as decimal(28,0))"
-        return f"cast({nanos} as decimal(10,0)) * {shift} + cast(arrival as decimal(27,0))"
-    top = 1 << _ARRIVAL_BITS
-    too_wide = "cast(raise_error(concat('arrival does not fit 33 bits: ', arrival)) as bigint)"
-    packed = f"{nanos} * {top} + arrival"
-    return f"CASE WHEN arrival >= 0 AND arrival < {top} THEN {packed} ELSE {too_wide} END"
+    step = "cast('1" + "0" * 28 + "' as decimal(29,0))"
+    return f"cast(pmod(sip_ns, 1000000000) as decimal(9,0)) * {step} + cast(arrival as decimal(27,0))"
 
 
-def _flags(tape):
+def _flags(tape, *more):
     """Narrow input of the bucket aggregate: one fixed-width row per message."""
     if "kind" not in tape.columns:
         tape = tape.withColumn("kind", F.lit("trade"))
-    order = tape_order(tape.schema["arrival"].dataType)
     when = lambda value, other="NULL": f"CASE WHEN kind = 'trade' THEN {value} ELSE {other} END"
     return tape.selectExpr(
         "symbol",
@@ -42,7 +35,8 @@ def _flags(tape):
         when("size", "0D") + " AS size",
         when("price * size", "0D") + " AS notional",
         when("sip_ns") + " AS trade_ns",
-        when(order) + " AS ord",
+        when(tape_order()) + " AS ord",
+        *more,
     )
 
 
@@ -99,8 +93,10 @@ def derive_minute(buckets, minute_sec):
 
 
 def in_window(buckets, from_sec, to_sec):
-    """Buckets of [from_sec, to_sec)."""
-    return buckets.filter((F.col("second") >= from_sec) & (F.col("second") < to_sec))
+    """Buckets of [from_sec, to_sec); only the sessions of that time are read."""
+    day = lambda sec: dt.datetime.fromtimestamp(sec, ZoneInfo(ZONE)).date()
+    days = F.col("session_date").between(day(from_sec), day(max(from_sec, to_sec - 1)))
+    return buckets.filter(days & (F.col("second") >= from_sec) & (F.col("second") < to_sec))
 
 
 def window_sum(buckets, from_sec, to_sec):
@@ -120,6 +116,15 @@ def last_trade_price(buckets, *keys):
     return traded.groupBy(*keys).agg(F.max_by("last_price", "second").alias("last_price"))
 
 
+def trade_price_ends(buckets, *keys):
+    """First and last trade price of each group, from one pass."""
+    traded = buckets.filter("trades > 0")
+    return traded.groupBy(*keys).agg(
+        F.min_by("last_price", "second").alias("first_price"),
+        F.max_by("last_price", "second").alias("last_price"),
+    )
+
+
 def bucket_positions(buckets):
     """`pos`: the row number of each bucket in its session's (second, symbol) order.
 

@@ -37,9 +37,9 @@ from tickerloom.schema import (
 
 KEYS = ["session_date", "at_sec"]
 MARK = "\u0001"  # reserved basket name of the benchmark row
-MAX_MEMBERS = 200_000  # a basket configuration beyond this is refused
 
 _BARS = tuple(range(1, PERSIST_BARS + 1))
+GRID_BLOCKS = 32
 DOLLARS = ["prev_d", "cur_d", "live_d", "cum_d", "pre_d"] + [f"bar{j}_d" for j in _BARS]
 PRICES = ["anchor"] + [f"last{j}" for j in _BARS]
 
@@ -59,6 +59,7 @@ class Inputs:
     counted: tuple[Column, Column] | None = None
     auctions: tuple[Column, Column] | None = None
     extended: tuple[Column, Column] | None = None
+    universe: DataFrame | None = None  # the symbols of the tape, to check the configuration by
     windows: Any = None  # builds the member frame; default: member_windows
     extra: dict = field(default_factory=dict)
 
@@ -129,28 +130,14 @@ def clocks(asof, bar_minutes=1):
     )
 
 
-def _bounded(packed):
-    """The one array of `packed`, refused when it holds more than MAX_MEMBERS entries."""
-    too_many = F.raise_error(F.lit(f"more than {MAX_MEMBERS} basket members"))
-    ok = F.size("m") <= MAX_MEMBERS
-    kept = F.when(ok, F.col("m")).otherwise(too_many.cast(packed.schema["m"].dataType))
-    return packed.select(kept).scalar()
-
-
-def config_array(members, benchmark=None):
-    """The basket configuration as one literal array of (basket, symbol).
-
-    Holds the members, every member once under UNION, and the benchmark under MARK.
-    A configuration of more than MAX_MEMBERS rows is refused, so the array stays small.
-    """
-    union = members.select(F.lit(UNION).alias("basket"), "symbol")
-    rows = members.select("basket", "symbol").unionByName(union)
-    packed = rows.agg(F.array_sort(F.collect_set(F.struct("basket", "symbol"))).alias("m"))
-    array = _bounded(packed)
+def config_table(members, benchmark=None):
+    """(basket, symbol): the members, every member once under UNION, the benchmark under MARK."""
+    rows = members.select("basket", "symbol")
+    rows = rows.unionByName(members.select(F.lit(UNION).alias("basket"), "symbol")).distinct()
     if benchmark is None:
-        return array
-    mark = F.struct(F.lit(MARK).alias("basket"), F.lit(benchmark).alias("symbol"))
-    return F.concat(array, F.array(mark))
+        return rows
+    mark = members.sparkSession.range(1).select(F.lit(MARK).alias("basket"), F.lit(benchmark).alias("symbol"))
+    return rows.unionByName(mark)
 
 
 def config_symbols(inp):
@@ -164,11 +151,6 @@ def config_rows(inp):
     return inp.buckets.join(config_symbols(inp), "symbol", "left_semi")
 
 
-def symbol_array(inp):
-    """The configuration's symbols as one literal array (bounded like config_array)."""
-    return _bounded(config_symbols(inp).agg(F.array_sort(F.collect_set("symbol")).alias("m")))
-
-
 def _slices(inp):
     return (
         (inp.counted or slices.counted())[1],
@@ -214,12 +196,16 @@ def member_windows(inp):
 
 
 def _grid(inp):
-    """Every as-of second with every (basket, symbol) of the configuration."""
+    """Every as-of second with every (basket, symbol) of the configuration.
+
+    The result has a row for each of them, silent members too; neither side is tape. The
+    configuration is dealt to blocks by symbol, and the clock meets every block.
+    """
     times = clocks(inp.asof, inp.bar_minutes)
-    m = F.explode(config_array(inp.members, inp.benchmark)).alias("m")
-    return times.select("*", m).select(
-        *times.columns, F.col("m.basket").alias("basket"), F.col("m.symbol").alias("symbol")
-    )
+    block = F.explode(F.sequence(F.lit(0), F.lit(GRID_BLOCKS - 1))).alias("block")
+    config = config_table(inp.members, inp.benchmark)
+    config = config.withColumn("block", F.pmod(F.hash("symbol"), F.lit(GRID_BLOCKS)))
+    return times.select("*", block).join(config, "block").drop("block")
 
 
 def member_frame(inp, breadth=False, volume=False):

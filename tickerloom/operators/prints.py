@@ -35,7 +35,7 @@ def condition_histogram(trades):
 def class_distribution(trades):
     """Prints and dollars of every class."""
     ranked = trades.select(
-        C.classify_uncapped("conditions").alias("class_rank"),
+        C.classify("conditions").alias("class_rank"),
         (F.col("price") * F.col("size")).alias("notional"),
     )
     out = ranked.groupBy("class_rank").agg(

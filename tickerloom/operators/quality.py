@@ -7,6 +7,7 @@ from tickerloom.functions import session as S
 from tickerloom.functions import slices
 from tickerloom.functions.stats import ratio
 from tickerloom.schema import OPEN_MINUTE
+from tickerloom.sources import store
 
 # The hours of the load report, in minutes of the New York day.
 LOAD_FROM_MINUTE, LOAD_TO_MINUTE = 240, 1200
@@ -125,20 +126,22 @@ def second_load(tape, dates):
     )
 
 
-def rolling_peak(load, column="total", width=1):
-    """Per session: the highest mean rate over `width` seconds and where it starts first."""
-    ahead = W.partitionBy("session_date").orderBy("second").rowsBetween(0, width - 1)
-    spans = load.select(
-        "session_date",
-        "second",
-        F.sum(column).over(ahead).alias("n"),
-        F.count("*").over(ahead).alias("held"),
-    ).filter(F.col("held") == width)
-    best = spans.groupBy("session_date", "n").agg(F.min("second").alias("start"))
-    top = best.groupBy("session_date").agg(
-        F.max("n").alias("n"), F.max_by("start", "n").alias("start")
-    )
-    return top.select("session_date", (F.col("n") / width).alias("rate"), F.col("start").alias("at_sec"))
+def rolling_peak(load, column="total", widths=(1,)):
+    """Per session and width: the highest mean rate over so many seconds and where it starts first.
+
+    All widths come from one sort of each session's seconds.
+    """
+    widths = [widths] if isinstance(widths, int) else widths
+    order = W.partitionBy("session_date").orderBy("second")
+    ahead = lambda k: order.rowsBetween(0, k - 1)
+    full = lambda k: F.when(F.count("*").over(ahead(k)) == k, F.sum(column).over(ahead(k)))
+    spans = load.select("session_date", "second", *[full(k).alias(f"n{k}") for k in widths])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("width"), F.col(f"n{k}").alias("n")) for k in widths]))
+    spans = spans.select("session_date", "second", each.alias("w")).select("session_date", "second", "w.*")
+    best = spans.filter("n IS NOT NULL").groupBy("session_date", "width", "n").agg(F.min("second").alias("start"))
+    top = best.groupBy("session_date", "width").agg(F.max("n").alias("n"), F.max_by("start", "n").alias("start"))
+    rate = (F.col("n") / F.col("width")).alias("rate")
+    return top.select("session_date", "width", rate, F.col("start").alias("at_sec"))
 
 
 def sustained_rate(load, column="total", minutes=60):
@@ -252,17 +255,49 @@ def compare_summary(compared):
     )
 
 
-def session_clock(tape):
+def _clock_before(marks, good, block):
+    """marks (session_date, arrival, sip_ns) with the highest `good` time received before each."""
+    at = (F.col("arrival") / block).cast("bigint").alias("block")
+    good = good.select("session_date", "arrival", F.col("sip_ns").alias("good_ns"), at)
+    earlier = W.partitionBy("session_date").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    tops = good.groupBy("session_date", "block").agg(F.max("good_ns").alias("top"))
+    # A block without a message that counts has no row of its own: take the last one before it.
+    asked = marks.select("session_date", at).distinct().join(tops, ["session_date", "block"], "left")
+    every = asked.unionByName(tops).groupBy("session_date", "block").agg(F.max("top").alias("top"))
+    before = every.select("session_date", "block", F.max("top").over(earlier).alias("before_ns"))
+    own = good.select("session_date", "block", "good_ns", F.col("arrival").alias("good_at"))
+    marks = marks.select("session_date", "arrival", "sip_ns", at).join(before, ["session_date", "block"])
+    same = (marks["session_date"] == own["session_date"]) & (marks["block"] == own["block"])
+    inside = marks.join(own, same & (F.col("good_at") < marks["arrival"]), "left")
+    keys = [marks[c] for c in ("session_date", "arrival", "sip_ns", "before_ns")]
+    out = inside.groupBy(*keys).agg(F.max("good_ns").alias("inside_ns"))
+    return out.select("session_date", "arrival", "sip_ns", F.greatest("before_ns", "inside_ns").alias("clock_ns"))
+
+
+def session_clock(tape, block=4096):
     """Latest believable SIP time of each session.
 
-    The first message received sets the clock; a time more than 24 hours ahead of it is
-    corrupt and ignored. A session is shorter than a day, so later messages cannot widen this.
+    Messages are received in `arrival` order. A clock that stands at zero takes any time; after
+    that a message moves it forward by 24 hours at most, else it is corrupt and ignored. What lies
+    within 24 hours of the first time counts; messages beyond are held against the clock at their
+    arrival, again and again until no more of them count, which takes a round per jump of a chain.
     """
+    store.shared_dir(tape.sparkSession)  # rounds are checkpointed there
     day_ns = 24 * 3600 * 1_000_000_000
-    first = tape.groupBy("session_date").agg(F.min_by("sip_ns", "arrival").alias("first_ns"))
-    near = tape.select("session_date", "sip_ns").join(first, "session_date")
-    near = near.filter(F.col("sip_ns") - F.col("first_ns") <= day_ns)
-    return near.groupBy("session_date").agg(F.max("sip_ns").alias("clock_ns"))
+    rows = tape.select("session_date", F.col("arrival").cast("bigint").alias("arrival"), "sip_ns").filter("sip_ns > 0")
+    first = rows.groupBy("session_date").agg(F.min_by("sip_ns", "arrival").alias("first_ns"))
+    rows = rows.join(first, "session_date")
+    far = F.col("sip_ns") - F.col("first_ns") > day_ns
+    good = rows.filter(~far).select("session_date", "arrival", "sip_ns")
+    marks = rows.filter(far).select("session_date", "arrival", "sip_ns")
+    while True:
+        judged = _clock_before(marks, good, block)
+        late = judged.filter(F.col("sip_ns") - F.col("clock_ns") <= day_ns).drop("clock_ns").checkpoint()
+        if late.isEmpty():
+            break
+        good = good.unionByName(late)
+        marks = marks.join(late, ["session_date", "arrival", "sip_ns"], "left_anti")
+    return good.groupBy("session_date").agg(F.max("sip_ns").alias("clock_ns"))
 
 
 def tape_stats(tape):

@@ -33,12 +33,20 @@ def check_profiles(inp):
     return inp
 
 
+def check_configuration(inp):
+    """Raise if the benchmark is no symbol of the tape, or a basket member has no baseline."""
+    if inp.universe is not None and not inp.universe.filter(F.col("symbol") == inp.benchmark).take(1):
+        raise ValueError(f"benchmark {inp.benchmark} is not in the universe")
+    return check_profiles(inp) if inp.tickers is not None else inp
+
+
 def basket_table(inp, mode="dev", flags=False, extra=()):
     """One row per basket and as-of second.
 
     dev: every metric, by name. trader: the since-open set with `row_rank`. `extra` names
     registered metrics to join in.
     """
+    check_configuration(inp)
     df = M.basket_frame(inp, shares=True, baseline=True, breadth=True, volume=True)
     columns = DEV_COLUMNS if mode == "dev" else TRADER_COLUMNS
     out = [*M.KEYS, "basket", *columns]
@@ -130,7 +138,7 @@ def series_windows(step, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
                 "last_price"
             ),
         )
-        sym_days = dates.select("session_date", F.explode(M.symbol_array(inp)).alias("symbol"))
+        sym_days = bars.select(*who).distinct()  # silent symbols are zero in the grid
         bar_from = F.least("clock_from", "open_sec") - (M.PERSIST_BARS + 1) * bar
         dense = (
             sym_days.join(days, "session_date")

@@ -177,23 +177,28 @@ def profile_shape(spark, sf):
 
 
 J8 = "s:basket s:built s:current"
-J8_SQL = f"""WITH {Q.MEMBERS},
-built AS (SELECT basket, string_agg(symbol, ' ' ORDER BY symbol) AS built FROM mem GROUP BY basket),
-now AS (SELECT CASE WHEN basket = 'edge' THEN 'rim' ELSE basket END AS basket,
-               string_agg(symbol, ' ' ORDER BY symbol) AS current
-        FROM mem WHERE NOT (basket = 'core' AND symbol = 'S2') GROUP BY ALL)
+J8_SQL = """WITH m AS (SELECT n_name AS basket, n_regionkey AS region, c_custkey AS k, 'C' || c_custkey AS symbol
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+built AS (SELECT basket, string_agg(symbol, ' ' ORDER BY symbol) AS built FROM m
+          WHERE k % 7 <> 3 OR region = 4 GROUP BY basket),
+now AS (SELECT CASE WHEN region = 2 THEN basket || ' NEW' ELSE basket END AS basket,
+               string_agg(symbol, ' ' ORDER BY symbol) AS current FROM m GROUP BY ALL)
 SELECT basket, built, current FROM built FULL JOIN now USING (basket)
 WHERE built IS DISTINCT FROM current"""
 
 
 @register("stale_baskets", J8_SQL)
 def stale_baskets(spark, sf):
-    """Stored basket baselines against a configuration with one member gone and one rename."""
-    members = tapes.members(spark)
-    changed = members.filter("NOT (basket = 'core' AND symbol = 'S2')").withColumn(
-        "basket", F.when(F.col("basket") == "edge", "rim").otherwise(F.col("basket"))
+    """Nations' customers: baselines built before some joined, and before a region's were renamed."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    m = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("n_name").alias("basket"), "n_regionkey", "c_custkey", F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("symbol")
     )
-    df = store.stale_baskets(stored.basket_profile(spark, sf, "line"), changed)
+    built = m.filter("c_custkey % 7 <> 3 OR n_regionkey = 4").groupBy("basket")
+    built = built.agg(F.array_sort(F.collect_set("symbol")).alias("members"))
+    renamed = F.when(F.col("n_regionkey") == 2, F.concat("basket", F.lit(" NEW"))).otherwise(F.col("basket"))
+    df = store.stale_baskets(built, m.withColumn("basket", renamed))
     return shape(
         df.withColumn("built", F.array_join("built", " ")).withColumn(
             "current", F.array_join("current", " ")

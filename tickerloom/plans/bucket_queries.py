@@ -251,9 +251,7 @@ A6 = "d:session_date s:symbol p:first_price p:last_price"
     last_price="arg_max(last_price, second)"))
 def first_last_trade_price(spark, sf):
     b = stored.buckets(spark, sf, "line")
-    keys = ("session_date", "symbol")
-    both = B.first_trade_price(b, *keys).join(B.last_trade_price(b, *keys), list(keys))
-    return shape(both, A6)
+    return shape(B.trade_price_ends(b, "session_date", "symbol"), A6)
 
 
 A8 = "d:session_date i:min_sec i:max_sec i:rows i:symbols i:trades i:quotes d:date i:spans s:coverage"

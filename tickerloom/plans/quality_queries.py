@@ -133,9 +133,7 @@ GROUP BY session_date"""
 @register("rolling_peak", select(
     [*LOAD, "peaks AS (" + " UNION ALL ".join(_peak_sql(k) for k in (1, 10, 60)) + ")"], W5, "peaks"))
 def rolling_peak(spark, sf):
-    load = line_load(spark, sf)
-    parts = [QL.rolling_peak(load, "total", k).withColumn("width", F.lit(k)) for k in (1, 10, 60)]
-    return shape(parts[0].unionByName(parts[1]).unionByName(parts[2]), W5)
+    return shape(QL.rolling_peak(line_load(spark, sf), "total", (1, 10, 60)), W5)
 
 
 A21 = "s:symbol i:p50 i:p95 i:p99 i:max i:samples"
@@ -157,23 +155,34 @@ def feed_latency(spark, sf):
 
 
 W6 = "d:session_date i:clock_ns"
-# A corrupt message: four days ahead of its true time.
-W6_SQL = select(
-    [EVENT, """bad AS (SELECT session_date, arrival,
-         sip_ns + CASE WHEN arrival % 97 = 5 THEN 345600000000000 ELSE 0 END AS sip_ns FROM tape),
-       f AS (SELECT session_date, arg_min(sip_ns, arrival) AS first_ns FROM bad GROUP BY session_date)"""],
+# Clocks at zero, jumps of 20 hours, jumps of 40 hours (believable after one of 20), and corrupt
+# messages four days ahead.
+W6_JUMPS = ((89, 3, 0), (97, 5, 345_600), (101, 7, 72_000), (103, 9, 144_000))
+W6_NS = "CASE WHEN arrival % 89 = 3 THEN 0 " + " ".join(
+    f"WHEN arrival % {m} = {k} THEN sip_ns + {sec}000000000" for m, k, sec in W6_JUMPS[1:]
+) + " ELSE sip_ns END"
+W6_SQL = "WITH RECURSIVE " + select(
+    [EVENT, f"""bad AS (SELECT session_date, {W6_NS} AS sip_ns,
+         row_number() OVER (PARTITION BY session_date ORDER BY arrival) AS n FROM tape),
+       clock AS (
+         SELECT session_date, n, greatest(sip_ns, 0) AS clock_ns FROM bad WHERE n = 1
+         UNION ALL
+         SELECT c.session_date, b.n,
+           CASE WHEN b.sip_ns <= c.clock_ns THEN c.clock_ns
+                WHEN c.clock_ns <> 0 AND b.sip_ns - c.clock_ns > 86400000000000 THEN c.clock_ns
+                ELSE b.sip_ns END
+         FROM clock c JOIN bad b ON b.session_date = c.session_date AND b.n = c.n + 1)"""],
     W6,
-    "bad JOIN f USING (session_date) WHERE sip_ns - first_ns <= 86400000000000",
+    "clock",
     "GROUP BY session_date",
-    clock_ns="max(sip_ns)",
-)
+    clock_ns="max(clock_ns)",
+).removeprefix("WITH ")
 
 
 @register("session_clock", W6_SQL)
 def session_clock(spark, sf):
     tape = tapes.event_tape(spark, sf)
-    corrupt = F.when(F.col("arrival") % 97 == 5, 345_600_000_000_000).otherwise(0)
-    return shape(QL.session_clock(tape.withColumn("sip_ns", F.col("sip_ns") + corrupt)), W6)
+    return shape(QL.session_clock(tape.withColumn("sip_ns", F.expr(W6_NS))), W6)
 
 
 J9_FROM, J9_TO = 1_704_500_000_000_000_000, 1_706_200_000_000_000_000

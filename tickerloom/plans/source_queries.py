@@ -220,33 +220,25 @@ def peek(spark, sf):
 
 
 def _config(spark, sf):
-    """Nations as baskets of their customers; regions as benchmark groups of their nations."""
+    """Nations as baskets of their customers; regions as benchmark groups of their nations.
+
+    One JSON object per line, a thousand customer keys of one nation or one group in each.
+    """
 
     def write(path):
         c = spark.read.parquet(f"{sf}/customer.parquet")
         n = spark.read.parquet(f"{sf}/nation.parquet")
         r = spark.read.parquet(f"{sf}/region.parquet")
         sym = F.concat(F.lit("C"), F.col("c_custkey").cast("string"))
-        baskets = (
-            c.join(n, c.c_nationkey == n.n_nationkey)
-            .groupBy("n_name")
-            .agg(F.collect_list(sym).alias("m"))
-            .select(
-                F.col("n_name").alias("k"),
-                F.struct(F.concat("m", F.slice("m", 1, 2)).alias("members")).alias("v"),
-            )
-        )
+        part = F.floor(F.col("c_custkey") / 1000)
+        members = F.concat("m", F.slice("m", 1, 2)).alias("members")  # some of them twice
+        baskets = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name", part).agg(F.collect_list(sym).alias("m"))
+        baskets = baskets.select(F.create_map("n_name", F.struct(members)).alias("baskets"))
         group = F.when(F.col("r_regionkey") == 2, config.EXCLUDED_GROUP).otherwise(F.col("r_name"))
-        groups = (
-            n.join(r, n.n_regionkey == r.r_regionkey)
-            .groupBy(group.alias("k"))
-            .agg(F.collect_list("n_name").alias("v"))
-        )
-        as_map = lambda df: df.agg(F.map_from_entries(F.collect_list(F.struct("k", "v")))).scalar()
-        one = spark.range(1).select(
-            as_map(groups).alias("benchmarks"), as_map(baskets).alias("baskets")
-        )
-        one.coalesce(1).write.mode("overwrite").json(path)
+        groups = n.join(r, n.n_regionkey == r.r_regionkey).groupBy(group.alias("k"))
+        groups = groups.agg(F.collect_list("n_name").alias("v"))
+        groups = groups.select(F.create_map("k", "v").alias("benchmarks"))
+        baskets.unionByName(groups, allowMissingColumns=True).write.mode("overwrite").json(path)
 
     return stored._once(spark, sf, "config", write)
 
@@ -257,14 +249,14 @@ S12 = "s:basket s:symbol"
 @register("load_baskets", """SELECT n_name AS basket, 'C' || c_custkey AS symbol
 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def load_baskets(spark, sf):
-    return shape(config.load_baskets(spark, _config(spark, sf)), S12)
+    return shape(config.load_baskets(spark, _config(spark, sf), lines=True), S12)
 
 
 @register("load_universe", """SELECT 'C' || c_custkey AS symbol FROM customer
 JOIN nation ON c_nationkey = n_nationkey
 UNION SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> 2""")
 def load_universe(spark, sf):
-    return shape(config.load_universe(spark, _config(spark, sf)), "s:symbol")
+    return shape(config.load_universe(spark, _config(spark, sf), lines=True), "s:symbol")
 
 
 # --- stores ----------------------------------------------------------------------------

@@ -1,7 +1,5 @@
 """Common table expressions of the checking SQL."""
 
-from tickerloom.functions.conditions import CLASS_IDS, NEUTRAL_IDS
-from tickerloom.functions.slices import AUCTIONS, COUNTED, EXTENDED
 from tickerloom.plans.tapes import (
     BASKETS,
     EVENT_TAPE_SQL,
@@ -9,7 +7,6 @@ from tickerloom.plans.tapes import (
     SYMBOLS,
     WIDE_SYMBOLS,
 )
-from tickerloom.schema import CLASSES
 
 NY = "'America/New_York'"
 TAPES = {
@@ -19,11 +16,31 @@ TAPES = {
 }
 
 
-def _ids(ids):
-    return "[" + ", ".join(str(i) for i in ids) + "]"
+COUNTED = ("continuous", "block", "non_price_forming")
+AUCTIONS = ("continuous", "block", "non_price_forming", "cross_open", "cross_reopen", "cross_close")
+EXTENDED = ("non_flow",)
 
+# Fixed values, written out here and not taken from the code that they check.
+CLASS_LISTS = """
+non_flow            7 12 13 15 16 20 29 38
+duplicate           2
+non_price_forming   5 10 21 22 32 33 52 53
+cross_reopen        18 28
+cross_open          17 25 55
+cross_close         8 19
+block               9 24
+"""
+CONTINUOUS = "1 3 4 6 11 14 23 27 30 31 34 35 36 37"
+NEUTRAL = "41 57 58 59 60 62 63 64 65 66 67 68 69 70 71"
+CLASSES = ("unknown", *(line.split()[0] for line in CLASS_LISTS.strip().splitlines()), "continuous")
 
-KNOWN_IDS = _ids(sorted(i for ids in CLASS_IDS.values() for i in ids) + list(NEUTRAL_IDS))
+
+def _ids(text):
+    return "[" + ", ".join(text.split()) + "]"
+
+
+IDS = {line.split()[0]: line.split(maxsplit=1)[1] for line in CLASS_LISTS.strip().splitlines()}
+KNOWN_IDS = _ids(" ".join([*IDS.values(), CONTINUOUS, NEUTRAL]))
 
 
 def class_case(conditions="conditions"):
@@ -31,8 +48,8 @@ def class_case(conditions="conditions"):
     whens = [
         f"WHEN len(list_filter({conditions}, lambda x: NOT list_contains({KNOWN_IDS}, x))) > 0 THEN 0"
     ]
-    for rank, name in enumerate(CLASSES[1:-1], 1):
-        whens.append(f"WHEN list_has_any({conditions}, {_ids(CLASS_IDS[name])}) THEN {rank}")
+    for rank, ids in enumerate(IDS.values(), 1):
+        whens.append(f"WHEN list_has_any({conditions}, {_ids(ids)}) THEN {rank}")
     return "CASE " + " ".join(whens) + " ELSE 8 END"
 
 

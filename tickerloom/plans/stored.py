@@ -121,6 +121,7 @@ def inputs(spark, sf_dir, asof, tape="line", baselines=True):
         members=tapes.members(spark),
         asof=asof,
         benchmark=tapes.BENCHMARK,
+        universe=tapes.symbols(spark),
     )
     if not baselines:
         return inp

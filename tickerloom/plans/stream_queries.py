@@ -52,28 +52,27 @@ def stream_bucket_1s(spark, sf):
     return shape(live.read_live_buckets(spark, _live_store(spark, sf, "event")), A1)
 
 
-ST1 = "s:symbol i:second i:trades f:shares f:dollars i:quotes p:last_price"
+def _updates(spark, sf, name, df, *keys):
+    """A streaming aggregate drained into the shared folder, and its newest rows."""
 
+    def write(path):
+        live.start_updates(df(), f"{path}/rows", f"{path}/ckpt").awaitTermination()
 
-def _memory(df, name, mode):
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
-    query.processAllAvailable()
-    query.stop()
+    return live.read_updates(spark, f"{stored._once(spark, sf, name, write)}/rows", *keys)
 
 
-@register("stream_windows", select(Q.buckets("event"), ST1, "b"))
+@register("stream_windows", select(Q.buckets("line"), A1, "b"))
 def stream_windows(spark, sf):
     """One-second windows kept as streaming state (the watermark spans the whole replay)."""
-    _memory(live.windowed_buckets(tape_stream(spark, sf), "60 days"), "tl_windows", "complete")
-    return shape(spark.table("tl_windows"), ST1)
+    windows = lambda: live.windowed_buckets(tape_stream(spark, sf, "line"), "60 days")
+    return shape(_updates(spark, sf, "line_windows", windows, "symbol", "second"), A1)
 
 
 @register("stream_book", select([EVENT], A5, A5_ROWS.format("") + " WHERE n = 1"))
 def stream_book(spark, sf):
     """The current book after all quotes streamed in."""
-    quotes = tape_stream(spark, sf).filter("kind = 'quote'")
-    _memory(live.live_book(quotes), "tl_book", "complete")
-    return shape(spark.table("tl_book"), A5)
+    quotes = lambda: live.live_book(tape_stream(spark, sf).filter("kind = 'quote'"))
+    return shape(_updates(spark, sf, "event_book", quotes, "symbol"), A5)
 
 
 S6 = "s:symbol i:sip_ns i:seq f:price f:size"
@@ -84,8 +83,14 @@ def stream_capture(spark, sf):
     """Captured frames streamed through the same decoder as the batch read."""
     records = capture.stream_capture(spark, _capture(spark, sf))
     events = capture.decode_events(capture.explode_frames(records), universe(spark))
-    _memory(capture.capture_trades(events).select("symbol", "sip_ns", "seq", "price", "size"), "tl_frames", "append")
-    return shape(spark.table("tl_frames"), S6)
+    trades = capture.capture_trades(events).select("symbol", "sip_ns", "seq", "price", "size")
+
+    def write(path):
+        out = trades.writeStream.format("parquet").option("checkpointLocation", f"{path}/ckpt")
+        out.trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+
+    path = stored._once(spark, sf, "frames", write)
+    return shape(spark.read.schema(trades.schema).parquet(f"{path}/rows"), S6)
 
 
 @register("stream_sequence_regressions", W1_SQL)

@@ -11,13 +11,17 @@ CONFIG_SCHEMA = (
 )
 
 
-def _read(spark, path):
-    return spark.read.option("multiLine", True).schema(CONFIG_SCHEMA).json(path)
+def _read(spark, path, lines):
+    return spark.read.option("multiLine", not lines).schema(CONFIG_SCHEMA).json(path)
 
 
-def load_baskets(spark, path):
-    """(basket, symbol), distinct; a configuration without members fails."""
-    entries = _read(spark, path).select(F.explode_outer(F.map_entries("baskets")).alias("e"))
+def load_baskets(spark, path, lines=False):
+    """(basket, symbol), distinct; a configuration without members fails.
+
+    `path` holds one JSON document, or with `lines` any number of files of one object per line,
+    each with some baskets or members of them: a large configuration is then read in parallel.
+    """
+    entries = _read(spark, path, lines).select(F.explode(F.map_entries("baskets")).alias("e"))
     entries = entries.select(F.col("e.key").alias("basket"), F.col("e.value.members").alias("m"))
     bad = entries.filter(F.col("basket").isNull() | (F.coalesce(F.size("m"), F.lit(0)) < 1))
     worst = bad.take(1)
@@ -31,9 +35,9 @@ def load_baskets(spark, path):
     )
 
 
-def load_universe(spark, path):
+def load_universe(spark, path, lines=False):
     """(symbol): basket members and benchmark symbols, distinct and sorted."""
-    cfg = _read(spark, path)
+    cfg = _read(spark, path, lines)
     members = cfg.select(F.explode(F.map_values("baskets")).alias("b")).select(
         F.explode("b.members").alias("symbol")
     )

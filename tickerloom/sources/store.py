@@ -21,16 +21,23 @@ PARTIAL_SUFFIX = ".partial.csv"
 
 
 def shared_dir(spark):
-    """The folder all executors share: spark.checkpoint.dir, or a new one on a local master."""
+    """The folder all executors share; a single-process master without one gets a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     path = path or spark.sparkContext.getCheckpointDir()
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder the whole cluster shares")
     import tempfile
 
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def read_columns(spark, path, schema):
+    """Stored columns as `schema` has them; a file set without one of them is refused."""
+    found = require_columns(spark.read.parquet(path), schema.names, str(path))
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def write_buckets(buckets, path, slice_minutes=30):
@@ -52,8 +59,7 @@ def write_buckets(buckets, path, slice_minutes=30):
 
 def read_buckets(spark, path):
     """Stored buckets; a filter on session_date prunes partitions."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BUCKETS.fields)
-    return spark.read.schema(schema).parquet(path).select(*BUCKETS.names)
+    return read_columns(spark, path, BUCKETS)
 
 
 def write_buckets_csv(buckets, path):
@@ -108,7 +114,7 @@ def write_table(df, path):
 
 def read_ticker_profile(spark, path, bar_minutes=1):
     """Ticker baselines; every symbol must have exactly the session's bars."""
-    df = spark.read.schema(TICKER_PROFILE).parquet(path)
+    df = read_columns(spark, path, TICKER_PROFILE)
     return _assert_shape(df, ["symbol"], bar_minutes, path)
 
 
@@ -122,7 +128,7 @@ def stale_baskets(profile, members):
 
 def read_basket_profile(spark, path, members, bar_minutes=1):
     """Basket baselines; a missing basket or a changed member list fails the read."""
-    df = spark.read.schema(BASKET_PROFILE).parquet(path)
+    df = read_columns(spark, path, BASKET_PROFILE)
     stale = stale_baskets(df, members).filter(F.col("current").isNotNull()).take(1)
     if stale:
         r = stale[0]

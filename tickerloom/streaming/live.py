@@ -15,28 +15,69 @@ from tickerloom.operators import table
 from tickerloom.schema import BUCKETS, class_columns
 from tickerloom.sources import store
 
-_DELTA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BUCKETS.fields) + ", epoch bigint"
+#: Batches between two folds of the live store.
+FOLD_EVERY = 16
 
 
-def append_epoch(tape, epoch, path):
-    """Write one micro-batch's partial buckets; writing the same epoch again replaces it."""
+def _delete(spark, path):
+    """Remove a folder, wherever Spark keeps it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(target, True)
+
+
+def _exists(spark, path):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def _replace(df, path, *by):
+    """Write df; partitions of `by` that it has are replaced, others stay."""
     (
-        B.bucketize(tape)
-        .withColumn("epoch", F.lit(epoch).cast("bigint"))
-        .write.mode("overwrite")
+        df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("epoch", "session_date")
+        .partitionBy(*by)
         .parquet(path)
     )
 
 
-def read_live_buckets(spark, path):
-    """bucket_1s as of now: partial buckets added up.
+def append_epoch(tape, epoch, path):
+    """Write one micro-batch's partial buckets; writing the same epoch again replaces it."""
+    parts = B.bucketize(tape).withColumn("epoch", F.lit(epoch).cast("bigint"))
+    _replace(parts, f"{path}/delta", "epoch", "session_date")
+
+
+def _parts(spark, path, dates=None, through=None):
+    """The newest fold and the partial buckets after it, of the sessions and epochs asked for."""
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in BUCKETS.fields]
+    schema = ", ".join([*fields, "epoch bigint"])
+    folded = _folded(spark, path)
+    parts = spark.createDataFrame([], schema)
+    if _exists(spark, f"{path}/delta"):
+        parts = spark.read.schema(schema).parquet(f"{path}/delta").filter(F.col("epoch") > folded)
+    if folded >= 0:
+        whole = spark.read.schema(", ".join(fields)).parquet(f"{path}/fold/through={folded}")
+        parts = parts.unionByName(whole.withColumn("epoch", F.lit(folded).cast("bigint")))
+    if through is not None:
+        parts = parts.filter(F.col("epoch") <= through)
+    return parts if dates is None else parts.filter(F.col("session_date").isin(*dates))
+
+
+def _folded(spark, path):
+    """The last epoch that a finished fold holds; -1 without one."""
+    if not _exists(spark, f"{path}/folds"):
+        return -1
+    last = spark.read.schema("through bigint").parquet(f"{path}/folds").agg(F.max("through")).first()[0]
+    return -1 if last is None else last
+
+
+def read_live_buckets(spark, path, dates=None, through=None):
+    """bucket_1s as of now, or through an epoch: partial buckets of the sessions added up.
 
     Between partial buckets with the same last SIP time the later batch wins, as it arrived
     later.
     """
-    parts = spark.read.schema(_DELTA).parquet(path)
+    parts = _parts(spark, path, dates, through)
     sums = ["trades", "shares", "dollars", "quotes"] + class_columns()
     latest = F.col("last_sip_ns").cast("decimal(20,0)") * F.lit(10**12).cast("decimal(13,0)")
     latest = latest + F.col("epoch").cast("decimal(12,0)")
@@ -48,13 +89,53 @@ def read_live_buckets(spark, path):
     return out.select(*BUCKETS.names)
 
 
-def start_bucket_store(tape_stream, path, checkpoint, on_batch=(), available_now=False):
+def fold(spark, path, through):
+    """Add up all epochs through one; readers then read that table and the epochs after it.
+
+    The fold counts once its row is in `folds`, so a fold that failed is never read. The epochs it
+    holds and the fold before it are removed afterwards.
+    """
+    before = _folded(spark, path)
+    if through <= before:
+        return
+    rows = read_live_buckets(spark, path, through=through)
+    rows.write.mode("overwrite").partitionBy("session_date").parquet(f"{path}/fold/through={through}")
+    done = spark.range(through, through + 1).withColumnRenamed("id", "through")
+    done.coalesce(1).write.mode("append").parquet(f"{path}/folds")
+    for epoch in range(before + 1, through + 1):
+        _delete(spark, f"{path}/delta/epoch={epoch}")
+    if before >= 0:
+        _delete(spark, f"{path}/fold/through={before}")
+
+
+def _check_first_epoch(spark, path):
+    """A new checkpoint counts epochs from 0: over a store that went further it would lose data."""
+    further = _folded(spark, path) >= 0
+    if not further and _exists(spark, f"{path}/delta"):
+        epochs = spark.read.parquet(f"{path}/delta").filter(F.col("epoch") > 0)
+        further = bool(epochs.take(1))
+    if further:
+        raise ValueError(f"{path} holds batches of another checkpoint; use its checkpoint or a new store")
+
+
+def start_bucket_store(tape_stream, path, checkpoint, on_batch=(), available_now=False, fold_every=FOLD_EVERY):
     """Run the live store. `on_batch` holds observers fn(tape, epoch), called on every batch."""
 
     def each(tape, epoch):
-        append_epoch(tape, epoch, path)
-        for observer in on_batch:
-            observer(tape, epoch)
+        spark = tape.sparkSession
+        if epoch == 0:
+            _check_first_epoch(spark, path)
+        if on_batch:
+            tape = tape.persist()
+        try:
+            append_epoch(tape, epoch, path)
+            for observer in on_batch:
+                observer(tape, epoch)
+        finally:
+            if on_batch:
+                tape.unpersist()
+        if epoch % fold_every == fold_every - 1:
+            fold(spark, path, epoch - 1)  # a repeat of this batch still finds its own epoch
 
     writer = tape_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if available_now:
@@ -63,34 +144,41 @@ def start_bucket_store(tape_stream, path, checkpoint, on_batch=(), available_now
 
 
 def windowed_buckets(tape_stream, watermark="24 hours"):
-    """Tumbling one-second windows by event time, with the state Spark keeps for them.
+    """bucket_1s as tumbling windows by event time, with the state Spark keeps for them.
 
-    The watermark bounds that state and drops what arrives later: run one session per query.
+    The watermark bounds that state and drops what arrives later: run one session per query. A
+    message whose SIP date is not its session date is left out before it can move the watermark.
     """
-    rows = tape_stream.withColumn("ts", F.timestamp_micros((F.col("sip_ns") / 1000).cast("bigint")))
-    trade = F.col("kind") == "trade"
-    win = F.window("ts", "1 second")
-    order = F.expr(B.tape_order(tape_stream.schema["arrival"].dataType))
-    return (
-        rows.withWatermark("ts", watermark)
-        .groupBy("symbol", win.alias("w"))
-        .agg(
-            F.count_if(trade).alias("trades"),
-            F.sum(F.when(trade, F.col("size")).otherwise(0.0)).alias("shares"),
-            F.sum(F.when(trade, F.col("price") * F.col("size")).otherwise(0.0)).alias("dollars"),
-            F.count_if(~trade).alias("quotes"),
-            F.max_by("price", F.when(trade, order)).alias("last_price"),
-        )
-        .select(
-            "symbol",
-            F.unix_seconds("w.start").alias("second"),
-            "trades",
-            "shares",
-            "dollars",
-            "quotes",
-            F.coalesce("last_price", F.lit(0.0)).alias("last_price"),
+    if "session_date" in tape_stream.columns:
+        tape_stream = believable(tape_stream)
+    rows = tape_stream.withColumn("ts", F.expr("timestamp_micros(sip_ns div 1000)"))
+    rows = B._flags(rows.withWatermark("ts", watermark), "ts")
+    out = rows.groupBy("symbol", F.window("ts", "1 second").alias("w")).agg(*B._bucket_aggregates())
+    out = out.withColumn("second", F.unix_seconds("w.start"))
+    return out.withColumn("session_date", S.et_date("second")).select(*BUCKETS.names)
+
+
+def start_updates(df, path, checkpoint):
+    """Run a streaming aggregate in update mode: each batch writes the rows that it changed."""
+
+    def each(rows, epoch):
+        (
+            rows.withColumn("epoch", F.lit(epoch).cast("bigint"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("epoch")
+            .parquet(path)
         )
-    )
+
+    out = df.writeStream.outputMode("update").foreachBatch(each)
+    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_updates(spark, path, *keys):
+    """The newest row of each key among the rows that start_updates wrote."""
+    rows = spark.read.parquet(path)
+    newest = W.partitionBy(*keys).orderBy(F.desc("epoch"))
+    return rows.withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n", "epoch")
 
 
 def live_book(quote_stream):
@@ -106,49 +194,45 @@ def believable(tape_stream):
 class SequenceWatch:
     """Observer that counts sequence regressions across batches.
 
-    Every batch writes the running maximum of every stream under its id and the next one
-    reads only those, so the state stays one row per stream and a repeated batch gives the
-    same answer.
+    Every batch writes the totals and the running maximum of every stream under its id, from
+    those of the batch before; two states are kept. So the state is one row per stream, and a
+    repeated batch gives the same answer.
     """
 
+    KEYS = ("session_date", "symbol", "kind")
+
     def __init__(self, path, block_width):
         self.path, self.block_width = path, block_width
 
     def __call__(self, tape, epoch):
-        spark = tape.sparkSession
-        keys = ["session_date", "symbol", "kind"]
-        prior = self._prior(spark, epoch) if epoch else None
+        spark, keys = tape.sparkSession, list(self.KEYS)
+        totals = ["messages", "regressions"]
+        prior = self._state(spark, epoch - 1) if epoch else None
         found = book.sequence_regressions(tape, self.block_width, prior=prior)
         if prior is not None:
-            quiet = prior.join(found, keys, "left_anti")
-            zero = [F.lit(0).cast("bigint").alias(c) for c in ("messages", "regressions")]
-            found = found.unionByName(quiet.select(*keys, *zero, "max_seq"))
-        (
-            found.withColumn("epoch", F.lit(epoch).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("epoch")
-            .parquet(self.path)
-        )
+            zero = [F.lit(0).cast("bigint").alias(c) for c in totals]
+            found = found.unionByName(prior.select(*keys, *zero, "max_seq"))
+            found = found.unionByName(prior.select(*keys, *totals, "max_seq"))
+            found = found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in totals], F.max("max_seq").alias("max_seq"))
+        found.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        _delete(spark, f"{self.path}/epoch={epoch - 2}")
 
-    def _prior(self, spark, epoch):
-        last = spark.read.parquet(self.path).filter(F.col("epoch") == epoch - 1)
-        return last.select("session_date", "symbol", "kind", "max_seq")
+    def _state(self, spark, epoch):
+        return spark.read.parquet(f"{self.path}/epoch={epoch}")
 
     def counts(self, spark):
         """Messages and regressions of every stream so far."""
-        return (
-            spark.read.parquet(self.path)
-            .groupBy("session_date", "symbol", "kind")
-            .agg(F.sum("messages").alias("messages"), F.sum("regressions").alias("regressions"))
-        )
+        last = spark.read.parquet(self.path)
+        newest = last.agg(F.max("epoch")).first()[0]
+        return last.filter(F.col("epoch") == newest).select(*self.KEYS, "messages", "regressions")
 
 
 class LiveTable:
     """Observer that renders the basket table of each session a batch touched.
 
-    A session is rendered as of its latest second in the store. Buckets carry the date of
-    their own time, so a corrupt far-off time lands in another session and moves no clock.
+    A session is rendered as of its latest second in the store, and a rendering replaces the
+    session's last one. Buckets carry the date of their own time, so a corrupt far-off time
+    lands in another session and moves no clock.
     """
 
     def __init__(self, inputs, store_path, out_path, mode="trader"):
@@ -160,24 +244,20 @@ class LiveTable:
         rows = read_live_buckets(spark, self.store_path).join(touched, "session_date", "left_semi")
         clock = rows.groupBy("session_date").agg(F.max("second").alias("at_sec"))
         inp = self.inputs.with_(buckets=rows, asof=clock)
-        (
-            table.basket_table(inp, self.mode)
-            .withColumn("epoch", F.lit(epoch).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("epoch")
-            .parquet(self.out_path)
-        )
+        _replace(table.basket_table(inp, self.mode), self.out_path, "session_date")
 
     def latest(self, spark):
         """The newest rendering of each session."""
-        rows = spark.read.parquet(self.out_path)
-        newest = W.partitionBy("session_date", "basket").orderBy(F.desc("epoch"))
-        return rows.withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n", "epoch")
+        return spark.read.parquet(self.out_path)
 
 
-def close_session(spark, live_path, final_path):
-    """Compact the live store into the bucket table and label each session's coverage."""
-    rows = read_live_buckets(spark, live_path)
-    store.write_buckets(rows, final_path)
-    return B.coverage(B.session_bounds(store.read_buckets(spark, final_path)))
+def close_session(spark, live_path, final_path, dates=None):
+    """Compact sessions of the live store into the bucket table and label their coverage.
+
+    Only the sessions of `dates` are read and replaced; None closes every session of the store.
+    """
+    store.write_buckets(read_live_buckets(spark, live_path, dates), final_path)
+    done = store.read_buckets(spark, final_path)
+    if dates is not None:
+        done = done.filter(F.col("session_date").isin(*dates))
+    return B.coverage(B.session_bounds(done))
