@@ -216,6 +216,15 @@ def test_member_without_baseline_is_an_error(spark, tape):
         table.basket_table(inp)
 
 
+def test_table_says_when_the_session_has_no_data_around(spark, tape):
+    tape.trade("A", at("10:00:00"), 1, 1).trade("A", at("11:00:00"), 1, 1)
+    kw = dict(tickers=ticker_profile(spark, dict(A=1)), baskets=basket_profile(spark, ["a"]), floors=floors(spark))
+    inp = inputs(spark, tape, at("10:30:00"), dict(a=["A"]), **kw)
+    for hms, outside in (("09:59:59", 1), ("10:00:00", 0), ("10:30:00", 0), ("11:00:00", 0), ("11:00:01", 1)):
+        assert table.basket_table(inp.with_(asof=M.asof_literal(spark, at(hms)))).first()["outside"] == outside
+        assert table.basket_table(inp.at(at(hms))).first()["outside"] == outside
+
+
 def test_benchmark_outside_the_universe_is_an_error(spark, tape):
     tape.trade("A", at("10:00:00"), 1, 1)
     inp = inputs(spark, tape, at("10:01:00"), dict(a=["A"]), tickers=ticker_profile(spark, dict(A=1)))

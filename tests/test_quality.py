@@ -107,3 +107,17 @@ def test_rvol_check(spark):
     assert QL.rvol_check(B.bucketize(t.frame(spark)), prof, 700).count() == 0
     with pytest.raises(ValueError):
         QL.rvol_check(B.bucketize(t.frame(spark)), prof, 969)
+
+
+def test_exact_median(spark):
+    rows = [("a", 1.0), ("a", 4.0), ("a", 2.0), ("a", 3.0), ("b", 5.0), ("b", 5.0), ("b", -7.0), ("c", 2.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert dict(QL.exact_median(df, "v", ["k"]).collect()) == {"a": 2.5, "b": 5.0, "c": 2.5}
+
+
+def test_compare_cumulative(spark):
+    cols = "session_date string, at_sec int, basket string, cum_share double, cum_share_typ double, cum_share_z double"
+    view = spark.createDataFrame([("d", 1, "a", 0.12344, 0.2, 1.04), ("d", 1, "b", None, 0.2, 1.0), ("d", 1, "x", 0.1, 0.1, 0.0)], cols)
+    check = spark.createDataFrame([("d", 1, "a", 0.12341, 0.2, 0.96), ("d", 1, "b", 0.1, 0.2, 1.2)], cols)
+    got = {r[2]: tuple(r[3:6]) for r in QL.compare_cumulative(view, check).collect()}
+    assert got == {"a": (1, 1, 1), "b": (0, 1, 0), "x": (0, 0, 0)}

@@ -59,6 +59,7 @@ class Inputs:
     counted: tuple[Column, Column] | None = None
     auctions: tuple[Column, Column] | None = None
     extended: tuple[Column, Column] | None = None
+    whole: DataFrame | None = None  # the sessions' buckets where `buckets` is cut; default: buckets
     universe: DataFrame | None = None  # the symbols of the tape, to check the configuration by
     windows: Any = None  # builds the member frame; default: member_windows
     extra: dict = field(default_factory=dict)
@@ -72,7 +73,8 @@ class Inputs:
         day = dt.datetime.fromtimestamp(at_sec, ZoneInfo(ZONE)).date()
         only = F.col("session_date").between(day, day) & (F.col("second") <= at_sec)
         asof = asof_literal(self.buckets.sparkSession, at_sec)
-        return replace(self, buckets=self.buckets.filter(only), asof=asof)
+        whole = self.buckets.filter(F.col("session_date").between(day, day))
+        return replace(self, buckets=self.buckets.filter(only), whole=whole, asof=asof)
 
 
 def asof_literal(spark, at_sec):

@@ -52,6 +52,14 @@ def floor_index_quantiles(df, value, probs, keys=()):
     return out.select(*keys, "p", F.col("v").alias("value"), F.col("total").alias("samples"))
 
 
+def exact_median(df, value, keys):
+    """(keys, median): the mean of the two middle ranks, found without sorting a group in one task."""
+    up = floor_index_quantiles(df, value, [0.5], keys).select(*keys, F.col("value").alias("low"))
+    flipped = df.withColumn(value, -F.col(value))  # the rank from above is that from below here
+    down = floor_index_quantiles(flipped, value, [0.5], keys).select(*keys, (-F.col("value")).alias("high"))
+    return up.join(down, keys).select(*keys, ((F.col("low") + F.col("high")) / 2).alias("median"))
+
+
 def rvol_check(buckets, profile, minute, bar_minutes=1, counted=None):
     """Per session: quantiles over symbols of counted shares in one bar / its median.
 
@@ -213,6 +221,11 @@ def reconcile_summary(report):
     return out.withColumn("delta_pct", F.coalesce(pct, F.lit(0.0)))
 
 
+# How far two recomputations may differ, and the digits that are compared.
+RVOL_TOLERANCE, DOLLAR_TOLERANCE, TOLERANCE_SLACK = 0.01, 0.005, 1e-12
+PRINTED_DIGITS = {"cum_share": 4, "cum_share_typ": 4, "cum_share_z": 1}
+
+
 def compare_metrics(view, check, keys=("session_date", "at_sec", "basket")):
     """Two recomputations side by side, with a verdict for each of three metrics.
 
@@ -229,7 +242,7 @@ def compare_metrics(view, check, keys=("session_date", "at_sec", "basket")):
     base_ok = v(names[1]).eqNullSafe(c(names[1]))
     gap = v(names[2]).isNull() | c(names[2]).isNull()
     rvol_ok = F.when(gap, v(names[2]).isNull() & c(names[2]).isNull()).otherwise(
-        F.abs(v(names[2]) - c(names[2])) <= 0.01 + 1e-12
+        F.abs(v(names[2]) - c(names[2])) <= RVOL_TOLERANCE + TOLERANCE_SLACK
     )
     dv, dc = F.coalesce(v(names[0]), F.lit(0.0)), F.coalesce(c(names[0]), F.lit(0.0))
     rel = F.when(dc != 0, (dv - dc) / F.when(dc != 0, dc)).when(dv == 0, 0.0)
@@ -239,18 +252,37 @@ def compare_metrics(view, check, keys=("session_date", "at_sec", "basket")):
         rel.alias("rel_delta"),
         (present & base_ok).cast("int").alias("base_pass"),
         (present & rvol_ok).cast("int").alias("rvol_pass"),
-        (present & F.coalesce(F.abs(rel) <= 0.005, F.lit(False))).cast("int").alias("last_pass"),
+        (present & F.coalesce(F.abs(rel) <= DOLLAR_TOLERANCE, F.lit(False))).cast("int").alias("last_pass"),
     )
 
 
+def compare_cumulative(view, check, keys=("session_date", "at_sec", "basket")):
+    """Since-open share, its typical value and z of two recomputations, to the printed digit.
+
+    Both shares must agree to a hundredth of a percent, z to a tenth; a missing value must be
+    missing on both sides, and so must a row. z_delta is signed: view less check.
+    """
+    keys = list(keys)
+    digits = PRINTED_DIGITS
+    a = view.select(*keys, *[F.col(n).alias(f"v_{n}") for n in digits], F.lit(1).alias("in_v"))
+    b = check.select(*keys, *[F.col(n).alias(f"c_{n}") for n in digits], F.lit(1).alias("in_c"))
+    both = a.join(b, keys, "full")
+    present = F.col("in_v").isNotNull() & F.col("in_c").isNotNull()
+    same = lambda n: F.round(f"v_{n}", digits[n]).eqNullSafe(F.round(f"c_{n}", digits[n]))
+    verdicts = [(present & same(n)).cast("int").alias(f"{n}_pass") for n in digits]
+    return both.select(*keys, *verdicts, (F.col("v_cum_share_z") - F.col("c_cum_share_z")).alias("z_delta"))
+
+
 def compare_summary(compared):
-    """One row: checks, passes per metric, worst and mean signed dollar difference."""
+    """One row: checks, passes per metric, worst (by size, with its sign) and mean dollar difference."""
     return compared.agg(
         F.count("*").alias("checks"),
         F.sum("base_pass").alias("base_pass"),
         F.sum("rvol_pass").alias("rvol_pass"),
         F.sum("last_pass").alias("last_pass"),
-        F.max_by("rel_delta", F.abs("rel_delta")).alias("worst_rel_delta"),
+        F.when(F.max("rel_delta") >= -F.min("rel_delta"), F.max("rel_delta"))
+        .otherwise(F.min("rel_delta"))
+        .alias("worst_rel_delta"),
         F.avg("rel_delta").alias("mean_rel_delta"),
     )
 

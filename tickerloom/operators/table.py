@@ -41,7 +41,7 @@ def check_configuration(inp):
 
 
 def basket_table(inp, mode="dev", flags=False, extra=()):
-    """One row per basket and as-of second.
+    """One row per basket and as-of second; `outside` is 1 where the session has no data around it.
 
     dev: every metric, by name. trader: the since-open set with `row_rank`. `extra` names
     registered metrics to join in.
@@ -60,6 +60,8 @@ def basket_table(inp, mode="dev", flags=False, extra=()):
         )
         out += ["cum_share_z_flag", "breadth_flag"]
     df = df.select(*out)
+    span = M.outside_span(inp.buckets if inp.whole is None else inp.whole, inp.asof)
+    df = df.join(span, M.KEYS)
     for name in extra:
         df = df.join(registry.metric(name)(inp), [*M.KEYS, "basket"], "left")
     return df

@@ -8,6 +8,7 @@ from tickerloom.functions import slices
 from tickerloom.functions.stats import zguard
 from tickerloom.operators import book, prints
 from tickerloom.operators import buckets as B
+from tickerloom.operators.quality import exact_median
 from tickerloom.plans import sqltext as Q
 from tickerloom.plans import stored, tapes
 from tickerloom.plans.base import register, select, shape
@@ -180,9 +181,10 @@ def zguard_buckets(spark, sf):
     b = stored.buckets(spark, sf, "line").select(
         "session_date", "second", "symbol", slices.counted()[1].alias("d")
     )
-    med = b.groupBy("symbol").agg(F.median("d").alias("m"))
+    med = exact_median(b, "d", ["symbol"]).withColumnRenamed("median", "m")
     dev = b.join(med, "symbol").withColumn("dev", F.abs(F.col("d") - F.col("m")))
-    sig = dev.groupBy("symbol", "m").agg((F.median("dev") * 1.4826).alias("s"))
+    sig = exact_median(dev, "dev", ["symbol"]).select("symbol", (F.col("median") * 1.4826).alias("s"))
+    sig = sig.join(med, "symbol")
     floor = F.when(F.col("symbol") == "S5", 0.0).otherwise(25.0)
     return shape(b.join(sig, "symbol").withColumn("z", zguard("d", "m", "s", floor)), P16)
 

@@ -134,7 +134,7 @@ def row_rank(spark, sf):
     return shape(M.ranked(M.basket_frame(inputs(spark, sf), baseline=True)), M25)
 
 
-_INTS = {"member_count", "row_rank"}
+_INTS = {"member_count", "row_rank", "outside"}
 
 
 def _spec(columns):
@@ -142,8 +142,8 @@ def _spec(columns):
     return KEY + " ".join(f"{kind(c)}:{c}" for c in columns)
 
 
-DEV = _spec(table.DEV_COLUMNS)
-TRADER = _spec((*table.TRADER_COLUMNS, "row_rank"))
+DEV = _spec((*table.DEV_COLUMNS, "outside"))
+TRADER = _spec((*table.TRADER_COLUMNS, "row_rank", "outside"))
 
 
 @register("basket_table_dev", select(FULL_CTES, DEV, "full_table"))

@@ -282,16 +282,30 @@ def compare_metrics(spark, sf):
     return shape(QL.compare_metrics(*_pair(spark, sf)), J10)
 
 
+J10C = "d:session_date i:at_sec s:basket i:cum_share_pass i:cum_share_typ_pass i:cum_share_z_pass f:z_delta"
+_SAME = "CASE WHEN round(v.{0}, {1}) IS NOT DISTINCT FROM round(c.{0}, {1}) THEN 1 ELSE 0 END"
+
+
+@register("compare_cumulative", select(
+    [*J10_CTES, "both_sides AS (SELECT session_date, at_sec, basket, "
+     + ", ".join(f"{_SAME.format(n, k)} AS {n}_pass" for n, k in (("cum_share", 4), ("cum_share_typ", 4), ("cum_share_z", 1)))
+     + ", v.cum_share_z - c.cum_share_z AS z_delta"
+     " FROM m2_v v FULL JOIN m2 c USING (session_date, at_sec, basket))"], J10C, "both_sides"))
+def compare_cumulative(spark, sf):
+    """Since-open shares of the full tape against those of the tape that lost messages."""
+    return shape(QL.compare_cumulative(*_pair(spark, sf)), J10C)
+
+
 J10S = "i:checks i:base_pass i:rvol_pass i:last_pass f:mean_rel_delta f:worst"
 
 
 @register("compare_summary", select(J10_CTES, J10S, "cmp", checks="count(*)",
     base_pass="count(*) FILTER (base_ok)", rvol_pass="count(*) FILTER (rvol_ok)",
     last_pass="count(*) FILTER (abs(rel_delta) <= 0.005)", mean_rel_delta="avg(rel_delta)",
-    worst="max(abs(rel_delta))"))
+    worst="CASE WHEN max(rel_delta) >= -min(rel_delta) THEN max(rel_delta) ELSE min(rel_delta) END"))
 def compare_summary(spark, sf):
     df = QL.compare_summary(QL.compare_metrics(*_pair(spark, sf)))
-    return shape(df.withColumn("worst", F.abs("worst_rel_delta")), J10S)
+    return shape(df.withColumnRenamed("worst_rel_delta", "worst"), J10S)
 
 
 J11 = "s:symbol s:problem"

@@ -374,8 +374,11 @@ vb AS (
 
 FULL = """full_table AS (
   SELECT m2.*, breadth_up, breadth_inline, breadth_down, vol_unusual, vol_unmeasured, up_on_vol,
-         CASE WHEN bar_sec < open_sec + 60 THEN pre_share ELSE cum_share_z END AS rank_key
-  FROM m2 JOIN br USING (session_date, at_sec, basket) JOIN vb USING (session_date, at_sec, basket)),
+         CASE WHEN bar_sec < open_sec + 60 THEN pre_share ELSE cum_share_z END AS rank_key,
+         CASE WHEN lo IS NULL OR at_sec < lo OR at_sec > hi THEN 1 ELSE 0 END AS outside
+  FROM m2 JOIN br USING (session_date, at_sec, basket) JOIN vb USING (session_date, at_sec, basket)
+  LEFT JOIN (SELECT session_date, min(second) AS lo, max(second) AS hi FROM b GROUP BY session_date)
+    USING (session_date)),
 ranked_table AS (
   SELECT *, row_number() OVER (PARTITION BY session_date, at_sec
                                ORDER BY rank_key DESC NULLS LAST, basket) AS row_rank
