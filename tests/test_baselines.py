@@ -139,3 +139,17 @@ def test_session_discovery(spark):
     assert got == ["2026-08-11"]
     with pytest.raises(ValueError):
         store.check_discovered(store.discover_sessions(cat, 1, "2020-01-01"))
+
+
+def test_a_failed_rebuild_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda: sorted(r[0] for r in spark.read.parquet(store.table_path(spark, path)).collect())
+    with pytest.raises(ValueError, match="no finished build"):
+        store.table_path(spark, path)
+    for n in (1, 2, 3):
+        store.write_table(spark.range(n), path)
+        assert rows() == list(range(n))
+    with pytest.raises(Exception):
+        store.write_table(spark.range(3).selectExpr("raise_error('broken') AS id"), path)
+    assert rows() == [0, 1, 2]
+    assert len(list((tmp_path / "t/data").glob("build=*"))) <= 3  # last, the one before, the broken one

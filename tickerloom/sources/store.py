@@ -107,14 +107,58 @@ def _assert_shape(df, keys, bar_minutes, path):
     return df
 
 
+def _target(spark, path):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark, path):
+    """Remove a folder, wherever Spark keeps it."""
+    target, files = _target(spark, path)
+    return files.delete(target, True)
+
+
+def exists(spark, path):
+    target, files = _target(spark, path)
+    return files.exists(target)
+
+
+def _builds(spark, path):
+    """(n, build) of the finished builds of a table, the newest first."""
+    if not exists(spark, f"{path}/builds"):
+        return []
+    rows = spark.read.schema("n bigint, build string").parquet(f"{path}/builds").orderBy(F.desc("n")).take(2)
+    return [(r["n"], r["build"]) for r in rows]
+
+
 def write_table(df, path):
-    """Replace a baseline table."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace a baseline table: a build counts once it is listed, so a failed one changes nothing.
+
+    The build before the last is removed; readers of the last one are not disturbed.
+    """
+    import uuid
+
+    spark, build = df.sparkSession, uuid.uuid4().hex[:12]
+    df.write.parquet(f"{path}/data/build={build}")
+    done = _builds(spark, path)
+    n = done[0][0] + 1 if done else 0
+    row = spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(build).alias("build"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/builds")
+    for _, old in done[1:]:
+        delete(spark, f"{path}/data/build={old}")
+
+
+def table_path(spark, path):
+    """Where the newest finished build of a table is."""
+    done = _builds(spark, path)
+    if not done:
+        raise ValueError(f"{path}: no finished build")
+    return f"{path}/data/build={done[0][1]}"
 
 
 def read_ticker_profile(spark, path, bar_minutes=1):
     """Ticker baselines; every symbol must have exactly the session's bars."""
-    df = read_columns(spark, path, TICKER_PROFILE)
+    df = read_columns(spark, table_path(spark, path), TICKER_PROFILE)
     return _assert_shape(df, ["symbol"], bar_minutes, path)
 
 
@@ -128,7 +172,7 @@ def stale_baskets(profile, members):
 
 def read_basket_profile(spark, path, members, bar_minutes=1):
     """Basket baselines; a missing basket or a changed member list fails the read."""
-    df = read_columns(spark, path, BASKET_PROFILE)
+    df = read_columns(spark, table_path(spark, path), BASKET_PROFILE)
     stale = stale_baskets(df, members).filter(F.col("current").isNotNull()).take(1)
     if stale:
         r = stale[0]
@@ -140,14 +184,12 @@ def read_basket_profile(spark, path, members, bar_minutes=1):
 
 def write_floors(df, path, frac, inputs):
     """Floors with the fraction and inputs they came from."""
-    df.withColumn("frac", F.lit(frac)).withColumn("inputs", F.lit(inputs)).write.mode(
-        "overwrite"
-    ).parquet(path)
+    write_table(df.withColumn("frac", F.lit(frac)).withColumn("inputs", F.lit(inputs)), path)
 
 
 def read_floors(spark, path, bar_minutes=1):
     """Floors; exactly the session's bars."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(table_path(spark, path))
     require_columns(df, FLOORS.names, path)
     _assert_shape(df.withColumn("one", F.lit(1)), ["one"], bar_minutes, path)
     return df

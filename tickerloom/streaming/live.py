@@ -19,18 +19,6 @@ from tickerloom.sources import store
 FOLD_EVERY = 16
 
 
-def _delete(spark, path):
-    """Remove a folder, wherever Spark keeps it."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.delete(target, True)
-
-
-def _exists(spark, path):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def _replace(df, path, *by):
     """Write df; partitions of `by` that it has are replaced, others stay."""
     (
@@ -53,7 +41,7 @@ def _parts(spark, path, dates=None, through=None):
     schema = ", ".join([*fields, "epoch bigint"])
     folded = _folded(spark, path)
     parts = spark.createDataFrame([], schema)
-    if _exists(spark, f"{path}/delta"):
+    if store.exists(spark, f"{path}/delta"):
         parts = spark.read.schema(schema).parquet(f"{path}/delta").filter(F.col("epoch") > folded)
     if folded >= 0:
         whole = spark.read.schema(", ".join(fields)).parquet(f"{path}/fold/through={folded}")
@@ -65,7 +53,7 @@ def _parts(spark, path, dates=None, through=None):
 
 def _folded(spark, path):
     """The last epoch that a finished fold holds; -1 without one."""
-    if not _exists(spark, f"{path}/folds"):
+    if not store.exists(spark, f"{path}/folds"):
         return -1
     last = spark.read.schema("through bigint").parquet(f"{path}/folds").agg(F.max("through")).first()[0]
     return -1 if last is None else last
@@ -103,15 +91,15 @@ def fold(spark, path, through):
     done = spark.range(through, through + 1).withColumnRenamed("id", "through")
     done.coalesce(1).write.mode("append").parquet(f"{path}/folds")
     for epoch in range(before + 1, through + 1):
-        _delete(spark, f"{path}/delta/epoch={epoch}")
+        store.delete(spark, f"{path}/delta/epoch={epoch}")
     if before >= 0:
-        _delete(spark, f"{path}/fold/through={before}")
+        store.delete(spark, f"{path}/fold/through={before}")
 
 
 def _check_first_epoch(spark, path):
     """A new checkpoint counts epochs from 0: over a store that went further it would lose data."""
     further = _folded(spark, path) >= 0
-    if not further and _exists(spark, f"{path}/delta"):
+    if not further and store.exists(spark, f"{path}/delta"):
         epochs = spark.read.parquet(f"{path}/delta").filter(F.col("epoch") > 0)
         further = bool(epochs.take(1))
     if further:
@@ -215,7 +203,7 @@ class SequenceWatch:
             found = found.unionByName(prior.select(*keys, *totals, "max_seq"))
             found = found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in totals], F.max("max_seq").alias("max_seq"))
         found.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
-        _delete(spark, f"{self.path}/epoch={epoch - 2}")
+        store.delete(spark, f"{self.path}/epoch={epoch - 2}")
 
     def _state(self, spark, epoch):
         return spark.read.parquet(f"{self.path}/epoch={epoch}")
