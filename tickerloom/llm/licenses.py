@@ -100,7 +100,11 @@ def scan(docs, templates=None, contained=CONTAINED):
     spark = docs.sparkSession
     index = _index(spark, TEMPLATES if templates is None else templates)
     known = sorted({h for t in index for h in t[1]})
-    df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(base.text_or_empty()).alias("hash"), base.once(_words(F.col("text").cast("string"))).alias("words"))
+    df = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.xxhash64(base.text_or_empty()).alias("hash"),
+        base.once(_words(F.col("text").cast("string"))).alias("words"),
+    )
     df = df.withColumn("h", base.once(_shingles(F.col("words"), F.xxhash64)))
     # A document without a single shingle of a template contains none: no need of its windows.
     df = df.filter(F.exists("h", lambda x: x.isin(known))) if known else df.limit(0)
@@ -112,10 +116,18 @@ def scan(docs, templates=None, contained=CONTAINED):
     own = F.array_intersect("h", F.array(*map(F.lit, known)) if known else F.array().cast("array<bigint>"))
     df = df.select("doc_id", "hash", base.once(F.array_distinct(found)).alias("keys"), base.once(own).alias("own"))
     df = df.select("doc_id", "hash", F.explode("keys").alias("key"), "own")
-    bands = spark.createDataFrame([(k, n, h) for n, h, _, ks in index for k in ks], "key bigint, template string, of array<bigint>")
-    met = df.join(bands, "key").select("doc_id", "hash", "template", F.size("of").cast("bigint").alias("shingles"), F.size(F.array_intersect("of", "own")).cast("bigint").alias("shared"))
+    rows = [(k, n, h) for n, h, _, keys in index for k in keys]
+    bands = spark.createDataFrame(rows, "key bigint, template string, of array<bigint>")
+    met = df.join(bands, "key").select(
+        "doc_id",
+        "hash",
+        "template",
+        F.size("of").cast("bigint").alias("shingles"),
+        F.size(F.array_intersect("of", "own")).cast("bigint").alias("shared"),
+    )
     met = met.filter(F.col("shared") >= contained * F.col("shingles")).distinct()
-    return met.select("doc_id", "template", "shared", "shingles", F.round(F.col("shared") / F.col("shingles"), 6).alias("containment"))
+    share = F.round(F.col("shared") / F.col("shingles"), 6).alias("containment")
+    return met.select("doc_id", "template", "shared", "shingles", share)
 
 
 def _oracle():

@@ -21,7 +21,8 @@ def windows(docs, n=LINES):
     """
     text = base.text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text).alias("hash"), base.once(lines).alias("lines"))
+    doc_id = F.col("doc_id").cast("bigint").alias("id")
+    df = docs.select(doc_id, F.xxhash64(text).alias("hash"), base.once(lines).alias("lines"))
     mine = lambda i: [F.get("lines", i + k) for k in range(n)]
     two = lambda i: F.struct(F.xxhash64(*mine(i)).alias("h1"), F.xxhash64(F.lit(n), *mine(i)).alias("h2"))
     every = F.transform(F.sequence(F.lit(0), F.size("lines") - n), two)
@@ -52,13 +53,15 @@ def remove_lines(docs, n=LINES):
     are one document and get the same text. Documents of equal doc_id are ordered by a hash of
     the text, null doc_ids come last. Existing columns n_lines and n_removed are replaced.
     """
-    no_id, key, text_hash, places, lines = (base.free_name(docs, c) for c in ("_no", "_key", "_hash", "_places", "_lines"))
+    names = ("_no", "_key", "_hash", "_places", "_lines")
+    no_id, key, text_hash, places, lines = (base.free_name(docs, c) for c in names)
     worded, every = base.free_name(docs, "_worded"), base.free_name(docs, "_every")
     text = base.text_or_empty()
     columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     found = covered(docs, n).toDF(no_id, key, text_hash, places)
     df = docs.withColumn(no_id, F.col("doc_id").isNull())
-    df = df.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).withColumn(text_hash, F.xxhash64(text))
+    df = df.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)))
+    df = df.withColumn(text_hash, F.xxhash64(text))
     df = df.join(found, [no_id, key, text_hash], "left")
     df = df.withColumn(lines, base.once(F.split(text, "\n")))
     df = df.withColumn(worded, base.once(F.transform(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))

@@ -110,7 +110,11 @@ def mix(docs, seed=SEED):
     with equal doc_id, source and size any may be the one picked. Other columns are not looked at.
     """
     size = F.size(base.words(F.col("text").cast("string"))).cast("bigint")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        size.alias("size"),
+    )
     rows = base.settled(rows, "sizes")
     sources = base.settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -136,7 +140,8 @@ def mix(docs, seed=SEED):
     picked = F.coalesce(F.col("before"), F.lit(0)) + F.col("rank") <= F.col("picked")
     times = F.col("copies") + picked.cast("bigint")
     rows = rows.withColumn("times", times)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+    taken = (F.col("size") * F.col("times")).alias("taken")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "times", taken)
 
 
 def take(docs, seed=SEED):
@@ -144,7 +149,8 @@ def take(docs, seed=SEED):
 
     Rows of equal doc_id, source and size are told apart by a hash of all their columns.
     """
-    no_id, key, source, size, k, times = (base.free_name(docs, c) for c in ("_no", "_key", "_source", "_size", "_k", "_times"))
+    names = ("_no", "_key", "_source", "_size", "_k", "_times")
+    no_id, key, source, size, k, times = (base.free_name(docs, c) for c in names)
     keys = [no_id, key, source, size]  # nulls apart, so that rows join on plain equality
 
     def keyed(df, n, more):

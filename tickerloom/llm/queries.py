@@ -1,6 +1,18 @@
 """Imports the operators, which register their queries."""
 
-from tickerloom.llm import base, licenses, linedup, mixing, ogg, packing, quality, simhash, suffix, tokenfile, urllists  # noqa: F401
+from tickerloom.llm import (  # noqa: F401
+    base,
+    licenses,
+    linedup,
+    mixing,
+    ogg,
+    packing,
+    quality,
+    simhash,
+    suffix,
+    tokenfile,
+    urllists,
+)
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES

@@ -225,7 +225,8 @@ def _sets(texts, n):
     one = lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(n)))
     many = F.transform(F.sequence(F.lit(0), F.size("w") - n), one)
     few = F.array(F.xxhash64(F.concat_ws(" ", "w")))
-    return texts.select("fp", base.once(F.array_distinct(F.when(F.size("w") >= n, many).otherwise(few))).alias("shingles"))
+    every = F.array_distinct(F.when(F.size("w") >= n, many).otherwise(few))
+    return texts.select("fp", base.once(every).alias("shingles"))
 
 
 def similar(pairs, texts, n, similarity):
@@ -249,7 +250,8 @@ def keep_one(docs, n=5, similarity=0.8, planes=PLANES):
     key, row, no_id = (base.free_name(docs, c) for c in ("_key", "_row", "_no_id"))
     whole = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
     df = docs.withColumn(no_id, F.col("doc_id").isNull().cast("bigint"))
-    df = df.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint"))).withColumn(row, whole)
+    df = df.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint")))
+    df = df.withColumn(row, whole)
     own = df.select(F.col(no_id).alias("no_id"), F.col(key).alias("key"), F.col(row).alias("row"), "text")
     mine = ["no_id", "key", "row"]
     fps = base.settled(fingerprints(own, mine, n, planes), "fingerprints")
@@ -257,13 +259,15 @@ def keep_one(docs, n=5, similarity=0.8, planes=PLANES):
     first = fps.groupBy("fp").agg(F.min(F.struct(*mine, *more)).alias("first"))
     first = base.settled(first.select("fp", *(F.col(f"first.{c}").alias(c) for c in [*mine, *more])), "first")
     pairs = links(first.select("fp", *more), NEAR_BITS, BLOCK, planes, 2 * PLANE_SEGMENTS - 1)
-    pairs = base.settled(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = base.settled(pairs, "pairs")
     ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
     texts = own.join(first.join(ends, "fp").select("fp", *mine), mine).dropDuplicates(["fp"])
     found = components.roots(similar(pairs, texts, n, similarity)).withColumnRenamed("node", "fp")
     roots = first.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     stay = roots.groupBy("root").agg(F.min(F.struct(*mine)).alias("first"))
-    stay = stay.select(F.col("first.no_id").alias(no_id), F.col("first.key").alias(key), F.col("first.row").alias(row))
+    names = zip(mine, (no_id, key, row))
+    stay = stay.select(*(F.col(f"first.{c}").alias(own_name) for c, own_name in names))
     kept = df.join(stay, [no_id, key, row], "left_semi").dropDuplicates([no_id, key, row])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 

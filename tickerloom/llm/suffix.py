@@ -291,7 +291,8 @@ def remove_repeats(docs, length=LENGTH, keep=True):
     )
     packed = base.settled(_packed(rows), "texts")
     spans = repeats(packed.withColumn("n", F.lit(1).cast("bigint")), length)
-    spans = base.settled(spans, "spans").groupBy("id", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    own = F.collect_list(F.struct("start", "stop")).alias("spans")
+    spans = base.settled(spans, "spans").groupBy("id", "hash").agg(own)
     both = packed.join(spans, ["id", "hash"], "left").select("id", "n", "data", "spans")
     return _apply(both, keep)
 

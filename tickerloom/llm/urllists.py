@@ -39,7 +39,8 @@ def intervals(entries):
     one = entries.select(F.lower("pattern").alias("pattern"), day.alias("first"), "action").dropna()
     one = one.groupBy("pattern", "first").agg(F.max(F.col("action") == "block").alias("blocks"))
     until = F.lead("first").over(W.partitionBy("pattern").orderBy("first"))
-    return one.select("pattern", "first", until.alias("until"), F.when(F.col("blocks"), "block").otherwise("allow").alias("action"))
+    action = F.when(F.col("blocks"), "block").otherwise("allow").alias("action")
+    return one.select("pattern", "first", until.alias("until"), action)
 
 
 def _verdicts(seen, entries):
@@ -76,11 +77,16 @@ def filter_captures(captures, entries):
     df = captures.withColumn(name, host(F.col("url").cast("string")))
     df = df.withColumn(day, F.unix_date(F.col("fetched").cast("date")))
     seen = df.select(F.col(name).alias("host"), F.col(day).alias("day")).dropna().distinct()
-    found = _verdicts(seen, entries).withColumnsRenamed({"host": "_h", "day": "_d", "pattern": "_p", "listed_since": "_s", "action": "_a"})
-    df = df.select(*(F.col(f"`{c}`") for c in own), name, day)
-    df = df.join(found, (F.col(name) == F.col("_h")) & (F.col(day) == F.col("_d")), "left")
-    kept = F.coalesce(F.col("_a") != "block", F.lit(True))
-    return df.select(*(F.col(f"`{c}`") for c in own), F.col(name).alias("host"), F.col("_p").alias("pattern"), F.col("_s").alias("listed_since"), F.col("_a").alias("action"), kept.alias("kept"))
+    fresh = {c: base.free_name(captures, f"_{c}_") for c in ("pattern", "listed_since", "action")}
+    found = _verdicts(seen, entries).withColumnsRenamed({"host": name, "day": day, **fresh})
+    df = df.select(*(F.col(f"`{c}`") for c in own), name, day).join(found, [name, day], "left")
+    kept = F.coalesce(F.col(fresh["action"]) != "block", F.lit(True))
+    return df.select(
+        *(F.col(f"`{c}`") for c in own),
+        F.col(name).alias("host"),
+        *(F.col(f).alias(c) for c, f in fresh.items()),
+        kept.alias("kept"),
+    )
 
 
 def derived_tables(spark, sf_dir):
