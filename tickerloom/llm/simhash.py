@@ -28,8 +28,6 @@ SLICE = 1 << 16
 #: For near copies by shingles: planes of 64 bits, segments of each, and differing bits of the first
 #: plane up to which a pair is verified (similarity 0.8: 9.7 on average, deviation 2.9).
 PLANES, PLANE_SEGMENTS, NEAR_BITS = 4, 3, 18
-#: Fingerprints compared at once within a bucket.
-MATRIX = 1 << 18
 
 
 def shingle_hashes(data, n):
@@ -115,22 +113,25 @@ def _first_only(x, variant, segs):
 
 
 def forest(f, bits):
-    """Pairs of places that connect what links of `bits` or fewer connect: at most len(f) - 1."""
-    a, b, left = [], [], np.arange(len(f))
+    """The pairs that connect what links of `bits` or fewer connect, the closest first: a spanning
+    forest of least distances, at most len(f) - 1 of them. Memory goes with len(f).
+    """
+    a, b = [], []
+    left = np.arange(1, len(f))
+    near = np.zeros(len(left), np.int64)  # the place of the closest one that is in, for each left
+    far = np.bitwise_count(f[left] ^ f[0])
     while len(left):
-        queue, left = left[:1], left[1:]
-        while len(queue) and len(left):
-            k = max(1, min(len(queue), MATRIX // len(left)))
-            now, queue = queue[:k], queue[k:]
-            near = np.bitwise_count(f[now][:, None] ^ f[left]) <= bits
-            hit = near.any(axis=0)
-            new = left[hit]
-            a.append(now[near[:, hit].argmax(axis=0)])
-            b.append(new)
-            queue, left = np.concatenate([queue, new]), left[~hit]
-    if not a:
-        return f[:0], f[:0]
-    return f[np.concatenate(a)], f[np.concatenate(b)]
+        k = int(far.argmin())
+        i = left[k]
+        if far[k] <= bits:
+            a.append(near[k])
+            b.append(i)
+        left, near, far = (np.delete(x, k) for x in (left, near, far))
+        now = np.bitwise_count(f[left] ^ f[i])
+        closer = now < far
+        near[closer] = i
+        far[closer] = now[closer]
+    return f[np.array(a, np.int64)], f[np.array(b, np.int64)]
 
 
 def _links(bits, segs):
