@@ -203,6 +203,52 @@ def test_near_copies_are_found_and_others_left_alone(docs):
     assert len([b for b in near if b in kept]) <= 0.1 * len(near)
 
 
+def family(seed, members, planted, words=300):
+    """Texts of one template, about 0.74 similar, and edits of the first `planted` of them, 0.8 to 0.9."""
+    import random
+
+    r = random.Random(seed)
+    template = prose(seed, words).split()
+
+    def edited(text, n):
+        own = list(text)
+        for at in r.sample(range(0, words, 6), n):
+            own[at] = f"w{r.getrandbits(32)}"
+        return own
+
+    texts = [edited(template, 5) for _ in range(members)]
+    texts += [edited(t, 4 + k % 3) for k, t in enumerate(texts[:planted])]
+    return [" ".join(t) for t in texts]
+
+
+def brute_copies(texts, similarity=0.8):
+    """The least place of each text's component of pairs with this similarity."""
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    for b, own in enumerate(sets):
+        for a in range(b):
+            k = len(sets[a] & own)
+            if k >= similarity * (len(sets[a]) + len(own) - k):
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    return [find(k) for k in range(len(texts))]
+
+
+def test_copies_in_a_family_of_texts_are_found(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 4)
+    texts = family(5, 200, 60)
+    want = set(brute_copies(texts))
+    kept = {r.doc_id for r in simhash.keep_one(docs(list(enumerate(texts)))).collect()}
+    assert 180 <= len(want) <= 210 and want <= kept
+    assert len(kept - want) <= 6
+
+
 def test_large_groups_give_forests():
     f = np.array([1 << k for k in range(40)] + [0], np.uint64)
     u, v = simhash.forest(f, 2)

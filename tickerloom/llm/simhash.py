@@ -24,6 +24,8 @@ SEED = 42
 BLOCK = 4096
 #: Buckets of at most this many members are verified pair by pair.
 FEW = 32
+#: Near copies: groups of at most this many members are looked through pair by pair before a forest.
+WIDE = 512
 SLICE = 1 << 16
 #: For near copies by shingles: planes of 64 bits, segments of each, and differing bits of the first
 #: plane up to which a pair is verified (similarity 0.8: 9.7 on average, deviation 2.9).
@@ -112,14 +114,20 @@ def _first_only(x, variant, segs):
     return ok
 
 
+def _distance(f, g):
+    """Differing bits of fingerprints, one or more words each."""
+    x = np.bitwise_count(f ^ g)
+    return x if x.ndim == 1 else x.sum(axis=1, dtype=np.int64)
+
+
 def forest(f, bits):
-    """The pairs that connect what links of `bits` or fewer connect, the closest first: a spanning
-    forest of least distances, at most len(f) - 1 of them. Memory goes with len(f).
+    """The places of pairs that connect what links of `bits` or fewer connect, the closest first: a
+    spanning forest of least distances, at most len(f) - 1 of them. Memory goes with len(f).
     """
     a, b = [], []
     left = np.arange(1, len(f))
     near = np.zeros(len(left), np.int64)  # the place of the closest one that is in, for each left
-    far = np.bitwise_count(f[left] ^ f[0])
+    far = _distance(f[left], f[0])
     while len(left):
         k = int(far.argmin())
         i = left[k]
@@ -127,74 +135,136 @@ def forest(f, bits):
             a.append(near[k])
             b.append(i)
         left, near, far = (np.delete(x, k) for x in (left, near, far))
-        now = np.bitwise_count(f[left] ^ f[i])
+        now = _distance(f[left], f[i])
         closer = now < far
         near[closer] = i
         far[closer] = now[closer]
-    return f[np.array(a, np.int64)], f[np.array(b, np.int64)]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _links(bits, segs):
-    """For mapInArrow over rows (variant, group, fp) that are sorted by group: linked (u, v).
+def _shifts(at, ends):
+    """(places, the k-th ones after them) of all pairs of a group; ends: where each place's group ends."""
+    k = 1
+    while len(at := at[at + k < ends[at]]):
+        yield at, at + k
+        k += 1
 
-    segs: the segments of one plane; then a pair of a small bucket is given at its first variant
-    only. None: wherever it meets.
-    """
 
-    def linked(variant, group, f):
-        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        sizes = np.diff(np.append(cuts, len(group)))
-        out = [forest(f[c : c + s], bits) for c, s in zip(cuts[sizes > FEW], sizes[sizes > FEW])]
-        small = np.repeat(sizes <= FEW, sizes)
-        ends = np.repeat(cuts + sizes, sizes)
-        at, k = np.flatnonzero(small), 1
-        while len(at := at[at + k < ends[at]]):
-            x = f[at] ^ f[at + k]
-            ok = np.bitwise_count(x) <= bits
-            if segs:
-                ok[ok] = _first_only(x[ok], variant[at[ok]], segs)
-            out.append((f[at[ok]], f[at[ok] + k]))
-            k += 1
-        u, v = (np.concatenate([o[i] for o in out] or [f[:0]]).view(np.int64) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+def _batch(u, v):
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+
+def _by_group(linked):
+    """For mapInArrow over rows (group, ...) sorted by group: what linked(group, ...) gives of whole groups."""
 
     def run(batches):
         held = None
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            now[2] = now[2].view(np.uint64)
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            if not len(held[1]):
+            if not len(held[0]):
                 continue
-            last = np.flatnonzero(held[1] == held[1][-1])[0]
+            last = np.flatnonzero(held[0] == held[0][-1])[0]
             if last:
-                yield linked(*(x[:last] for x in held))
+                yield from linked(*(x[:last] for x in held))
                 held = [x[last:] for x in held]
-        if held is not None and len(held[1]):
-            yield linked(*held)
+        if held is not None and len(held[0]):
+            yield from linked(*held)
 
     return run
 
 
-def links(fps, bits=BITS, block=BLOCK, planes=1, cut=None):
-    """fps (fp, distinct) -> (u, v): links that connect all fingerprints within `bits` of each other.
+def _cut(group):
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    return cuts, np.diff(np.append(cuts, len(group)))
 
-    With more planes (fp1, ...), their segments, cut for `cut` differences in 64 bits, find pairs
-    too, and `bits` is asked of the first plane: no bound finds them all then.
+
+def _links(bits):
+    """Of rows (group, fp, variant): links (u, v) that connect each group; a pair of a small group is
+    given at its first variant only.
+    """
+    segs = segments(bits)
+
+    def linked(group, fp, variant):
+        f = fp.view(np.uint64)
+        cuts, sizes = _cut(group)
+        for c, s in zip(cuts[sizes > FEW], sizes[sizes > FEW]):
+            a, b = forest(f[c : c + s], bits)
+            yield _batch(f[c + a], f[c + b])
+        small = np.repeat(sizes <= FEW, sizes)
+        for a, b in _shifts(np.flatnonzero(small), np.repeat(cuts + sizes, sizes)):
+            x = f[a] ^ f[b]
+            ok = np.bitwise_count(x) <= bits
+            ok[ok] = _first_only(x[ok], variant[a[ok]], segs)
+            if ok.any():
+                yield _batch(f[a[ok]], f[b[ok]])
+
+    return _by_group(linked)
+
+
+def _near(bound, every):
+    """Of rows (group, id, root, fingerprint...): pairs (u, v) of ids within `bound` bits.
+
+    All pairs of each group with at most as many as members, of others its closest ones that connect
+    it. every: of all groups all pairs whose roots differ.
+    """
+
+    def some(group, ids, f):
+        cuts, sizes = _cut(group)
+        fits, of = sizes <= WIDE, np.repeat(np.arange(len(sizes)), sizes)
+        a, b = [], []
+        for x, y in _shifts(np.flatnonzero(fits[of]), np.repeat(cuts + sizes, sizes)):
+            ok = _distance(f[x], f[y]) <= bound
+            a.append(x[ok])
+            b.append(y[ok])
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (a, b))
+        dense = ~fits | (sizes > FEW) & (np.bincount(of[a], minlength=len(sizes)) > sizes)
+        yield _batch(ids[a[~dense[of[a]]]], ids[b[~dense[of[a]]]])
+        for c, s in zip(cuts[dense], sizes[dense]):
+            a, b = forest(f[c : c + s], bound)
+            yield _batch(ids[c + a], ids[c + b])
+
+    def linked(group, ids, root, *planes):
+        f = np.stack([p.view(np.uint64) for p in planes], axis=1)
+        if not every:
+            yield from some(group, ids, f)
+            return
+        cuts, sizes = _cut(group)
+        for a, b in _shifts(np.arange(len(group)), np.repeat(cuts + sizes, sizes)):
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            ok = _distance(f[a], f[b]) <= bound
+            if ok.any():
+                yield _batch(ids[a[ok]], ids[b[ok]])
+
+    return _by_group(linked)
+
+
+def dealt(rows, block, name="fp"):
+    """rows (key, ...) of each key with several, with `group`, sorted by it: the key's rows, or two
+    of its blocks where it has over `block`.
     """
     same = W.partitionBy("key")
-    linked = _links(bits, segments(bits) if planes == 1 else None)
-    rows = variants(fps, cut or bits, planes).withColumn("n", F.count("*").over(same)).filter("n > 1")
-    rows = rows.withColumn("k", F.row_number().over(same.orderBy("fp")) - 1)
-    near = rows.filter(F.col("n") <= block).select("variant", F.col("key").alias("group"), "fp")
-    found = base.map_arrow(near, linked, "u bigint, v bigint")
+    rows = rows.withColumn("n", F.count("*").over(same)).filter("n > 1")
+    rows = rows.withColumn("k", F.row_number().over(same.orderBy(name)) - 1)
     mine, n = F.floor(F.col("k") / block), F.ceil(F.col("n") / block)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("other")
-    hot = rows.filter(F.col("n") > block).select("variant", "key", "fp", mine.alias("mine"), other)
+    rows = rows.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("other"))
     group = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group")
-    hot = hot.select("variant", group, "fp").repartition(base.partitions(fps.sparkSession), "group")
-    hot = hot.sortWithinPartitions("group", "fp")
-    return found.union(base.map_arrow(hot, linked, "u bigint, v bigint"))
+    rows = rows.select(group, *(c for c in rows.columns if c not in ("key", "n", "k", "mine", "other")))
+    return rows.repartition(base.partitions(rows.sparkSession), "group").sortWithinPartitions("group", name)
+
+
+def links(fps, bits=BITS, block=BLOCK):
+    """fps (fp, distinct) -> (u, v): links that connect all fingerprints within `bits` of each other."""
+    rows = dealt(variants(fps, bits), block).select("group", "fp", "variant")
+    return base.map_arrow(rows, _links(bits), "u bigint, v bigint")
+
+
+def near_pairs(rows, bound, every=False, block=BLOCK):
+    """rows (key, id, root, fingerprint...) -> (u < v), distinct: see _near."""
+    rows = dealt(rows, block, "id")
+    pairs = base.map_arrow(rows, _near(bound, every), "u bigint, v bigint")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def classes(fps, bits=BITS):
@@ -221,18 +291,17 @@ def components_of(docs, n=SHINGLE, bits=BITS):
 
 
 def _sets(texts, n):
-    """texts (fp, text) -> (fp, shingles: hashes of the distinct shingles of n words)."""
+    """texts (fp, text) -> (id, shingles: hashes of the distinct shingles of n words)."""
     texts = texts.select("fp", base.once(base.words(F.lower(base.text_or_empty()))).alias("w"))
     one = lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(n)))
     many = F.transform(F.sequence(F.lit(0), F.size("w") - n), one)
     few = F.array(F.xxhash64(F.concat_ws(" ", "w")))
     every = F.array_distinct(F.when(F.size("w") >= n, many).otherwise(few))
-    return texts.select("fp", base.once(every).alias("shingles"))
+    return texts.select(F.col("fp").alias("id"), base.once(every).alias("shingles"))
 
 
-def similar(pairs, texts, n, similarity):
-    """pairs (u, v) of fp whose texts (fp, text) share `similarity` of their shingles of n words."""
-    sets = base.settled(_sets(texts, n), "shingles")
+def similar(pairs, sets, similarity):
+    """pairs (u, v) whose sets (id, shingles) share `similarity` of their shingles."""
     a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
     both = pairs.join(a, "u").join(b, "v")
     shared = F.size(F.array_intersect("a", "b"))
@@ -240,6 +309,26 @@ def similar(pairs, texts, n, similarity):
     return both.filter(F.col("k") >= similarity * (F.col("m") + F.col("n") - F.col("k"))).select("u", "v")
 
 
+def verified(pieces, sets, bound, similarity):
+    """pieces (key, id, fingerprint...) -> (node, root): components of all pairs of a key within
+    `bound` bits whose sets are similar. sets(ids): (id, shingles) of these.
+
+    First the closest pairs that connect each key, which join large groups of copies; then each pair
+    that has not been verified and whose ends are still apart.
+    """
+    bits = [c for c in pieces.columns if c not in ("key", "id")]
+    tried = base.settled(near_pairs(pieces.select("key", "id", F.col("id").alias("root"), *bits), bound), "pairs")
+    ends = tried.select(F.col("u").alias("id")).union(tried.select("v")).distinct()
+    sets = base.settled(sets(ends), "shingles")  # the second look's ends are among these: a forest leaves none out
+    good = base.settled(similar(tried, sets, similarity), "similar")
+    roots = components.roots(good)
+    roots = roots.withColumnRenamed("node", "id")
+    left = pieces.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), *bits)
+    left = near_pairs(left, bound, every=True).join(tried, ["u", "v"], "left_anti")
+    more = base.settled(similar(base.settled(left, "left"), sets, similarity), "similar")
+    return components.roots(good.union(more))
+
+
 def keep_one(docs, n=5, similarity=0.8, planes=PLANES):
     """docs with one row of each class: the least doc_id (null last), then the least row hash.
 
@@ -259,12 +348,14 @@ def keep_one(docs, n=5, similarity=0.8, planes=PLANES):
     more = [f"fp{k}" for k in range(1, planes)]
     first = fps.groupBy("fp").agg(F.min(F.struct(*mine, *more)).alias("first"))
     first = base.settled(first.select("fp", *(F.col(f"first.{c}").alias(c) for c in [*mine, *more])), "first")
-    pairs = links(first.select("fp", *more), NEAR_BITS, BLOCK, planes, 2 * PLANE_SEGMENTS - 1)
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = base.settled(pairs, "pairs")
-    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    texts = own.join(first.join(ends, "fp").select("fp", *mine), mine).dropDuplicates(["fp"])
-    found = components.roots(similar(pairs, texts, n, similarity)).withColumnRenamed("node", "fp")
+    pieces = variants(first, 2 * PLANE_SEGMENTS - 1, planes).withColumn("f", F.col("fp"))
+
+    def sets(ids):
+        rows = first.join(ids.withColumnRenamed("id", "fp"), "fp").select("fp", *mine)
+        return _sets(own.join(rows, mine).dropDuplicates(["fp"]), n)
+
+    found = verified(pieces.select("key", F.col("fp").alias("id"), "f"), sets, NEAR_BITS, similarity)
+    found = found.withColumnRenamed("node", "fp")
     roots = first.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     stay = roots.groupBy("root").agg(F.min(F.struct(*mine)).alias("first"))
     names = zip(mine, (no_id, key, row))
