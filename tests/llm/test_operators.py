@@ -249,6 +249,20 @@ def test_copies_in_a_family_of_texts_are_found(docs, monkeypatch):
     assert len(kept - want) <= 6
 
 
+def test_pairs_just_above_the_similarity_are_found():
+    import random
+
+    r, found, total = random.Random(1), 0, 3000
+    for _ in range(total):
+        n = r.randint(80, 400)
+        both, m = [r.getrandbits(64) for _ in range(n)], round(n / 8)  # similarity 0.8: n of n + 2 * n / 8
+        a, b = (simhash.sketch(np.array(both + [r.getrandbits(64) for _ in range(m)], np.uint64)) for _ in range(2))
+        shared = (simhash.pieces_of(a[None]) == simhash.pieces_of(b[None])).any()
+        far = int(np.bitwise_count(a[: simhash.WORDS] ^ b[: simhash.WORDS]).sum())
+        found += bool(shared) and far <= simhash.near_bits(0.8)
+    assert found >= 0.98 * total, found
+
+
 def test_large_groups_give_forests():
     f = np.array([1 << k for k in range(40)] + [0], np.uint64)
     u, v = simhash.forest(f, 2)

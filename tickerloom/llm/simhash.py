@@ -10,6 +10,8 @@ that share a variant) gives links that connect it, not its pairs. Buckets beyond
 cut to blocks, and every two blocks are verified by a task of their own.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,9 +29,11 @@ FEW = 32
 #: Near copies: groups of at most this many members are looked through pair by pair before a forest.
 WIDE = 512
 SLICE = 1 << 16
-#: For near copies by shingles: planes of 64 bits, segments of each, and differing bits of the first
-#: plane up to which a pair is verified (similarity 0.8: 9.7 on average, deviation 2.9).
-PLANES, PLANE_SEGMENTS, NEAR_BITS = 4, 3, 14
+#: For near copies by shingles: bits of each piece of a fingerprint and pieces of it. At similarity
+#: 0.8 two fingerprints share a piece with probability 0.99.
+PIECE, PIECES = 18, 92
+#: Words of 64 bits that hold the pieces, and how many of them all differing bits are counted over.
+PLANES, WORDS = -(-PIECE * PIECES // 64), 4
 
 
 def shingle_hashes(data, n):
@@ -50,35 +54,73 @@ def _majority(hashes):
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(data, n=SHINGLE, planes=1):
-    """The bits set in over half of the shingles' hashes, as unsigned integers; no words: 0.
+def fingerprint(data, n=SHINGLE):
+    """The bits set in over half of the shingles' hashes, as an unsigned integer; no words: 0."""
+    return _majority(shingle_hashes(data, n))
+
+
+def fingerprints(docs, keys, n=SHINGLE):
+    """keys of docs and the fingerprint of `text` (null: no words) as signed bigint `fp`."""
+    schema = ", ".join(f"{k} bigint" for k in [*keys, "fp"])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(len(keys)).cast(pa.binary())
+            fps = pa.array(np.array([fingerprint(t.as_py(), n) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], [*keys, "fp"])
 
-    Planes after the first are taken from the same hashes, mixed anew.
+    return base.map_arrow(docs.select(*keys, base.text_or_empty()), run, schema)
+
+
+def sketch(hashes):
+    """PLANES words of 64 bits of a set of hashes: the bits that over half of them have, the hashes
+    mixed anew for each word.
     """
-    hashes, out = shingle_hashes(data, n), []
-    for _ in range(planes):
-        out.append(_majority(hashes))
-        hashes = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes ^= hashes >> np.uint64(32)
-    return out if planes > 1 else out[0]
+    ones, half = np.zeros(64 * PLANES, np.int64), len(hashes)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        part = hashes[at : at + 255]
+        mixed = np.empty((len(part), PLANES), "<u8")
+        for k in range(PLANES):
+            mixed[:, k] = part
+            part = (part ^ part >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            part ^= part >> np.uint64(32)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > half, bitorder="little").view("<u8")
+
+
+def pieces_of(words):
+    """Rows of PLANES words -> PIECES integers each: number and bits of each piece of PIECE bits."""
+    bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+    bits = bits[:, : PIECE * PIECES].reshape(len(words), PIECES, PIECE)
+    return (bits @ (1 << np.arange(PIECE, dtype=np.int32))) + (np.arange(PIECES, dtype=np.int32) << PIECE)
 
 
-def fingerprints(docs, keys, n=SHINGLE, planes=1):
-    """keys of docs and the fingerprint of `text` (null: no words) as signed bigint `fp`.
+def near_bits(similarity):
+    """Differing bits of WORDS words that texts of this similarity keep to: mean and three deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WORDS
+    return math.floor(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
-    More planes follow as fp1, fp2 and so on.
+
+def sketches(docs, keys, n):
+    """keys of docs, `fp`, more words fp1 ... of WORDS, and `pieces`, of the set of shingles of `text`.
+
+    Letters are put in lower case as _sets does.
     """
-    names = ["fp", *(f"fp{k}" for k in range(1, planes))]
-    schema = ", ".join(f"{k} bigint" for k in [*keys, *names])
+    names = ["fp", *(f"fp{k}" for k in range(1, WORDS))]
+    schema = ", ".join([*(f"{k} bigint" for k in [*keys, *names]), "pieces array<int>"])
 
     def run(batches):
         for batch in batches:
             texts = batch.column(len(keys)).cast(pa.binary())
-            fps = np.array([fingerprint(t.as_py(), n, planes) for t in texts], np.uint64).reshape(len(batch), planes)
-            found = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(planes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*keys, *names])
+            hashes = (np.unique(shingle_hashes(t.as_py(), n)) for t in texts)
+            found = np.array([sketch(h) for h in hashes], np.uint64).reshape(len(batch), PLANES)
+            own = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS)]
+            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * PIECES)
+            pieces = pa.ListArray.from_arrays(ends, pa.array(pieces_of(found).ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own, pieces], [*keys, *names, "pieces"])
 
-    return base.map_arrow(docs.select(*keys, base.text_or_empty()), run, schema)
+    return base.map_arrow(docs.select(*keys, F.lower(base.text_or_empty()).alias("text")), run, schema)
 
 
 def segments(bits):
@@ -88,15 +130,14 @@ def segments(bits):
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-def variants(fps, bits, planes=1):
-    """fps (fp, fp1, ...) with `variant` (the bit left out) and `key`: that number and the segment."""
+def variants(fps, bits):
+    """fps (fp) with `variant` (the bit left out) and `key`: that number and the segment."""
     keys = []
-    for plane in range(planes):
-        for low, width in segments(bits):
-            part = F.shiftrightunsigned(f"fp{plane or ''}", low).bitwiseAND(F.lit((1 << width) - 1))
-            for p in range(width):
-                rest = part.bitwiseAND(F.lit((1 << width) - 1 - (1 << p)))
-                keys.append(rest + F.lit((64 * plane + low + p) << 33))
+    for low, width in segments(bits):
+        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
+        for p in range(width):
+            rest = part.bitwiseAND(F.lit((1 << width) - 1 - (1 << p)))
+            keys.append(rest + F.lit((low + p) << 33))
     return fps.select("fp", F.posexplode(F.array(*keys)).alias("variant", "key"))
 
 
@@ -329,13 +370,13 @@ def verified(pieces, sets, bound, similarity):
     return components.roots(good.union(more))
 
 
-def keep_one(docs, n=5, similarity=0.8, planes=PLANES):
+def keep_one(docs, n=5, similarity=0.8):
     """docs with one row of each class: the least doc_id (null last), then the least row hash.
 
-    Near copies are texts whose sets of n-word shingles have this similarity (Jaccard). Segments of
-    `planes` times 64 bits find the pairs: at similarity 0.8 with probability 0.82, at 0.85 with
-    0.94, at 0.9 with 0.99; each pair found is verified by its shingles. Texts of one fingerprint
-    are one class. Columns stay as they are. Rows equal in all columns are copies; one stays.
+    Near copies are texts whose sets of n-word shingles have this similarity (Jaccard). PIECES
+    pieces of a fingerprint of the set find the pairs: at similarity 0.8 with probability 0.99, more
+    above; each pair found is verified by its shingles. Texts of one fingerprint are one class.
+    Columns stay as they are. Rows equal in all columns are copies; one stays.
     """
     key, row, no_id = (base.free_name(docs, c) for c in ("_key", "_row", "_no_id"))
     whole = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
@@ -344,17 +385,17 @@ def keep_one(docs, n=5, similarity=0.8, planes=PLANES):
     df = df.withColumn(row, whole)
     own = df.select(F.col(no_id).alias("no_id"), F.col(key).alias("key"), F.col(row).alias("row"), "text")
     mine = ["no_id", "key", "row"]
-    fps = base.settled(fingerprints(own, mine, n, planes), "fingerprints")
-    more = [f"fp{k}" for k in range(1, planes)]
+    fps = base.settled(sketches(own, mine, n), "fingerprints")
+    more = [*(f"fp{k}" for k in range(1, WORDS)), "pieces"]
     first = fps.groupBy("fp").agg(F.min(F.struct(*mine, *more)).alias("first"))
     first = base.settled(first.select("fp", *(F.col(f"first.{c}").alias(c) for c in [*mine, *more])), "first")
-    pieces = variants(first, 2 * PLANE_SEGMENTS - 1, planes).withColumn("f", F.col("fp"))
+    pieces = first.select(F.explode("pieces").alias("key"), F.col("fp").alias("id"), "fp", *more[:-1])
 
     def sets(ids):
         rows = first.join(ids.withColumnRenamed("id", "fp"), "fp").select("fp", *mine)
         return _sets(own.join(rows, mine).dropDuplicates(["fp"]), n)
 
-    found = verified(pieces.select("key", F.col("fp").alias("id"), "f"), sets, NEAR_BITS, similarity)
+    found = verified(pieces, sets, near_bits(similarity), similarity)
     found = found.withColumnRenamed("node", "fp")
     roots = first.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     stay = roots.groupBy("root").agg(F.min(F.struct(*mine)).alias("first"))
