@@ -263,6 +263,13 @@ def test_pairs_just_above_the_similarity_are_found():
     assert found >= 0.98 * total, found
 
 
+def test_texts_with_one_very_common_shingle_stay(docs):
+    texts = ["x " * 200 + prose(k, 60) for k in range(3)] + ["y " * 200 + prose(4, 60)]
+    assert max(jaccard(a, b) for k, a in enumerate(texts) for b in texts[:k]) < 0.2
+    got = simhash.keep_one(docs(list(enumerate([*texts, texts[0].upper()]))))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 3]
+
+
 def test_large_groups_give_forests():
     f = np.array([1 << k for k in range(40)] + [0], np.uint64)
     u, v = simhash.forest(f, 2)

@@ -103,22 +103,24 @@ def near_bits(similarity):
 
 
 def sketches(docs, keys, n):
-    """keys of docs, `fp`, more words fp1 ... of WORDS, and `pieces`, of the set of shingles of `text`.
+    """keys of docs, a hash `fp` of the set of shingles of `text`, and the set's sketch: the first WORDS
+    words, fp1 ..., and `pieces`.
 
     Letters are put in lower case as _sets does.
     """
-    names = ["fp", *(f"fp{k}" for k in range(1, WORDS))]
-    schema = ", ".join([*(f"{k} bigint" for k in [*keys, *names]), "pieces array<int>"])
+    names = [f"fp{k}" for k in range(1, WORDS + 1)]
+    schema = ", ".join([*(f"{k} bigint" for k in [*keys, "fp", *names]), "pieces array<int>"])
 
     def run(batches):
         for batch in batches:
             texts = batch.column(len(keys)).cast(pa.binary())
-            hashes = (np.unique(shingle_hashes(t.as_py(), n)) for t in texts)
+            hashes = [np.unique(shingle_hashes(t.as_py(), n)) for t in texts]
+            fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)
             found = np.array([sketch(h) for h in hashes], np.uint64).reshape(len(batch), PLANES)
-            own = [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS)]
+            own = [pa.array(fp), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS))]
             ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * PIECES)
             pieces = pa.ListArray.from_arrays(ends, pa.array(pieces_of(found).ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own, pieces], [*keys, *names, "pieces"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own, pieces], [*keys, "fp", *names, "pieces"])
 
     return base.map_arrow(docs.select(*keys, F.lower(base.text_or_empty()).alias("text")), run, schema)
 
@@ -375,8 +377,7 @@ def keep_one(docs, n=5, similarity=0.8):
 
     Near copies are texts whose sets of n-word shingles have this similarity (Jaccard). PIECES
     pieces of a fingerprint of the set find the pairs: at similarity 0.8 with probability 0.99, more
-    above; each pair found is verified by its shingles. Texts of one fingerprint are one class.
-    Columns stay as they are. Rows equal in all columns are copies; one stays.
+    above; each pair found is verified by its shingles. Texts of one set are one class. Columns stay as they are. Rows equal in all columns are copies; one stays.
     """
     key, row, no_id = (base.free_name(docs, c) for c in ("_key", "_row", "_no_id"))
     whole = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
@@ -386,10 +387,10 @@ def keep_one(docs, n=5, similarity=0.8):
     own = df.select(F.col(no_id).alias("no_id"), F.col(key).alias("key"), F.col(row).alias("row"), "text")
     mine = ["no_id", "key", "row"]
     fps = base.settled(sketches(own, mine, n), "fingerprints")
-    more = [*(f"fp{k}" for k in range(1, WORDS)), "pieces"]
+    more = [*(f"fp{k}" for k in range(1, WORDS + 1)), "pieces"]
     first = fps.groupBy("fp").agg(F.min(F.struct(*mine, *more)).alias("first"))
     first = base.settled(first.select("fp", *(F.col(f"first.{c}").alias(c) for c in [*mine, *more])), "first")
-    pieces = first.select(F.explode("pieces").alias("key"), F.col("fp").alias("id"), "fp", *more[:-1])
+    pieces = first.select(F.explode("pieces").alias("key"), F.col("fp").alias("id"), *more[:-1])
 
     def sets(ids):
         rows = first.join(ids.withColumnRenamed("id", "fp"), "fp").select("fp", *mine)
