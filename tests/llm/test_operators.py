@@ -270,6 +270,17 @@ def test_texts_with_one_very_common_shingle_stay(docs):
     assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 3]
 
 
+def test_hot_keys_are_dealt_to_blocks(spark):
+    rows = spark.range(1000).selectExpr("if(id < 900, 1L, id) AS key", "id AS fp")
+    got = simhash.dealt(rows, simhash.hot_keys(rows, 100))
+    groups = defaultdict(set)
+    for r in got.collect():
+        groups[r["group"]].add(r["fp"])
+    assert max(map(len, groups.values())) < 300
+    assert {frozenset((a, b)) for g in groups.values() for a in g for b in g if a < b} == {frozenset((a, b)) for b in range(900) for a in range(b)}
+    assert "windowspecdefinition(key" not in got._jdf.queryExecution().toString()
+
+
 def test_large_groups_give_forests():
     f = np.array([1 << k for k in range(40)] + [0], np.uint64)
     u, v = simhash.forest(f, 2)

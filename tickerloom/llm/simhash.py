@@ -283,30 +283,37 @@ def _near(bound, every):
     return _by_group(linked)
 
 
-def dealt(rows, block, name="fp"):
-    """rows (key, ...) of each key with several, with `group`, sorted by it: the key's rows, or two
-    of its blocks where it has over `block`.
+def hot_keys(rows, block=BLOCK):
+    """(key, blocks) of the keys of rows with over `block` rows, counted before they are dealt."""
+    many = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    return base.settled(many.select("key", F.ceil(F.col("n") / block).alias("blocks")), "hot")
+
+
+def dealt(rows, hot, name="fp"):
+    """rows (key, ...) with `group` and sorted by it: the key's rows, or two of its blocks where it is
+    hot. A row's block is by the hash of column `name`. Rows alone in their group are left out.
     """
-    same = W.partitionBy("key")
-    rows = rows.withColumn("n", F.count("*").over(same)).filter("n > 1")
-    rows = rows.withColumn("k", F.row_number().over(same.orderBy(name)) - 1)
-    mine, n = F.floor(F.col("k") / block), F.ceil(F.col("n") / block)
-    rows = rows.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("other"))
+    blocks = F.coalesce("blocks", F.lit(1).cast("bigint"))
+    mine = F.pmod(F.xxhash64(name), blocks).alias("mine")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other")
+    names = [c for c in rows.columns if c != "key"]
+    rows = rows.join(hot, "key", "left").select("key", *names, mine, other)
     group = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group")
-    rows = rows.select(group, *(c for c in rows.columns if c not in ("key", "n", "k", "mine", "other")))
-    return rows.repartition(base.partitions(rows.sparkSession), "group").sortWithinPartitions("group", name)
+    whole = W.partitionBy("group").orderBy(name).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.select(group, *names).withColumn("n", F.count("*").over(whole))
+    return rows.filter("n > 1").drop("n")
 
 
 def links(fps, bits=BITS, block=BLOCK):
     """fps (fp, distinct) -> (u, v): links that connect all fingerprints within `bits` of each other."""
-    rows = dealt(variants(fps, bits), block).select("group", "fp", "variant")
+    rows = variants(fps, bits)
+    rows = dealt(rows, hot_keys(rows, block)).select("group", "fp", "variant")
     return base.map_arrow(rows, _links(bits), "u bigint, v bigint")
 
 
-def near_pairs(rows, bound, every=False, block=BLOCK):
+def near_pairs(rows, hot, bound, every=False):
     """rows (key, id, root, fingerprint...) -> (u < v), distinct: see _near."""
-    rows = dealt(rows, block, "id")
-    pairs = base.map_arrow(rows, _near(bound, every), "u bigint, v bigint")
+    pairs = base.map_arrow(dealt(rows, hot, "id"), _near(bound, every), "u bigint, v bigint")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -360,14 +367,16 @@ def verified(pieces, sets, bound, similarity):
     that has not been verified and whose ends are still apart.
     """
     bits = [c for c in pieces.columns if c not in ("key", "id")]
-    tried = base.settled(near_pairs(pieces.select("key", "id", F.col("id").alias("root"), *bits), bound), "pairs")
+    hot = hot_keys(pieces)
+    tried = near_pairs(pieces.select("key", "id", F.col("id").alias("root"), *bits), hot, bound)
+    tried = base.settled(tried, "pairs")
     ends = tried.select(F.col("u").alias("id")).union(tried.select("v")).distinct()
     sets = base.settled(sets(ends), "shingles")  # the second look's ends are among these: a forest leaves none out
     good = base.settled(similar(tried, sets, similarity), "similar")
-    roots = components.roots(good)
-    roots = roots.withColumnRenamed("node", "id")
-    left = pieces.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), *bits)
-    left = near_pairs(left, bound, every=True).join(tried, ["u", "v"], "left_anti")
+    roots = components.roots(good).withColumnRenamed("node", "id")
+    roots = ends.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    left = near_pairs(pieces.join(roots, "id").select("key", "id", "root", *bits), hot, bound, every=True)
+    left = left.join(tried, ["u", "v"], "left_anti")
     more = base.settled(similar(base.settled(left, "left"), sets, similarity), "similar")
     return components.roots(good.union(more))
 
