@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.conftest import ODD, prose
-from tickerloom.llm import base
+from tests.llm.test_operators import brute_copies, family
+from tickerloom.llm import base, simhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -60,3 +61,10 @@ def test_copies_go_and_clean_documents_stay(spark, docs):
 def test_run_gives_the_stages_result(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert got.columns[:3] == ["doc_id", "start", "length"] and got.count() > 0
+
+
+def test_near_dedup_keeps_what_brute_force_keeps(spark, docs, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 4)
+    texts = family(6, 150, 40)
+    got = corpus_pipeline.near_dedup(spark, docs(list(enumerate(texts))), SMALL)
+    assert {r.doc_id for r in got.collect()} == set(brute_copies(texts))
