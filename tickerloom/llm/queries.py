@@ -1,7 +1,9 @@
 """Imports the operators, which register their queries."""
 
 from tickerloom.llm import (  # noqa: F401
+    anchors,
     base,
+    divergence,
     licenses,
     linedup,
     mixing,
@@ -12,6 +14,7 @@ from tickerloom.llm import (  # noqa: F401
     suffix,
     tokenfile,
     urllists,
+    vectorcodes,
 )
 
 QUERIES = base.QUERIES
