@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD, prose
-from tickerloom.llm import licenses, linedup, mixing, ogg, packing, quality, simhash, suffix, tokenfile, tokens, urllists
+from tickerloom.llm import licenses, linedup, mixing, nearcopies, ogg, packing, quality, simhash, suffix, tokenfile, tokens, urllists
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -173,36 +173,6 @@ def jaccard(a, b, n=5):
     return len(a & b) / len(a | b)
 
 
-def test_one_of_each_group_stays(docs):
-    texts = near_copies(3, 600, 6) + near_copies(4, 120, 2)
-    half = texts[0].split()
-    texts += [" ".join(half[:450]) + " " + prose(77, 150)]  # similarity 0.6: no copy
-    data = [*((10 + k, t) for k, t in enumerate(texts)), (4, prose(9, 80)), (4, prose(9, 80)), (9, prose(9, 80)), (None, None), (2, "")]
-    got = simhash.keep_one(docs(data, clash=True))
-    kept = sorted((r.doc_id for r in got.collect()), key=repr)
-    assert jaccard(texts[-1], texts[0]) < 0.8 <= min(jaccard(texts[0], t) for t in texts[1:6])
-    assert kept == [10, 16, 18, 2, 4]
-    assert got.columns == docs([], clash=True).columns
-    assert simhash.keep_one(docs([])).count() == 0
-
-
-def test_near_copies_are_found_and_others_left_alone(docs):
-    import random
-
-    texts, pairs = [], []
-    for k in range(120):
-        words = prose(1000 + k, 300).split()
-        edited = list(words)
-        for at in random.Random(k).sample(range(300), k % 12):
-            edited[at] = f"new{at}"
-        pairs.append((len(texts), len(texts) + 1))
-        texts += [" ".join(words), " ".join(edited)]
-    kept = {r.doc_id for r in simhash.keep_one(docs(list(enumerate(texts)))).collect()}
-    near = [b for a, b in pairs if jaccard(texts[a], texts[b]) >= 0.8]
-    assert {a for a, _ in pairs} | {b for a, b in pairs if jaccard(texts[a], texts[b]) < 0.8} <= kept
-    assert len([b for b in near if b in kept]) <= 0.1 * len(near)
-
-
 def family(seed, members, planted, words=300):
     """Texts of one template, about 0.74 similar, and edits of the first `planted` of them, 0.8 to 0.9."""
     import random
@@ -240,33 +210,10 @@ def brute_copies(texts, similarity=0.8):
     return [find(k) for k in range(len(texts))]
 
 
-def test_copies_in_a_family_of_texts_are_found(docs, monkeypatch):
-    monkeypatch.setattr(simhash, "FEW", 4)
-    texts = family(5, 200, 60)
-    want = set(brute_copies(texts))
-    kept = {r.doc_id for r in simhash.keep_one(docs(list(enumerate(texts)))).collect()}
-    assert 180 <= len(want) <= 210 and want <= kept
-    assert len(kept - want) <= 6
-
-
-def test_pairs_just_above_the_similarity_are_found():
-    import random
-
-    r, found, total = random.Random(1), 0, 3000
-    for _ in range(total):
-        n = r.randint(80, 400)
-        both, m = [r.getrandbits(64) for _ in range(n)], round(n / 8)  # similarity 0.8: n of n + 2 * n / 8
-        a, b = (simhash.sketch(np.array(both + [r.getrandbits(64) for _ in range(m)], np.uint64)) for _ in range(2))
-        shared = (simhash.pieces_of(a[None]) == simhash.pieces_of(b[None])).any()
-        far = int(np.bitwise_count(a[: simhash.WORDS] ^ b[: simhash.WORDS]).sum())
-        found += bool(shared) and far <= simhash.near_bits(0.8)
-    assert found >= 0.98 * total, found
-
-
 def test_texts_with_one_very_common_shingle_stay(docs):
     texts = ["x " * 200 + prose(k, 60) for k in range(3)] + ["y " * 200 + prose(4, 60)]
     assert max(jaccard(a, b) for k, a in enumerate(texts) for b in texts[:k]) < 0.2
-    got = simhash.keep_one(docs(list(enumerate([*texts, texts[0].upper()]))))
+    got = nearcopies.keep_one(docs(list(enumerate([*texts, texts[0].upper()]))))
     assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 3]
 
 

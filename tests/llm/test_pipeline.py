@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.conftest import ODD, prose
 from tests.llm.test_operators import brute_copies, family
-from tickerloom.llm import base, simhash
+from tickerloom.llm import base, nearcopies
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -64,7 +64,20 @@ def test_run_gives_the_stages_result(spark):
 
 
 def test_near_dedup_keeps_what_brute_force_keeps(spark, docs, monkeypatch):
-    monkeypatch.setattr(simhash, "FEW", 4)
+    monkeypatch.setattr(nearcopies, "FEW", 4)
     texts = family(6, 150, 40)
     got = corpus_pipeline.near_dedup(spark, docs(list(enumerate(texts))), SMALL)
     assert {r.doc_id for r in got.collect()} == set(brute_copies(texts))
+
+
+def test_columns_with_the_operators_own_names_keep_their_values(spark, docs):
+    lines = "\n".join(f"{prose(k, 9)} the of and" for k in range(4))
+    data = docs([(1, lines), (2, lines + "\nlast line of it"), (3, None), (3, None)])
+    own = {c: F.lit(f"own {c}") for c in ("n_lines", "N_removed", "fp", "size", "bits", "keys", "root", "id", "times", "mine")}
+    data = data.select("*", *(e.alias(c) for c, e in own.items()))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, data, SMALL)
+        assert out.columns == data.columns, name
+        assert out.select(*own).distinct().collect() == data.select(*own).distinct().collect(), name
+    texts = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, data, SMALL).collect()}
+    assert texts == {1: lines, 2: "last line of it", 3: None}

@@ -10,8 +10,6 @@ that share a variant) gives links that connect it, not its pairs. Buckets beyond
 cut to blocks, and every two blocks are verified by a task of their own.
 """
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,14 +24,7 @@ SEED = 42
 BLOCK = 4096
 #: Buckets of at most this many members are verified pair by pair.
 FEW = 32
-#: Near copies: groups of at most this many members are looked through pair by pair before a forest.
-WIDE = 512
 SLICE = 1 << 16
-#: For near copies by shingles: bits of each piece of a fingerprint and pieces of it. At similarity
-#: 0.8 two fingerprints share a piece with probability 0.99.
-PIECE, PIECES = 18, 92
-#: Words of 64 bits that hold the pieces, and how many of them all differing bits are counted over.
-PLANES, WORDS = -(-PIECE * PIECES // 64), 4
 
 
 def shingle_hashes(data, n):
@@ -72,59 +63,6 @@ def fingerprints(docs, keys, n=SHINGLE):
     return base.map_arrow(docs.select(*keys, base.text_or_empty()), run, schema)
 
 
-def sketch(hashes):
-    """PLANES words of 64 bits of a set of hashes: the bits that over half of them have, the hashes
-    mixed anew for each word.
-    """
-    ones, half = np.zeros(64 * PLANES, np.int64), len(hashes)
-    for at in range(0, len(hashes), 255):  # as many as a byte can count
-        part = hashes[at : at + 255]
-        mixed = np.empty((len(part), PLANES), "<u8")
-        for k in range(PLANES):
-            mixed[:, k] = part
-            part = (part ^ part >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            part ^= part >> np.uint64(32)
-        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > half, bitorder="little").view("<u8")
-
-
-def pieces_of(words):
-    """Rows of PLANES words -> PIECES integers each: number and bits of each piece of PIECE bits."""
-    bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
-    bits = bits[:, : PIECE * PIECES].reshape(len(words), PIECES, PIECE)
-    return (bits @ (1 << np.arange(PIECE, dtype=np.int32))) + (np.arange(PIECES, dtype=np.int32) << PIECE)
-
-
-def near_bits(similarity):
-    """Differing bits of WORDS words that texts of this similarity keep to: mean and three deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * WORDS
-    return math.floor(n * p + 3 * math.sqrt(n * p * (1 - p)))
-
-
-def sketches(docs, keys, n):
-    """keys of docs, a hash `fp` of the set of shingles of `text`, and the set's sketch: the first WORDS
-    words, fp1 ..., and `pieces`.
-
-    Letters are put in lower case as _sets does.
-    """
-    names = [f"fp{k}" for k in range(1, WORDS + 1)]
-    schema = ", ".join([*(f"{k} bigint" for k in [*keys, "fp", *names]), "pieces array<int>"])
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(len(keys)).cast(pa.binary())
-            hashes = [np.unique(shingle_hashes(t.as_py(), n)) for t in texts]
-            fp = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], np.uint64).view(np.int64)
-            found = np.array([sketch(h) for h in hashes], np.uint64).reshape(len(batch), PLANES)
-            own = [pa.array(fp), *(pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS))]
-            ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * PIECES)
-            pieces = pa.ListArray.from_arrays(ends, pa.array(pieces_of(found).ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own, pieces], [*keys, "fp", *names, "pieces"])
-
-    return base.map_arrow(docs.select(*keys, F.lower(base.text_or_empty()).alias("text")), run, schema)
-
-
 def segments(bits):
     """(lowest bit, width) of the fewest segments of which one has at most one of `bits` differences."""
     n = max(2, bits // 2 + 1)
@@ -158,9 +96,7 @@ def _first_only(x, variant, segs):
 
 
 def _distance(f, g):
-    """Differing bits of fingerprints, one or more words each."""
-    x = np.bitwise_count(f ^ g)
-    return x if x.ndim == 1 else x.sum(axis=1, dtype=np.int64)
+    return np.bitwise_count(f ^ g).astype(np.int64)
 
 
 def forest(f, bits):
@@ -245,44 +181,6 @@ def _links(bits):
     return _by_group(linked)
 
 
-def _near(bound, every):
-    """Of rows (group, id, root, fingerprint...): pairs (u, v) of ids within `bound` bits.
-
-    All pairs of each group with at most as many as members, of others its closest ones that connect
-    it. every: of all groups all pairs whose roots differ.
-    """
-
-    def some(group, ids, f):
-        cuts, sizes = _cut(group)
-        fits, of = sizes <= WIDE, np.repeat(np.arange(len(sizes)), sizes)
-        a, b = [], []
-        for x, y in _shifts(np.flatnonzero(fits[of]), np.repeat(cuts + sizes, sizes)):
-            ok = _distance(f[x], f[y]) <= bound
-            a.append(x[ok])
-            b.append(y[ok])
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (a, b))
-        dense = ~fits | (sizes > FEW) & (np.bincount(of[a], minlength=len(sizes)) > sizes)
-        yield _batch(ids[a[~dense[of[a]]]], ids[b[~dense[of[a]]]])
-        for c, s in zip(cuts[dense], sizes[dense]):
-            a, b = forest(f[c : c + s], bound)
-            yield _batch(ids[c + a], ids[c + b])
-
-    def linked(group, ids, root, *planes):
-        f = np.stack([p.view(np.uint64) for p in planes], axis=1)
-        if not every:
-            yield from some(group, ids, f)
-            return
-        cuts, sizes = _cut(group)
-        for a, b in _shifts(np.arange(len(group)), np.repeat(cuts + sizes, sizes)):
-            apart = root[a] != root[b]
-            a, b = a[apart], b[apart]
-            ok = _distance(f[a], f[b]) <= bound
-            if ok.any():
-                yield _batch(ids[a[ok]], ids[b[ok]])
-
-    return _by_group(linked)
-
-
 def hot_keys(rows, block=BLOCK):
     """(key, blocks) of the keys of rows with over `block` rows, counted before they are dealt."""
     many = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
@@ -311,12 +209,6 @@ def links(fps, bits=BITS, block=BLOCK):
     return base.map_arrow(rows, _links(bits), "u bigint, v bigint")
 
 
-def near_pairs(rows, hot, bound, every=False):
-    """rows (key, id, root, fingerprint...) -> (u < v), distinct: see _near."""
-    pairs = base.map_arrow(dealt(rows, hot, "id"), _near(bound, every), "u bigint, v bigint")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
 def classes(fps, bits=BITS):
     """fps (fp, any number of rows each) -> (fp, root): one row per distinct fingerprint."""
     nodes = fps.select("fp").distinct()
@@ -340,81 +232,6 @@ def components_of(docs, n=SHINGLE, bits=BITS):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _sets(texts, n):
-    """texts (fp, text) -> (id, shingles: hashes of the distinct shingles of n words)."""
-    texts = texts.select("fp", base.once(base.words(F.lower(base.text_or_empty()))).alias("w"))
-    one = lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(n)))
-    many = F.transform(F.sequence(F.lit(0), F.size("w") - n), one)
-    few = F.array(F.xxhash64(F.concat_ws(" ", "w")))
-    every = F.array_distinct(F.when(F.size("w") >= n, many).otherwise(few))
-    return texts.select(F.col("fp").alias("id"), base.once(every).alias("shingles"))
-
-
-def similar(pairs, sets, similarity):
-    """pairs (u, v) whose sets (id, shingles) share `similarity` of their shingles."""
-    a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
-    both = pairs.join(a, "u").join(b, "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    both = both.select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), base.once(shared).alias("k"))
-    return both.filter(F.col("k") >= similarity * (F.col("m") + F.col("n") - F.col("k"))).select("u", "v")
-
-
-def verified(pieces, sets, bound, similarity):
-    """pieces (key, id, fingerprint...) -> (node, root): components of all pairs of a key within
-    `bound` bits whose sets are similar. sets(ids): (id, shingles) of these.
-
-    First the closest pairs that connect each key, which join large groups of copies; then each pair
-    that has not been verified and whose ends are still apart.
-    """
-    bits = [c for c in pieces.columns if c not in ("key", "id")]
-    hot = hot_keys(pieces)
-    tried = near_pairs(pieces.select("key", "id", F.col("id").alias("root"), *bits), hot, bound)
-    tried = base.settled(tried, "pairs")
-    ends = tried.select(F.col("u").alias("id")).union(tried.select("v")).distinct()
-    sets = base.settled(sets(ends), "shingles")  # the second look's ends are among these: a forest leaves none out
-    good = base.settled(similar(tried, sets, similarity), "similar")
-    roots = components.roots(good).withColumnRenamed("node", "id")
-    roots = ends.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-    left = near_pairs(pieces.join(roots, "id").select("key", "id", "root", *bits), hot, bound, every=True)
-    left = left.join(tried, ["u", "v"], "left_anti")
-    more = base.settled(similar(base.settled(left, "left"), sets, similarity), "similar")
-    return components.roots(good.union(more))
-
-
-def keep_one(docs, n=5, similarity=0.8):
-    """docs with one row of each class: the least doc_id (null last), then the least row hash.
-
-    Near copies are texts whose sets of n-word shingles have this similarity (Jaccard). PIECES
-    pieces of a fingerprint of the set find the pairs: at similarity 0.8 with probability 0.99, more
-    above; each pair found is verified by its shingles. Texts of one set are one class. Columns stay as they are. Rows equal in all columns are copies; one stays.
-    """
-    key, row, no_id = (base.free_name(docs, c) for c in ("_key", "_row", "_no_id"))
-    whole = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
-    df = docs.withColumn(no_id, F.col("doc_id").isNull().cast("bigint"))
-    df = df.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint")))
-    df = df.withColumn(row, whole)
-    own = df.select(F.col(no_id).alias("no_id"), F.col(key).alias("key"), F.col(row).alias("row"), "text")
-    mine = ["no_id", "key", "row"]
-    fps = base.settled(sketches(own, mine, n), "fingerprints")
-    more = [*(f"fp{k}" for k in range(1, WORDS + 1)), "pieces"]
-    first = fps.groupBy("fp").agg(F.min(F.struct(*mine, *more)).alias("first"))
-    first = base.settled(first.select("fp", *(F.col(f"first.{c}").alias(c) for c in [*mine, *more])), "first")
-    pieces = first.select(F.explode("pieces").alias("key"), F.col("fp").alias("id"), *more[:-1])
-
-    def sets(ids):
-        rows = first.join(ids.withColumnRenamed("id", "fp"), "fp").select("fp", *mine)
-        return _sets(own.join(rows, mine).dropDuplicates(["fp"]), n)
-
-    found = verified(pieces, sets, near_bits(similarity), similarity)
-    found = found.withColumnRenamed("node", "fp")
-    roots = first.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    stay = roots.groupBy("root").agg(F.min(F.struct(*mine)).alias("first"))
-    names = zip(mine, (no_id, key, row))
-    stay = stay.select(*(F.col(f"first.{c}").alias(own_name) for c, own_name in names))
-    kept = df.join(stay, [no_id, key, row], "left_semi").dropDuplicates([no_id, key, row])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
 @base.register("op2_simhash_variants")
 def op2(spark, sf_dir):
     """Every document's fingerprint and component."""
