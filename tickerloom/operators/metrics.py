@@ -40,6 +40,16 @@ MARK = "\u0001"  # reserved basket name of the benchmark row
 
 _BARS = tuple(range(1, PERSIST_BARS + 1))
 GRID_BLOCKS = 32
+COUNTS = [
+    "count(*) AS members",
+    "count_if(side > 0) AS up",
+    "count_if(side < 0) AS down",
+    "count_if(measured) AS n_measured",
+    "count_if(vol = 1) AS n_unusual",
+    "count_if(vol = -1) AS n_unmeasured",
+    "count_if(side > 0 AND vol = 1) AS n_up_on_vol",
+]
+SUMS = ["prev_d", "cur_d", "live_d", "cum_d", "pre_d"]
 DOLLARS = ["prev_d", "cur_d", "live_d", "cum_d", "pre_d"] + [f"bar{j}_d" for j in _BARS]
 PRICES = ["anchor"] + [f"last{j}" for j in _BARS]
 
@@ -276,34 +286,30 @@ def _top(dollars):
 def basket_frame(inp, shares=True, baseline=False, breadth=False, volume=False):
     """One row per as-of second and basket with every metric of the families asked for."""
     rows = member_frame(inp, breadth or volume, volume)
-    sums = ["prev_d", "cur_d", "live_d", "cum_d", "pre_d"]
-    aggs = ["count(*) AS members", *[f"sum({c}) AS {c}" for c in sums]]
+    aggs = [*COUNTS[:1], *[f"sum({c}) AS {c}" for c in SUMS]]
     edges = [
         "open_sec", "bar_sec", "pre_end", "pre_sec", "live_end", "cum_end",
         "bars_done", "prev_regular", "key_minute",
     ]
     aggs += [f"first({c}) AS {c}" for c in edges]
     if breadth or volume:
-        aggs += [
-            "count_if(side > 0) AS up",
-            "count_if(side < 0) AS down",
-            "count_if(measured) AS n_measured",
-        ]
+        aggs += COUNTS[1:4]
     if volume:
-        aggs += [
-            "count_if(vol = 1) AS n_unusual",
-            "count_if(vol = -1) AS n_unmeasured",
-            "count_if(side > 0 AND vol = 1) AS n_up_on_vol",
-        ]
+        aggs += COUNTS[4:]
     aggs = [F.expr(a) for a in aggs]
     if shares:
         aggs += [_top(c) for c in ("prev_d", "live_d", "pre_d")]
     df = rows.groupBy(*KEYS, "basket").agg(*aggs)
-    at = f"OVER (PARTITION BY {', '.join(KEYS)})"
-    union = [f"max(if(basket = '{UNION}', {c}, NULL)) {at} AS uni_{c}" for c in sums]
-    df = df.selectExpr("*", *union).filter(f"basket NOT IN ('{UNION}', '{MARK}')")
     if baseline:
         df = _with_baselines(df, inp)
+    return finished(df, shares, baseline, breadth, volume)
+
+
+def finished(df, shares, baseline, breadth, volume):
+    """Metrics of rows that hold sums, edges, counts and baselines of baskets and of UNION."""
+    at = f"OVER (PARTITION BY {', '.join(KEYS)})"
+    union = [f"max(if(basket = '{UNION}', {c}, NULL)) {at} AS uni_{c}" for c in SUMS]
+    df = df.selectExpr("*", *union).filter(f"basket NOT IN ('{UNION}', '{MARK}')")
     return _with_metrics(df, shares, baseline, breadth, volume)
 
 

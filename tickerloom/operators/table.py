@@ -1,13 +1,12 @@
 """The basket table as of a second, and the same table along a clock."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickerloom.functions import display
 from tickerloom.functions import session as S
 from tickerloom.operators import metrics as M
-from tickerloom.operators import registry
-from tickerloom.schema import CLOSE_MINUTE, OPEN_MINUTE, PRE_OPEN_MINUTE
+from tickerloom.operators import registry, series
+from tickerloom.schema import CLOSE_MINUTE, OPEN_MINUTE
 
 # The columns of the two views.
 DEV_COLUMNS = (
@@ -40,14 +39,8 @@ def check_configuration(inp):
     return check_profiles(inp) if inp.tickers is not None else inp
 
 
-def basket_table(inp, mode="dev", flags=False, extra=()):
-    """One row per basket and as-of second; `outside` is 1 where the session has no data around it.
-
-    dev: every metric, by name. trader: the since-open set with `row_rank`. `extra` names
-    registered metrics to join in.
-    """
-    check_configuration(inp)
-    df = M.basket_frame(inp, shares=True, baseline=True, breadth=True, volume=True)
+def view(df, mode="dev", flags=False):
+    """The columns of a view of a basket frame, with what the rows are keyed by."""
     columns = DEV_COLUMNS if mode == "dev" else TRADER_COLUMNS
     out = [*M.KEYS, "basket", *columns]
     if mode == "trader":
@@ -59,7 +52,17 @@ def basket_table(inp, mode="dev", flags=False, extra=()):
             "breadth_flag", display.breadth_flag("breadth_up", "breadth_down", "members")
         )
         out += ["cum_share_z_flag", "breadth_flag"]
-    df = df.select(*out)
+    return df.select(*out, *(["outside"] if "outside" in df.columns else []))
+
+
+def basket_table(inp, mode="dev", flags=False, extra=()):
+    """One row per basket and as-of second; `outside` is 1 where the session has no data around it.
+
+    dev: every metric, by name. trader: the since-open set with `row_rank`. `extra` names
+    registered metrics to join in.
+    """
+    check_configuration(inp)
+    df = view(M.basket_frame(inp, shares=True, baseline=True, breadth=True, volume=True), mode, flags)
     span = M.outside_span(inp.buckets if inp.whole is None else inp.whole, inp.asof)
     df = df.join(span, M.KEYS)
     for name in extra:
@@ -76,143 +79,17 @@ def series_clock(dates, step=60, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE
     )
 
 
-def series_windows(step, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
-    """A member_windows replacement for a regular clock, in time linear in the tape.
-
-    Seconds are summed into clock steps and bars once; windows are running sums and lags over
-    those steps, so a bucket is not repeated for every later as-of second.
-    """
-
-    def build(inp):
-        bar = 60 * inp.bar_minutes
-        if bar % step or (OPEN_MINUTE - from_minute) % inp.bar_minutes:
-            raise ValueError("step must divide the bar, and the clock must start on a bar")
-        counted, auctions, extended = M._slices(inp)
-        sec, opened, closed = F.col("second"), F.col("open_sec"), F.col("close_sec")
-        dates = inp.asof.select("session_date").distinct()
-        wall = lambda m: S.bucket_start("session_date", m)
-        days = dates.select(
-            "session_date",
-            wall(OPEN_MINUTE).alias("open_sec"),
-            wall(CLOSE_MINUTE).alias("close_sec"),
-            wall(PRE_OPEN_MINUTE).alias("pre_sec"),
-            wall(from_minute).alias("clock_from"),
-            wall(to_minute).alias("clock_to"),
-        )
-        regular = (sec >= opened) & (sec < closed)
-        early = (sec >= F.col("pre_sec")) & (sec < opened)
-        traded = (F.col("trades") > 0) & regular
-        rows = M.config_rows(inp).join(days, "session_date").filter(sec <= F.col("clock_to"))
-        rows = rows.select(
-            "session_date",
-            "symbol",
-            "second",
-            "clock_from",
-            S.bar_start("second", "open_sec", inp.bar_minutes).alias("bar_sec"),
-            counted.alias("counted"),
-            F.when(regular, auctions).otherwise(0.0).alias("auctions"),
-            F.when(early, extended).otherwise(0.0).alias("extended"),
-            F.when(traded, F.col("last_price")).alias("price"),
-        )
-        tick = F.col("clock_from") + F.ceil((sec - F.col("clock_from")) / step) * step
-        tick = F.greatest(tick, F.col("clock_from"))
-        who = ["session_date", "symbol"]
-        steps = (
-            rows.withColumn("at_sec", tick.cast("bigint"))
-            .groupBy(*who, "bar_sec", "at_sec")
-            .agg(
-                F.sum("counted").alias("counted"),
-                F.sum("auctions").alias("auctions"),
-                F.sum("extended").alias("extended"),
-                F.min_by("price", F.when(F.col("price").isNotNull(), sec)).alias("first_price"),
-                F.max_by("price", F.when(F.col("price").isNotNull(), sec)).alias("last_price"),
-            )
-        )
-        # A step that starts a bar also holds the end of the bar before it: bar totals come
-        # from bar_sec, running totals of the current bar only from steps of the same bar.
-        bars = steps.groupBy(*who, "bar_sec").agg(
-            F.sum("counted").alias("counted"),
-            F.sum("auctions").alias("auctions"),
-            F.min_by("first_price", F.when(F.col("first_price").isNotNull(), F.col("at_sec"))).alias(
-                "first_price"
-            ),
-            F.max_by("last_price", F.when(F.col("last_price").isNotNull(), F.col("at_sec"))).alias(
-                "last_price"
-            ),
-        )
-        sym_days = bars.select(*who).distinct()  # silent symbols are zero in the grid
-        bar_from = F.least("clock_from", "open_sec") - (M.PERSIST_BARS + 1) * bar
-        dense = (
-            sym_days.join(days, "session_date")
-            .select(
-                *who,
-                "open_sec",
-                "close_sec",
-                F.explode(
-                    F.sequence(
-                        bar_from, F.greatest("clock_to", "close_sec"), F.lit(bar).cast("bigint")
-                    )
-                ).alias("bar_sec"),
-            )
-            .join(bars, [*who, "bar_sec"], "left")
-            .fillna(0.0, ["counted", "auctions"])
-        )
-        order = W.partitionBy(*who).orderBy("bar_sec")
-        before = order.rowsBetween(W.unboundedPreceding, -1)
-        lag = lambda c, j: F.lag(c, j).over(order)
-        dense = dense.withColumn(
-            "last_to_here",
-            F.last("last_price", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)),
-        )
-        dense = dense.withColumn("prev_d", lag("counted", 1))
-        dense = dense.withColumn("cum_d", F.coalesce(F.sum("auctions").over(before), F.lit(0.0)))
-        dense = dense.withColumn("anchor", F.first("first_price", ignorenulls=True).over(before))
-        for j in M._BARS:
-            dense = dense.withColumn(f"bar{j}_d", lag("counted", j))
-            dense = dense.withColumn(f"last{j}", lag("last_to_here", j))
-        # After the close the completed windows stay those of the last session bar. A value that
-        # is missing at a bar is missing at every earlier one, so carrying it forward is exact.
-        bar_cols = ["cum_d", "anchor"] + [f"bar{j}_d" for j in M._BARS] + [f"last{j}" for j in M._BARS]
-        through = order.rowsBetween(W.unboundedPreceding, 0)
-        frozen = [
-            F.last(F.when(F.col("bar_sec") <= F.col("close_sec"), F.col(c)), ignorenulls=True)
-            .over(through)
-            .alias(c)
-            for c in bar_cols
-        ]
-        dense = dense.select(*who, "bar_sec", "prev_d", *frozen)
-
-        ticks = sym_days.join(inp.asof, "session_date").join(
-            days.select("session_date", "open_sec"), "session_date"
-        )
-        ticks = ticks.withColumn("bar_sec", S.bar_start("at_sec", "open_sec", inp.bar_minutes))
-        per_tick = steps.groupBy(*who, "at_sec").agg(
-            F.sum("auctions").alias("auctions"),
-            F.sum("extended").alias("extended"),
-            F.max_by("counted", "bar_sec").alias("counted"),
-            F.max("bar_sec").alias("own_bar"),
-        )
-        ticks = ticks.join(per_tick, [*who, "at_sec"], "left").fillna(
-            0.0, ["auctions", "extended", "counted"]
-        )
-        own = F.when(F.col("own_bar") == F.col("bar_sec"), F.col("counted")).otherwise(0.0)
-        ticks = ticks.withColumn("own", own)
-        along = W.partitionBy(*who).orderBy("at_sec").rowsBetween(W.unboundedPreceding, 0)
-        in_bar = W.partitionBy(*who, "bar_sec").orderBy("at_sec").rowsBetween(W.unboundedPreceding, 0)
-        ticks = (
-            ticks.withColumn("live_d", F.sum("auctions").over(along))
-            .withColumn("pre_d", F.sum("extended").over(along))
-            .withColumn("cur_d", F.sum("own").over(in_bar))
-        )
-        out = ticks.join(dense, [*who, "bar_sec"], "left")
-        return out.select(*M.KEYS, "symbol", *M.DOLLARS, *M.PRICES)
+def basket_series(inp, step=60, mode="dev", from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
+    """basket_table at every step of each session of inp.asof (session_date); see `series`."""
+    check_configuration(inp)
+    return view(series.series_frame(inp, step, from_minute, to_minute), mode)
 
-    return build
 
+def basket_changes(inp, step=1, mode="dev", from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE, shaped=None):
+    """The rows of basket_series that differ from the basket's row before: the series without repeats.
 
-def basket_series(inp, step=60, mode="dev", from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
-    """basket_table at every step of each session of inp.asof (session_date)."""
-    dates = inp.asof.select("session_date").distinct()
-    clock = series_clock(dates, step, from_minute, to_minute)
-    windows = series_windows(step, from_minute, to_minute)
-    return basket_table(inp.with_(asof=clock, windows=windows), mode)
+    `shaped` may turn values to the form in which they are compared, such as rounded ones.
+    """
+    df = basket_series(inp, step, mode, from_minute, to_minute)
+    df = df if shaped is None else shaped(df)
+    return series.changes(df, ["basket"], [c for c in df.columns if c not in (*M.KEYS, "basket")])
