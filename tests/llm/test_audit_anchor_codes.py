@@ -73,7 +73,8 @@ def test_audit_equals_brute_force(audited, monkeypatch):
     want = brute_audit(data)
     assert {r[2] for r in want} == {"pair", "term"} and any(r[0] == "fr" and r[4] == 0 for r in want)
     assert rows(divergence.audit(audited(data, clash=True)), *AUDIT) == want
-    monkeypatch.setattr(divergence, "VOCABULARY", 90)  # many vectorizers, tiles and tasks
+    monkeypatch.setattr(divergence, "VOCABULARY", 90)  # many vectorizers, shared ones too, tiles and tasks
+    monkeypatch.setattr(divergence, "OWN", 2)
     monkeypatch.setattr(divergence, "TILE", 2)
     monkeypatch.setattr(divergence, "CELLS", 50)
     assert rows(divergence.audit(audited(data), least=2, top=3), *AUDIT) == brute_audit(data, 2, 3)

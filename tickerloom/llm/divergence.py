@@ -1,13 +1,15 @@
 """Source divergence audit: how the sources of a language differ in their terms.
 
-CountVectorizer makes a sparse count vector of every document over all terms that `minDF` documents
-of its language hold; a term carries its language, so one vectorizer counts each language by
-itself. Terms are dealt to as many vectorizers as keep a vocabulary within VOCABULARY terms. The
-vectors are summed by (language, source), sparse as they are. Shares of a group and of another are
-compared term by term where either has the term; what all other terms add follows from counts.
+CountVectorizer, one for each language, makes a sparse count vector of every document over all
+terms that `minDF` documents of its language hold. A language with more than VOCABULARY terms has
+its terms dealt to several; languages beyond the OWN largest share some, in which a term carries
+its language. The vectors are summed by (language, source), sparse as they are. Shares of a group
+and of another are compared term by term where either has the term; what all other terms add
+follows from counts.
 """
 
 import string
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,66 +23,166 @@ MIN_DOCUMENTS = 3
 ONE = 1_000_000_000
 TOP = 200
 #: Different terms that one vectorizer counts, about; its vocabulary passes through the driver.
-VOCABULARY = 1 << 20
+VOCABULARY = 3 << 19
+#: Languages with vectorizers of their own.
+OWN = 64
 #: Sources compared by one task, and cells of groups, about.
 TILE = 256
 CELLS = 1 << 18
-#: Between a term and its language; no term holds it.
-MARK = "\x00"
-
-
-def documents(docs):
-    """docs -> (lang, source, terms: each term and its language, repeats included); nulls are ''."""
-    lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text"))
-    text = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    found = F.array_remove(F.split(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), "")
-    df = docs.select(lang.alias("lang"), source.alias("source"), base.once(found).alias("terms"))
-    marked = F.transform("terms", lambda t: F.concat(t, F.lit(MARK), "lang"))
-    return df.select("lang", "source", base.once(marked).alias("terms"))
-
-
-def dealt(rows, least):
-    """rows (lang, source, terms) with `terms` dealt to columns t0 ...: (table, number of columns)."""
-    spark = rows.sparkSession
-    every = rows.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
-    n = max(1, -(-every // VOCABULARY))
-    of = lambda k: F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(n)) == k)
-    out = rows.select("lang", "source", *((of(k) if n > 1 else F.col("terms")).alias(f"t{k}") for k in range(n)))
-    # As many rows as a term needs keep every vocabulary from being empty.
-    spare = spark.range(least).select(*(F.array(F.lit(MARK)).alias(f"t{k}") for k in range(n)))
-    return base.settled(out, "terms"), spare, n
-
-
-def vectors(rows, spare, k, least):
-    """(vocabulary (block, index, lang, term), rows (lang, source, index, value)) of column t<k>."""
-    spark, name = rows.sparkSession, f"t{k}"
-    counter = CountVectorizer(inputCol=name, outputCol="vector", minDF=float(least), vocabSize=(1 << 31) - 1)
-    model = counter.fit(rows.select(name).union(spare.select(name)))
-    path = base.new_path(spark, "vectorizer")
-    model.save(path)
-    words = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "t"))
-    term = F.substring_index("t", MARK, 1)
-    lang = F.expr(f"substring(t, length({_sql(MARK)}) + 1 + length(substring_index(t, {_sql(MARK)}, 1)))")
-    words = words.select(F.lit(k).alias("block"), "index", lang.alias("lang"), term.alias("term")).filter("term <> ''")
-    sparse = model.transform(rows.select("lang", "source", name)).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-    pairs = F.explode(F.arrays_zip("v.indices", "v.values")).alias("p")
-    return words, sparse.select("lang", "source", pairs).selectExpr("lang", "source", "p.indices AS index", "p.values AS value")
+#: Between a term and its language where languages share a vectorizer; no term holds it.
+MARK = b"\x00"
+
+_LETTERS = bytes(string.ascii_letters, "ascii") + bytes(range(128, 256))
+_TABLE = bytes(c if c in _LETTERS else 32 for c in range(256)).lower()
+
+
+def terms_of(text):
+    """The terms of a UTF-8 text in order: runs of letters, A-Z in lower case."""
+    return text.translate(_TABLE).split()
+
+
+def _plain(docs):
+    names = ("lang", "source", "text")
+    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names))
 
 
-def _sql(text):
-    return f"decode(unhex('{text.encode().hex()}'), 'utf-8')"
+def _lists(found):
+    ends = np.append(0, np.cumsum([len(x) for x in found], dtype=np.int64)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([t for x in found for t in x], pa.binary()).cast(pa.string()))
+
+
+def thinned(docs, least):
+    """docs -> (lang, terms): each document's different terms, but those that `least` documents of
+    its language before it in the same batch hold. As many documents have a term as before, or
+    at least `least`.
+    """
+
+    def run(batches):
+        for batch in batches:
+            seen, out = {}, []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary())):
+                held = seen.setdefault(lang, Counter())
+                new = [t for t in set(terms_of(text.as_py())) if held[t] < least]
+                held.update(new)
+                out.append(new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out)], ["lang", "terms"])
+
+    return base.settled(base.map_arrow(_plain(docs), run, "lang string, terms array<string>"), "thinned")
+
+
+def places(thin):
+    """({language: (first column, columns)}, columns of the other languages, all columns)."""
+    terms = thin.select("lang", F.explode("terms").alias("t"))
+    n = terms.groupBy("lang").agg(F.approx_count_distinct("t", 0.02).alias("n"))
+    n = base.settled(n, "sizes")
+    found, at = {}, 0
+    for r in n.orderBy(F.desc("n"), "lang").limit(OWN).collect():
+        k = -(-r.n // VOCABULARY)
+        found[r.lang] = (at, k)
+        at += k
+    rest = n.filter(~F.col("lang").isin(list(found))).agg(F.sum("n")).first()[0] or 0
+    others = -(-rest // VOCABULARY)
+    return found, (at, others), at + others
+
+
+def _column(place, k, term):
+    """Whether a term is counted by column k of these."""
+    first, n = place
+    return F.lit(True) if n == 1 else F.pmod(F.crc32(term), F.lit(n)) == k - first
+
+
+def dealt(docs, own, others, n):
+    """docs -> (lang, source, t0 ...): every document's terms in the columns that count them."""
+    names = [f"t{k}" for k in range(n)]
+
+    def run(batches):
+        import zlib
+
+        for batch in batches:
+            columns = [[()] * len(batch) for _ in range(n)]
+            for row, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()))):
+                found, (first, k) = terms_of(text.as_py()), own.get(lang, others)
+                if lang not in own:
+                    end = MARK + lang.encode()
+                    found = [t + end for t in found]
+                if k == 1:
+                    columns[first][row] = found
+                    continue
+                parts = [[] for _ in range(k)]
+                for t in found:
+                    parts[zlib.crc32(t) % k].append(t)
+                for j, part in enumerate(parts):
+                    columns[first + j][row] = part
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(_lists, columns)], ["lang", "source", *names])
+
+    schema = ", ".join(["lang string, source string", *(f"{c} array<string>" for c in names)])
+    return base.settled(base.map_arrow(_plain(docs), run, schema), "terms")
+
+
+def fitted(thin, place, k, lang, least):
+    """(model, vocabulary (block, index, lang, term)) of column k, over one language or, for None, over
+    the rows given with their terms marked.
+    """
+    spark = thin.sparkSession
+    rows = thin if lang is None else thin.filter(F.col("lang") == lang)
+    mine = F.filter("terms", lambda t: _column(place, k, t)) if place[1] > 1 else F.col("terms")
+    # As many rows as a term needs keep a vocabulary from being empty.
+    spare = spark.range(least).select(F.array(F.lit("")).alias("terms"))
+    counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least), vocabSize=(1 << 31) - 1)
+    model = counter.fit(rows.select(mine.alias("terms")).union(spare))
+    path = base.new_path(spark, "vectorizer")
+    model.save(path)
+    words = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "t")).filter("t <> ''")
+    own = F.lit(lang) if lang is not None else F.expr("substring(t, length(term) + 2)")
+    words = words.withColumn("term", F.substring_index("t", MARK.decode(), 1) if lang is None else F.col("t"))
+    return model, words.select(F.lit(k).alias("block"), "index", own.alias("lang"), "term")
+
+
+def summed(model, rows, k):
+    """rows (lang, source, t<k>) -> (lang, source, block, index, n): sums of the documents' vectors."""
+    name = f"t{k}"
+    vectors = model.setInputCol(name).transform(rows.select("lang", "source", name).filter(F.size(name) > 0))
+    vectors = vectors.select("lang", "source", F.unwrap_udt("vector").alias("v")).select("lang", "source", "v.indices", "v.values")
+    schema = "lang string, source string, index int, n bigint"
+
+    def run(batches):
+        for batch in batches:
+            pair = [batch.column(c).dictionary_encode() for c in range(2)]
+            names = [p.dictionary for p in pair]
+            code = pair[0].indices.to_numpy().astype(np.int64) * len(names[1]) + pair[1].indices.to_numpy()
+            lens = np.diff(batch.column(2).offsets.to_numpy())
+            key = np.repeat(code, lens) << 32 | batch.column(2).flatten().to_numpy()
+            found, place = np.unique(key, return_inverse=True)
+            n = np.bincount(place, weights=batch.column(3).flatten().to_numpy(), minlength=len(found))
+            code = found >> 32
+            cols = [names[0].take(pa.array(code // max(1, len(names[1])))), names[1].take(pa.array(code % max(1, len(names[1]))))]
+            cols += [pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "index", "n"])
+
+    sums = base.map_arrow(vectors, run, schema).groupBy("lang", "source", "index").agg(F.sum("n").alias("n"))
+    return sums.select("lang", "source", F.lit(k).alias("block"), "index", "n")
 
 
 def counted(docs, least=MIN_DOCUMENTS):
     """(vocabulary (block, index, lang, term), cells (lang, source, block, index, n), groups (lang, source))."""
-    rows, spare, n = dealt(documents(docs), least)
+    thin = thinned(docs, least)
+    own, others, n = places(thin)
+    rows = dealt(docs, own, others, n)
+    marked = thin.filter(~F.col("lang").isin(list(own)))
+    marked = marked.select(F.transform("terms", lambda t: F.concat(t, F.lit(MARK.decode()), "lang")).alias("terms"))
+    jobs = [(lang, place, place[0] + j) for lang, place in own.items() for j in range(place[1])]
+    jobs += [(None, others, others[0] + j) for j in range(others[1])]
     words = cells = None
-    for k in range(n):
-        own, found = vectors(rows, spare, k, least)
-        found = found.groupBy("lang", "source", "index").agg(F.sum(F.col("value").cast("bigint")).alias("n"))
-        found = found.select("lang", "source", F.lit(k).alias("block"), "index", "n")
-        words, cells = (own, found) if words is None else (words.union(own), cells.union(found))
-    return base.settled(words, "vocabulary"), base.settled(cells, "cells"), rows.select("lang", "source").distinct()
+    for lang, place, k in jobs:
+        model, own_words = fitted(marked if lang is None else thin, place, k, lang, least)
+        found = summed(model, rows, k)
+        words, cells = (own_words, found) if words is None else (words.union(own_words), cells.union(found))
+    groups = rows.select("lang", "source").distinct()
+    if words is None:
+        spark = docs.sparkSession
+        words = spark.createDataFrame([], "block int, index int, lang string, term string")
+        cells = spark.createDataFrame([], "lang string, source string, block int, index int, n bigint")
+    return base.settled(words, "vocabulary"), base.settled(cells, "cells"), groups
 
 
 def share(count, total, terms):
