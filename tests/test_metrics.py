@@ -268,6 +268,32 @@ def test_series_equals_single_renders(spark, step):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_changes_hold_the_whole_series(spark):
+    import random
+
+    rnd, t = random.Random(8), Tape()
+    for _ in range(60):
+        t.trade(rnd.choice(["A", "B", "SPY"]), at("09:30:00") + rnd.randrange(600), 10, rnd.randrange(1, 9))
+    kw = dict(tickers=ticker_profile(spark, dict(A=500, B=9)), baskets=basket_profile(spark, ["x", "y"]), floors=floors(spark))
+    inp = inputs(spark, t, at("10:00:00"), dict(x=["A", "B"], y=["B"]), **kw)
+    series = {(r.at_sec, r.basket): r for r in table.basket_series(inp, 1, "trader", 569, 585).collect()}
+    changed = {(r.at_sec, r.basket): r for r in table.basket_changes(inp, 1, "trader", 569, 585).collect()}
+    assert len(changed) < len(series) // 3
+    now = {}
+    for key in sorted(series):
+        now[key[1]] = changed.get(key, now.get(key[1]))
+        assert now[key[1]][2:] == series[key][2:], key
+
+
+def test_series_repeats_no_member_for_a_second(spark, tape):
+    tape.trade("A", at("10:00:00"), 5, 1).trade("SPY", at("10:00:00"), 5, 1)
+    kw = dict(tickers=ticker_profile(spark, dict(A=1)), baskets=basket_profile(spark, ["a"]), floors=floors(spark))
+    inp = inputs(spark, tape, at("10:01:00"), dict(a=["A"]), **kw)
+    text = table.basket_series(inp, 1)._jdf.queryExecution().optimizedPlan().toString()
+    seconds = [line for line in text.split("\n") if "Generate explode(sequence(" in line and ", 1, " in line]
+    assert len(seconds) == 1  # the baskets' clock; members meet bars only
+
+
 def test_shares_stay_within_one(spark, tape):
     for i in range(50):
         tape.trade("AB"[i % 2], at("10:00:00") + i, 10 + i, 1 + i % 3)

@@ -7,7 +7,7 @@ from tickerloom.operators import metrics as M
 from tickerloom.operators import registry, table
 from tickerloom.plans import sqltext as Q
 from tickerloom.plans import stored
-from tickerloom.plans.base import register, select, shape
+from tickerloom.plans.base import cols, pick, register, select, shape
 
 # As-of wall times: before the open, first session minute, mid-session, after the close.
 TIMES = ("08:45:30", "09:30:20", "09:33:00", "13:01:07", "15:59:59", "16:20:00")
@@ -187,6 +187,64 @@ def basket_series(spark, sf):
     return shape(df, TRADER)
 
 
+# The table at every second: what bars decide comes from full_table at the bar's start, the rest
+# from running sums over a row per second and member.
+SECOND_CTES = [
+    *SERIES_CTES,
+    f"""edge AS (
+  SELECT session_date, {Q.wall("session_date", 570)} AS open_s, {Q.wall("session_date", 960)} AS close_s,
+         {Q.wall("session_date", 240)} AS pre_s FROM days_all)""",
+    "secs AS (SELECT *, pre_s + CAST(range AS BIGINT) AS at_sec FROM edge CROSS JOIN range(0, 44101))",
+    """put AS (
+  SELECT session_date, symbol, second AS at_sec,
+         CASE WHEN second >= open_s AND second < close_s THEN a_dollars ELSE 0 END AS a,
+         CASE WHEN second >= pre_s AND second < open_s THEN x_dollars ELSE 0 END AS x
+  FROM bs JOIN edge USING (session_date))""",
+    """run AS (
+  SELECT session_date, at_sec, symbol, sum(coalesce(a, 0)) OVER w AS live, sum(coalesce(x, 0)) OVER w AS pre
+  FROM secs CROSS JOIN (SELECT DISTINCT symbol FROM mem) LEFT JOIN put USING (session_date, at_sec, symbol)
+  WINDOW w AS (PARTITION BY session_date, symbol ORDER BY at_sec ROWS UNBOUNDED PRECEDING))""",
+    "all_run AS (SELECT session_date, at_sec, sum(live) AS u_live, sum(pre) AS u_pre FROM run GROUP BY ALL)",
+    """bask AS (
+  SELECT session_date, at_sec, basket, sum(live) AS live, sum(pre) AS pre,
+         min(struct_pack(d := -live, s := symbol)) AS live_top, min(struct_pack(d := -pre, s := symbol)) AS pre_top
+  FROM run JOIN mem USING (symbol) GROUP BY ALL)""",
+    """every AS (
+  SELECT secs.session_date, secs.at_sec, bask.basket, ft.cum_share_typ, ft.cum_share_z, ft.relative_vol,
+         ft.breadth_up, ft.member_count, ft.up_on_vol, ft.concentration_symbol, ft.concentration,
+         CASE WHEN secs.at_sec >= open_s THEN live / nullif(u_live, 0) END AS cum_share,
+         CASE WHEN secs.at_sec >= open_s AND live > 0 THEN live_top.s END AS concentration_day_symbol,
+         CASE WHEN secs.at_sec >= open_s THEN -live_top.d / nullif(live, 0) END AS concentration_day,
+         pre AS pre_vol, pre / nullif(u_pre, 0) AS pre_share,
+         CASE WHEN pre > 0 THEN pre_top.s END AS pre_conc_symbol,
+         -pre_top.d / nullif(pre, 0) AS pre_conc,
+         CASE WHEN secs.at_sec < open_s + 60 THEN pre / nullif(u_pre, 0) ELSE ft.cum_share_z END AS rank_key,
+         CASE WHEN lo IS NULL OR secs.at_sec < lo OR secs.at_sec > hi THEN 1 ELSE 0 END AS outside
+  FROM secs JOIN bask USING (session_date, at_sec) JOIN all_run USING (session_date, at_sec)
+  JOIN full_table ft ON ft.session_date = secs.session_date AND ft.basket = bask.basket
+    AND ft.at_sec = secs.at_sec - secs.at_sec % 60
+  LEFT JOIN (SELECT session_date, min(second) AS lo, max(second) AS hi FROM b GROUP BY session_date) sp
+    ON sp.session_date = secs.session_date)""",
+    f"""shown AS (
+  SELECT {pick(TRADER)} FROM (
+    SELECT *, row_number() OVER (PARTITION BY session_date, at_sec ORDER BY rank_key DESC NULLS LAST, basket) AS row_rank
+    FROM every))""",
+]
+_SHOWN = ", ".join(name for _, name in cols(TRADER)[3:])
+SECOND_SQL = f"""WITH {", ".join(SECOND_CTES)}
+SELECT * EXCLUDE (before, nth) FROM (
+  SELECT *, lag(row({_SHOWN})) OVER w AS before, row_number() OVER w AS nth FROM shown
+  WINDOW w AS (PARTITION BY session_date, basket ORDER BY at_sec))
+WHERE nth = 1 OR row({_SHOWN}) IS DISTINCT FROM before"""
+
+
+@register("basket_series_every_second", SECOND_SQL)
+def basket_series_every_second(spark, sf):
+    """The trader table at every second 04:00-16:15 of every session: the rows that differ from the one before."""
+    inp = stored.inputs(spark, sf, stored.session_dates(spark, sf, "line"))
+    return table.basket_changes(inp, 1, "trader", 240, 975, shaped=lambda df: shape(df, TRADER))
+
+
 OUT = "d:session_date i:at_sec i:outside"
 
 
