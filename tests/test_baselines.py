@@ -107,9 +107,9 @@ def test_basket_profile_round_trip_and_stale_members(spark, shares, tmp_path):
 
 
 def test_floors(spark):
-    rows = [(f"T{i}", m, 5, 1.0, float(s), 1.0, float(10 * s)) for i, s in enumerate((0, 40, 80, 120, 160)) for m in (570, 571)]
+    rows = [(f"T{i}", m, 5, 1.0, float(s), 1.0, float(10 * s)) for i, s in enumerate((0, 40, 80, 120, 160)) for m in (570, 765)]
     tick = spark.createDataFrame(rows, "symbol string, minute_of_day int, days int, median_shares double, sigma_shares double, median_dollars double, sigma_dollars double")
-    r = BL.volume_floors(tick, 0.25).filter("minute_of_day = 570").first()
+    r = BL.volume_floors(tick, 0.25, 195).filter("minute_of_day = 570").first()
     assert (r["sigma_floor_shares"], r["sigma_floor_dollars"]) == (20, 200)
     rows = [("a", 570, 3, 0.5, 0.2, 3, 0.5, 0.1), ("b", 570, 0, 0.0, 9.0, 1, 0.5, 0.3), ("a", 571, 0, 0.0, 0.0, 0, 0.0, 0.0)]
     bask = spark.createDataFrame(rows, "basket string, minute_of_day int, days int, median_share double, sigma_share double, cum_days int, median_cum_share double, sigma_cum_share double")
@@ -120,6 +120,23 @@ def test_floors(spark):
             BL.volume_floors(tick, bad)
 
 
+def test_empty_and_short_profiles_give_no_floors(spark, tmp_path):
+    schema = "symbol string, minute_of_day int, days int, median_shares double, sigma_shares double, median_dollars double, sigma_dollars double"
+    full = [(s, m, 5, 1.0, 1.0, 1.0, 1.0) for s in "AB" for m in (570, 765)]
+    assert BL.volume_floors(spark.createDataFrame(full, schema), bar_minutes=195).count() == 2
+    for rows in ([], full[:-1], full[::2]):
+        with pytest.raises(Exception, match="without bar"):
+            BL.volume_floors(spark.createDataFrame(rows, schema), bar_minutes=195).collect()
+    none = spark.createDataFrame([], schema)
+    store.write_table(none, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="no rows"):
+        store.read_ticker_profile(spark, str(tmp_path / "t"))
+    floors = spark.createDataFrame([], "minute_of_day int, sigma_floor_shares double, sigma_floor_dollars double, sigma_floor_flowshare double, sigma_floor_cumshare double")
+    store.write_floors(floors, str(tmp_path / "f"), 0.25, "none")
+    with pytest.raises(ValueError, match="no rows"):
+        store.read_floors(spark, str(tmp_path / "f"))
+
+
 def test_incomplete_tables_are_refused(spark, nvda, tmp_path):
     p = BL.ticker_profile(nvda, symbols(spark, "NVDA"), dates(DAYS))
     path = str(tmp_path / "p")

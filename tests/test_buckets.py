@@ -49,7 +49,7 @@ def test_order_of_rows_does_not_matter_and_wide_arrival_agrees(spark):
     rnd.shuffle(t.rows)
     again = t.frame(spark)
     assert B.bucketize(again).orderBy("second", "symbol").collect() == base
-    wide = again.withColumn("arrival", F.col("arrival").cast("decimal(27,0)"))
+    wide = again.withColumn("arrival", F.col("arrival").cast("decimal(28,0)"))
     assert B.bucketize(wide).orderBy("second", "symbol").collect() == base
 
 

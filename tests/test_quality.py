@@ -2,8 +2,10 @@ import random
 
 import pytest
 from conftest import Tape, et
+from pyspark.sql import functions as F
 
 from tickerloom.operators import quality as QL
+from tickerloom.sources import capture
 
 DAY_NS = 86_400 * 10**9
 
@@ -69,6 +71,36 @@ def test_clock_takes_chains_of_jumps_from_zero(spark):
         assert dict(QL.session_clock(df.repartition(3), block).collect()) == clock
 
 
+def test_clock_equals_the_rule_message_by_message(spark):
+    import random
+
+    day, r = 24 * 3600, random.Random(3)
+    rows, want = [], {}
+    for name, n, spread in (("calm", 3000, day // 3), ("wild", 3000, 9 * day), ("chain", 1001, 0), ("back", 1001, 0)):
+        clock = 0
+        for k in range(n):
+            ns = 10**6 + (r.randrange(spread) if spread else (k if name == "chain" else n - k) * (day - 1))
+            rows.append((name, k, ns * 10**9))
+            if ns > clock and (clock == 0 or ns - clock <= day):
+                clock = ns
+        want[name] = clock * 10**9
+    df = spark.createDataFrame(rows, "session_date string, arrival bigint, sip_ns bigint")
+    wide = df.withColumn("arrival", (F.col("arrival") + 10**18).cast("decimal(28,0)"))
+    for one, chunk in ((df, 1), (df, 700), (wide, 65536)):
+        assert dict(QL.session_clock(one.repartition(5), chunk).collect()) == want
+    assert QL.session_clock(df.limit(0)).count() == 0
+
+
+def test_clock_takes_captured_trades(spark, tmp_path):
+    event = '{"ev":"T","sym":"A","p":1,"s":1,"t":%d,"q":1}'
+    lines = [f"{10**18 + k} [{event % (1786790411377 + k)},{event % (1786790411377 + 3 * k)}]" for k in range(50)]
+    (tmp_path / "c.jsonl").write_text("\n".join(lines))
+    records = capture.read_capture(spark, str(tmp_path / "c.jsonl"))
+    trades = capture.capture_trades(capture.decode_events(capture.explode_frames(records)))
+    clock = QL.session_clock(trades.withColumn("session_date", F.lit("d"))).first()["clock_ns"]
+    assert clock == (1786790411377 + 3 * 49) * 10**6
+
+
 def test_reconcile(spark):
     schema = "symbol string, kind string, sip_ns bigint"
     cap = spark.createDataFrame([("A", "trade", 10), ("A", "trade", 20), ("B", "quote", 10)], schema)

@@ -75,7 +75,7 @@ def test_frame(spark, tmp_path):
     assert (s["trades"], s["quotes"], s["status"], s["unknown"], s["decode_errs"]) == (1, 1, 1, 0, 0)
     t = capture.capture_trades(d).first()
     assert (t["sip_ns"], t["part_ns"], t["size"]) == (1786790411377 * 10**6, 1786790411305 * 10**6, 3.25)
-    assert (t["conditions"], t["seq"], int(t["arrival"])) == ([14, 37], 7, 17 * 10**6 + 1)
+    assert (t["conditions"], t["seq"], int(t["arrival"])) == ([14, 37], 7, 17 * 10**9 + 1)
     q = capture.capture_quotes(d).first()
     assert (q["bid_price"], q["bid_size"], q["ask_price"], q["ask_size"]) == (41.06, 100, 41.09, 500)
     assert q["conditions"] == [1]

@@ -221,12 +221,26 @@ def check_fraction(frac):
     return frac
 
 
-def volume_floors(profile, frac=FLOOR_FRACTION):
-    """frac x the median over symbols of each volume sigma, per bar."""
+def volume_floors(profile, frac=FLOOR_FRACTION, bar_minutes=1):
+    """frac x the median over symbols of each volume sigma, per bar.
+
+    An empty profile, or a symbol without one of the session's bars, fails the job.
+    """
     check_fraction(frac)
-    return profile.groupBy("minute_of_day").agg(
+    found = profile.groupBy("minute_of_day").agg(
         (F.median("sigma_shares") * frac).alias("sigma_floor_shares"),
         (F.median("sigma_dollars") * frac).alias("sigma_floor_dollars"),
+        F.count("*").alias("symbols"),
+    )
+    bars = with_bars(profile.sparkSession.range(1), bar_minutes).select("minute_of_day")
+    every = W.partitionBy(F.lit(1))  # the bars of one session
+    full = bars.join(found, "minute_of_day", "left").withColumn("most", F.max("symbols").over(every))
+    text = F.concat(F.lit("ticker baselines without bar "), F.col("minute_of_day").cast("string"))
+    short = F.when(F.coalesce(F.col("symbols") < F.col("most"), F.lit(True)), F.raise_error(text).cast("double"))
+    return full.select(
+        "minute_of_day",
+        F.coalesce(short, F.col("sigma_floor_shares")).alias("sigma_floor_shares"),
+        F.coalesce(short, F.col("sigma_floor_dollars")).alias("sigma_floor_dollars"),
     )
 
 
@@ -242,6 +256,6 @@ def share_floors(profile, frac=FLOOR_FRACTION):
     )
 
 
-def floors(tickers, baskets, frac=FLOOR_FRACTION):
+def floors(tickers, baskets, frac=FLOOR_FRACTION, bar_minutes=1):
     """All four floor families per bar."""
-    return volume_floors(tickers, frac).join(share_floors(baskets, frac), "minute_of_day", "full")
+    return volume_floors(tickers, frac, bar_minutes).join(share_floors(baskets, frac), "minute_of_day", "full")

@@ -12,13 +12,13 @@ from tickerloom.schema import BUCKETS, CLASSES, CLOSE_MINUTE, OPEN_MINUTE, ZONE,
 
 
 def tape_order():
-    """Sort key inside one second: SIP nanosecond, then arrival (any BIGINT or DECIMAL(27,0)).
+    """Sort key inside one second: SIP nanosecond, then arrival (any BIGINT or DECIMAL(28,0)).
 
     Both fit one DECIMAL(38,0), which aggregate buffers hold in place: the bucket aggregate stays
-    a hash aggregate. An arrival is less than 10^27 either way, a nanosecond step is 10^28.
+    a hash aggregate. An arrival is less than 10^28 either way, a nanosecond step is 10^29.
     """
-    step = "cast('1" + "0" * 28 + "' as decimal(29,0))"
-    return f"cast(pmod(sip_ns, 1000000000) as decimal(9,0)) * {step} + cast(arrival as decimal(27,0))"
+    step = "cast('1" + "0" * 29 + "' as decimal(30,0))"
+    return f"cast(pmod(sip_ns, 1000000000) as decimal(9,0)) * {step} + cast(arrival as decimal(28,0))"
 
 
 def _flags(tape, *more):

@@ -1,13 +1,17 @@
 """Data-quality and load reports."""
 
+import bisect
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickerloom.functions import session as S
 from tickerloom.functions import slices
 from tickerloom.functions.stats import ratio
+from tickerloom.operators.grid import each
 from tickerloom.schema import OPEN_MINUTE
-from tickerloom.sources import store
 
 # The hours of the load report, in minutes of the New York day.
 LOAD_FROM_MINUTE, LOAD_TO_MINUTE = 240, 1200
@@ -82,9 +86,7 @@ def rvol_check(buckets, profile, minute, bar_minutes=1, counted=None):
         .agg(F.sum(shares).alias("shares"))
     )
     base = profile.filter(F.col("minute_of_day") == minute).select("symbol", "median_shares")
-    dates = F.array_sort(F.collect_set("session_date"))
-    grid = base.select("*", F.explode(span.agg(dates).scalar()).alias("session_date"))
-    rvol = grid.join(volume, ["session_date", "symbol"], "left").select(
+    rvol = each(span, base, "symbol").join(volume, ["session_date", "symbol"], "left").select(
         "session_date", ratio(F.coalesce("shares", F.lit(0.0)), "median_shares").alias("rvol")
     )
     q = floor_index_quantiles(rvol, "rvol", RVOL_PROBS, ["session_date"])
@@ -287,49 +289,84 @@ def compare_summary(compared):
     )
 
 
-def _clock_before(marks, good, block):
-    """marks (session_date, arrival, sip_ns) with the highest `good` time received before each."""
-    at = (F.col("arrival") / block).cast("bigint").alias("block")
-    good = good.select("session_date", "arrival", F.col("sip_ns").alias("good_ns"), at)
-    earlier = W.partitionBy("session_date").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    tops = good.groupBy("session_date", "block").agg(F.max("good_ns").alias("top"))
-    # A block without a message that counts has no row of its own: take the last one before it.
-    asked = marks.select("session_date", at).distinct().join(tops, ["session_date", "block"], "left")
-    every = asked.unionByName(tops).groupBy("session_date", "block").agg(F.max("top").alias("top"))
-    before = every.select("session_date", "block", F.max("top").over(earlier).alias("before_ns"))
-    own = good.select("session_date", "block", "good_ns", F.col("arrival").alias("good_at"))
-    marks = marks.select("session_date", "arrival", "sip_ns", at).join(before, ["session_date", "block"])
-    same = (marks["session_date"] == own["session_date"]) & (marks["block"] == own["block"])
-    inside = marks.join(own, same & (F.col("good_at") < marks["arrival"]), "left")
-    keys = [marks[c] for c in ("session_date", "arrival", "sip_ns", "before_ns")]
-    out = inside.groupBy(*keys).agg(F.max("good_ns").alias("inside_ns"))
-    return out.select("session_date", "arrival", "sip_ns", F.greatest("before_ns", "inside_ns").alias("clock_ns"))
-
-
-def session_clock(tape, block=4096):
+def _clock_pieces(day_ns):
+    """sip_ns of messages in order -> [(low, high, value)]: where a clock ends up that starts in [low, high).
+
+    Elsewhere it stays. A message moves a clock at most a day forward, so what a row of messages
+    does is a step function; functions of rows that follow each other compose.
+    """
+
+    def near(times):
+        # All within a day of each other: the first one that is taken brings every later one.
+        least = np.minimum.accumulate(times)
+        at = np.flatnonzero(np.append(True, times[1:] < least[:-1]))
+        values = np.maximum.accumulate(times[::-1])[::-1][at]
+        lows = times[at] - day_ns
+        return list(zip(lows.tolist(), [int(values[0]), *lows[:-1].tolist()], values.tolist()))
+
+    def far(times):
+        lows, highs, values = [], [], []
+        for s in reversed(times.tolist()):  # what the messages after s do is known: put s before them
+            k = bisect.bisect_right(lows, s) - 1
+            value = values[k] if k >= 0 and s < highs[k] else s
+            low = s - day_ns
+            a = bisect.bisect_right(highs, low)
+            b = bisect.bisect_left(lows, s)
+            new = [(low, s, value)]
+            if a < b:
+                if lows[a] < low:
+                    new.insert(0, (lows[a], low, values[a]))
+                if highs[b - 1] > s:
+                    new.append((s, highs[b - 1], values[b - 1]))
+            lows[a:b], highs[a:b], values[a:b] = zip(*new)
+        return list(zip(lows, highs, values))
+
+    return lambda times: near(times) if times.max() - times.min() <= day_ns else far(times)
+
+
+def session_clock(tape, chunk=65_536):
     """Latest believable SIP time of each session.
 
-    Messages are received in `arrival` order. A clock that stands at zero takes any time; after
-    that a message moves it forward by 24 hours at most, else it is corrupt and ignored. What lies
-    within 24 hours of the first time counts; messages beyond are held against the clock at their
-    arrival, again and again until no more of them count, which takes a round per jump of a chain.
+    Messages are received in `arrival` order (any number). A clock that stands at zero takes any
+    time; after that a message moves it forward by 24 hours at most, else it is corrupt and ignored.
+    Rows of messages are summed up as step functions where they lie, spread by arrival, so a session
+    is never sorted in one task; a session's functions are then applied one after the other. That
+    is the same number of stages for any chain of jumps.
     """
-    store.shared_dir(tape.sparkSession)  # rounds are checkpointed there
-    day_ns = 24 * 3600 * 1_000_000_000
-    rows = tape.select("session_date", F.col("arrival").cast("bigint").alias("arrival"), "sip_ns").filter("sip_ns > 0")
-    first = rows.groupBy("session_date").agg(F.min_by("sip_ns", "arrival").alias("first_ns"))
-    rows = rows.join(first, "session_date")
-    far = F.col("sip_ns") - F.col("first_ns") > day_ns
-    good = rows.filter(~far).select("session_date", "arrival", "sip_ns")
-    marks = rows.filter(far).select("session_date", "arrival", "sip_ns")
-    while True:
-        judged = _clock_before(marks, good, block)
-        late = judged.filter(F.col("sip_ns") - F.col("clock_ns") <= day_ns).drop("clock_ns").checkpoint()
-        if late.isEmpty():
-            break
-        good = good.unionByName(late)
-        marks = marks.join(late, ["session_date", "arrival", "sip_ns"], "left_anti")
-    return good.groupBy("session_date").agg(F.max("sip_ns").alias("clock_ns"))
+    pieces = _clock_pieces(24 * 3600 * 1_000_000_000)
+    rows = tape.select("session_date", "arrival", "sip_ns").filter("sip_ns > 0")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    n = int(tape.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, "session_date", "arrival").sortWithinPartitions("session_date", "arrival")
+    names = ["session_date", "arrival", "run", "first_ns", "low", "high", "value"]
+
+    def steps(batches):
+        run = 0
+        for batch in batches:
+            days, times = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(2).to_numpy()
+            cuts = np.flatnonzero(np.append(True, days[1:] != days[:-1])).tolist() if len(days) else []
+            cuts = sorted({c for a, b in zip(cuts, [*cuts[1:], len(days)]) for c in range(a, b, chunk)})
+            for a, b in zip(cuts, [*cuts[1:], len(days)]):
+                low, high, value = zip(*pieces(times[a:b]))
+                run += 1
+                head = [batch.column(0).take(pa.array([a] * len(low))), batch.column(1).take(pa.array([a] * len(low)))]
+                more = [pa.array(x, pa.int64()) for x in ([run] * len(low), [int(times[a])] * len(low), low, high, value)]
+                yield pa.RecordBatch.from_arrays([*head, *more], names)
+
+    schema = f"session_date {kind['session_date']}, arrival {kind['arrival']}, run bigint, first_ns bigint"
+    found = rows.mapInArrow(steps, f"{schema}, low bigint, high bigint, value bigint")
+
+    def run(table):
+        _, arrival, run, first, low, high, value = (c.to_pylist() for c in table.columns)
+        at = list(zip(arrival, run))
+        order = sorted(range(len(at)), key=at.__getitem__)
+        clock, moved = first[order[0]], None
+        for k in order:
+            if at[k] != moved and low[k] <= clock < high[k]:
+                clock, moved = value[k], at[k]  # one piece of a function at most
+        return pa.Table.from_arrays([table.column(0)[:1], pa.array([clock], pa.int64())], ["session_date", "clock_ns"])
+
+    return found.groupBy("session_date").applyInArrow(run, f"session_date {kind['session_date']}, clock_ns bigint")
 
 
 def tape_stats(tape):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import session as S
 from tickerloom.operators import metrics as M
-from tickerloom.operators.baselines import UNION
+from tickerloom.operators.grid import each
 from tickerloom.schema import CLOSE_MINUTE, OPEN_MINUTE, PERSIST_BARS, PRE_OPEN_MINUTE
 
 # What decides which windows a bar shows.
@@ -35,13 +35,6 @@ def session_days(dates, from_minute, to_minute):
     )
 
 
-def each(days, names, name):
-    """Every session with every name of the configuration: as many rows as sessions x names."""
-    block = F.explode(F.sequence(F.lit(0), F.lit(M.GRID_BLOCKS - 1))).alias("block")
-    names = names.select(name).distinct().withColumn("block", F.pmod(F.hash(name), F.lit(M.GRID_BLOCKS)))
-    return days.select("*", block).join(names, "block").drop("block")
-
-
 def _prints(inp, days):
     """Buckets of the configuration up to the end of the clock, with the dollars that count."""
     counted, auctions, extended = M._slices(inp)
@@ -160,7 +153,7 @@ def series_frame(inp, step, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
 
     whole = inp.buckets if inp.whole is None else inp.whole
     span = whole.groupBy("session_date").agg(F.min("second").alias("lo"), F.max("second").alias("hi"))
-    names = M.config_table(inp.members).select("basket")
+    names = M.config_table(inp.members).select("basket").distinct()
     clock = each(days.join(span, "session_date", "left"), names, "basket")
     # Sessions and baskets are few and their rows many: deal them before they become seconds.
     clock = clock.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "session_date", "basket")

@@ -97,6 +97,7 @@ def floors(spark, sf_dir, tape, bar_minutes=1):
         df = BL.floors(
             ticker_profile(spark, sf_dir, tape, bar_minutes),
             basket_profile(spark, sf_dir, tape, bar_minutes),
+            bar_minutes=bar_minutes,
         )
         store.write_floors(df, path, BL.FLOOR_FRACTION, f"{tape} tape")
 

@@ -42,6 +42,8 @@ QUOTE_EVENT = T.StructType(
 )
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
 MS = 1_000_000
+#: More than a frame has events.
+FRAME_EVENTS = 1_000_000_000
 
 
 def parse_lines(lines):
@@ -113,9 +115,9 @@ def decode_events(events, universe=None):
 
 
 def _arrival():
-    """Total arrival order: receive time, then position in the frame."""
-    wide = F.col("recv_ns").cast("decimal(19,0)") * F.lit(1_000_000).cast("decimal(7,0)")
-    return (wide + F.coalesce(F.col("pos"), F.lit(0)).cast("decimal(6,0)")).cast("decimal(27,0)")
+    """Total arrival order: receive time, then position in the frame (a frame is under 2^31 bytes)."""
+    wide = F.col("recv_ns").cast("decimal(19,0)") * F.lit(FRAME_EVENTS).cast("decimal(10,0)")
+    return (wide + F.coalesce(F.col("pos"), F.lit(0)).cast("decimal(10,0)")).cast("decimal(28,0)")
 
 
 def _zero(name, dtype):

@@ -101,9 +101,11 @@ def check_profile_shape(df, *keys, bar_minutes=1):
 
 
 def _assert_shape(df, keys, bar_minutes, path):
-    bad = check_profile_shape(df, *keys, bar_minutes=bar_minutes).filter(~F.col("ok")).take(1)
-    if bad:
-        raise ValueError(f"{path}: not the contiguous bars of a session: {bad[0].asDict()}")
+    worst = check_profile_shape(df, *keys, bar_minutes=bar_minutes).orderBy("ok").take(1)
+    if not worst:
+        raise ValueError(f"{path}: no rows")
+    if not worst[0]["ok"]:
+        raise ValueError(f"{path}: not the contiguous bars of a session: {worst[0].asDict()}")
     return df
 
 
