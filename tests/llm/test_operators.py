@@ -77,6 +77,20 @@ def test_repeats_equal_brute_force(docs, spark, monkeypatch):
     assert rows(suffix.remove_repeats(docs(data)), *cols) == want
 
 
+def test_planted_passages_go_and_clean_documents_stay(docs, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 8)  # occurrences of the common passage are dealt to blocks
+    passage, common = prose(61, 110), prose(62, 110)
+    assert min(len(p.encode()) for p in (passage, common)) > 400
+    data = [(k, f"{prose(k + 700, 50)} {passage} {prose(k + 800, 50)}") for k in range(4)]
+    data += [(100 + k, f"{prose(k + 1700, 40)} {common}") for k in range(60)]
+    data += [(200 + k, prose(k + 2700, 150)) for k in range(30)] + [(k, prose(3, 300).replace("é", "e")[:399]) for k in (300, 301)]
+    got = {r.doc_id: r for r in suffix.remove_repeats(docs(data)).collect()}
+    assert all(got[k].n_removed >= len(passage.encode()) for k in range(4))
+    assert all(got[100 + k].n_removed >= len(common.encode()) for k in range(60))
+    assert not any(got[k].n_removed for k in [*range(200, 230), 300, 301])
+    assert all(r.n_kept == len(r.kept) == r.n_bytes - r.n_removed for r in got.values())
+
+
 def test_repeats_of_odd_documents(docs):
     out = suffix.remove_repeats(docs(ODD))
     want = sorted([(i, *w[:3]) for (i, _), w in zip(ODD, brute_removed([t for _, t in ODD], 400))], key=repr)

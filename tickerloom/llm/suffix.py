@@ -23,6 +23,8 @@ from tickerloom.llm import base, runindex
 LENGTH = 400
 #: Anchor lengths in 400ths of LENGTH, one level after the other.
 ANCHORS = (128, 264, 400)
+#: Occurrences of a piece that are looked up together.
+HOT = 4096
 #: Different pieces of one anchor in one index, and bytes of buckets put in one index together.
 BUCKET = 2048
 INDEX_BYTES = 1 << 20
@@ -192,9 +194,14 @@ def _level(strings, m, length, last):
         F.sum("n").alias("total"), F.min(F.struct(*KEYS, "first")).alias("at")
     )
     distinct = base.settled(distinct.select("anchor", "whole", "size", "mixed", "total", "at.*"), "distinct")
-    again = distinct.filter("total > 1").select("anchor", "whole", "size")
+    piece = ["anchor", "whole", "size"]
+    blocks = F.ceil(F.col("total") / HOT).cast("bigint")
+    again = distinct.filter("total > 1").select(*piece, blocks.alias("blocks"))
+    hot = base.settled(again.filter("blocks > 1"), "hot")  # dealt to blocks, which meet a copy each
+    again = again.select(*piece, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    block = F.pmod(F.xxhash64(*KEYS, "first"), F.coalesce("blocks", F.lit(1).cast("bigint")))
     start = (F.col("base") + F.col("first")).alias("start")
-    spans = found.join(again, ["anchor", "whole", "size"], "left_semi")
+    spans = found.join(hot, piece, "left").withColumn("block", block).join(again, [*piece, "block"], "left_semi")
     spans = spans.select("id", "hash", start, (F.col("base") + F.col("first") + F.col("size")).alias("stop"))
 
     mixed = distinct.filter("mixed")
@@ -238,7 +245,7 @@ def repeats(strings, length=LENGTH):
     return out
 
 
-OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_kept bigint, kept binary"
 
 
 def _apply(rows, keep):
@@ -260,13 +267,14 @@ def _apply(rows, keep):
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         names = [c.split()[0] for c in OUT.split(", ")]
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
                 n, removed, n_spans, kept = one(unpack(row["data"]), row["spans"])
                 doc_id = None if row["n"] else row["id"]
-                rows.append((doc_id, n, removed, n_spans, hashlib.sha256(kept).hexdigest(), kept if keep else None))
+                digest = hashlib.sha256(kept).hexdigest()
+                rows.append((doc_id, n, removed, n_spans, digest, len(kept), kept if keep else None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -291,7 +299,7 @@ def remove_repeats(docs, length=LENGTH, keep=True):
     )
     packed = base.settled(_packed(rows), "texts")
     spans = repeats(packed.withColumn("n", F.lit(1).cast("bigint")), length)
-    own = F.collect_list(F.struct("start", "stop")).alias("spans")
+    own = F.collect_set(F.struct("start", "stop")).alias("spans")  # rows equal in doc_id and text have the same
     spans = base.settled(spans, "spans").groupBy("id", "hash").agg(own)
     both = packed.join(spans, ["id", "hash"], "left").select("id", "n", "data", "spans")
     return _apply(both, keep)
