@@ -2,9 +2,12 @@ import random
 
 import pytest
 from conftest import Tape, et
+from pyspark.sql import functions as F
 
-from tickerloom.operators import book
+from tickerloom.functions import session as S
+from tickerloom.operators import book, table
 from tickerloom.operators import buckets as B
+from tickerloom.schema import PERSIST_BARS
 from tickerloom.streaming import live
 
 
@@ -103,3 +106,37 @@ def test_believable_messages(spark):
     rows = [r[:-1] + (t.rows[0][-1],) for r in t.rows]
     df = spark.createDataFrame(rows, Tape.schema)
     assert live.believable(df).count() == 1
+
+
+def test_live_table_equals_the_batch_table_after_every_batch(spark, tmp_path):
+    import random
+
+    from test_metrics import basket_profile, floors, inputs, ticker_profile
+
+    d, r, t = "2026-08-11", random.Random(4), Tape()
+    for k in range(900):
+        sec = et(d, "09:20:00") + k * 20 - (r.randrange(4000) if k % 7 == 0 else 0)  # some come late
+        day = "2026-08-12" if k % 97 == 0 else d
+        sec += et(day, "09:20:00") - et(d, "09:20:00")
+        t.trade(r.choice(["A", "B", "C", "SPY", "other"]), sec, 90 + r.randrange(20), r.randrange(1, 50),
+                r.choice([[], [], [12], [25], [37]]), r.randrange(10**9))
+    t.quote("other", et(d, "16:20:00"))
+    kw = dict(tickers=ticker_profile(spark, dict(A=500, B=0, C=100)), baskets=basket_profile(spark, ["x", "y"]), floors=floors(spark))
+    inp = inputs(spark, t, et(d, "10:00:00"), dict(x=["A", "B"], y=["B", "C"]), **kw)
+    tape, state, out = t.frame(spark).cache(), str(tmp_path / "state"), str(tmp_path / "out")
+    shown = lambda df: {tuple(x[:3]): [round(v, 6) if isinstance(v, float) else v for v in x[3:]] for x in df.collect()}
+    bounds, live_rows = [0, 40, 41, 300, 650, 902], []
+    for epoch, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        part = tape.filter((F.col("arrival") >= a) & (F.col("arrival") < b))
+        for _ in range(1 + epoch % 2):  # every other batch is repeated, by a new observer
+            live.LiveTable(inp, state, out, "dev")(part, epoch)
+        rows = B.bucketize(tape.filter(F.col("arrival") < b))
+        touched = part.select(S.et_date("sip_ns div 1000000000").alias("session_date")).distinct()
+        clock = rows.groupBy("session_date").agg(F.max("second").alias("at_sec")).join(touched, "session_date", "left_semi")
+        want = table.basket_table(inp.with_(buckets=rows, asof=clock), "dev")
+        got = spark.read.parquet(out).select(*want.columns).join(touched, "session_date", "left_semi")
+        assert shown(got) == shown(want) and shown(want), epoch
+        held = spark.read.parquet(state).filter(F.col("session_date").cast("string") == d)
+        live_rows.append(held.filter(F.col("epoch") == epoch).count())
+        assert held.select("epoch").distinct().count() <= 2
+    assert max(live_rows) <= 4 * (3 + PERSIST_BARS) + 1  # symbols x bars that windows look at, not bars so far

@@ -137,7 +137,7 @@ def stream_basket_table(spark, sf):
     def write(path):
         store_path, out = f"{path}/buckets", f"{path}/table"
         none = stored.session_dates(spark, sf, "line")
-        table = live.LiveTable(stored.inputs(spark, sf, none), store_path, out)
+        table = live.LiveTable(stored.inputs(spark, sf, none), f"{path}/windows", out)
         _drain(
             tape_stream(spark, sf, "line"),
             observers=[table],
@@ -146,7 +146,7 @@ def stream_basket_table(spark, sf):
         )
 
     path = stored._once(spark, sf, "line_live_table", write)
-    table = live.LiveTable(None, f"{path}/buckets", f"{path}/table")
+    table = live.LiveTable(None, f"{path}/windows", f"{path}/table")
     return shape(table.latest(spark), TRADER)
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tickerloom.functions import session as S
 from tickerloom.operators import book
 from tickerloom.operators import buckets as B
+from tickerloom.operators import metrics as M
 from tickerloom.operators import table
 from tickerloom.schema import BUCKETS, class_columns
 from tickerloom.sources import store
+from tickerloom.streaming import windows
 
 #: Batches between two folds of the live store.
 FOLD_EVERY = 16
@@ -218,21 +220,23 @@ class SequenceWatch:
 class LiveTable:
     """Observer that renders the basket table of each session a batch touched.
 
-    A session is rendered as of its latest second in the store, and a rendering replaces the
-    session's last one. Buckets carry the date of their own time, so a corrupt far-off time
-    lands in another session and moves no clock.
+    A session is rendered as of its latest second, from the state of its windows, which the batch is
+    merged into first; a rendering replaces the session's last one. Buckets carry the date of
+    their own time, so a corrupt far-off time lands in another session and moves no clock.
     """
 
-    def __init__(self, inputs, store_path, out_path, mode="trader"):
-        self.inputs, self.store_path, self.out_path, self.mode = inputs, store_path, out_path, mode
+    def __init__(self, inputs, state_path, out_path, mode="trader"):
+        self.inputs, self.out_path, self.mode = inputs, out_path, mode
+        self.state = windows.WindowState(state_path)
+        if inputs is not None:
+            table.check_configuration(inputs)
 
     def __call__(self, tape, epoch):
-        spark = tape.sparkSession
-        touched = tape.select(S.et_date("sip_ns div 1000000000").alias("session_date")).distinct()
-        rows = read_live_buckets(spark, self.store_path).join(touched, "session_date", "left_semi")
-        clock = rows.groupBy("session_date").agg(F.max("second").alias("at_sec"))
-        inp = self.inputs.with_(buckets=rows, asof=clock)
-        _replace(table.basket_table(inp, self.mode), self.out_path, "session_date")
+        state = self.state.merge(tape, self.inputs, epoch)
+        inp = self.inputs.with_(asof=windows.clock(state), windows=windows.member_windows(state))
+        df = M.basket_frame(inp, shares=True, baseline=True, breadth=True, volume=True)
+        rows = table.view(df.withColumn("outside", F.lit(0)), self.mode)
+        _replace(rows, self.out_path, "session_date")
 
     def latest(self, spark):
         """The newest rendering of each session."""
