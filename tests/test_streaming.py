@@ -8,6 +8,7 @@ from tickerloom.functions import session as S
 from tickerloom.operators import book, table
 from tickerloom.operators import buckets as B
 from tickerloom.schema import PERSIST_BARS
+from tickerloom.sources import growing
 from tickerloom.streaming import live
 
 
@@ -140,3 +141,29 @@ def test_live_table_equals_the_batch_table_after_every_batch(spark, tmp_path):
         live_rows.append(held.filter(F.col("epoch") == epoch).count())
         assert held.select("epoch").distinct().count() <= 2
     assert max(live_rows) <= 4 * (3 + PERSIST_BARS) + 1  # symbols x bars that windows look at, not bars so far
+
+
+def test_a_growing_file_is_read_once_line_by_line(spark, tmp_path):
+    src, out, ckpt = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    src.mkdir()
+
+    def drain():
+        lines = growing.stream_growing_lines(spark, str(src), chunk_bytes=7)
+        q = lines.writeStream.format("parquet").option("checkpointLocation", ckpt)
+        q.trigger(availableNow=True).start(out).awaitTermination()
+        return sorted(r.value for r in spark.read.schema("value string").parquet(out).collect())
+
+    a, b = src / "a.jsonl", src / "b.jsonl"
+    a.write_bytes(b"one\ntwo is longer than a chunk\n\nthr")
+    assert drain() == ["", "one", "two is longer than a chunk"]  # the torn tail waits
+    with a.open("ab") as f:
+        f.write("ee \u00e9\r\nfour".encode())
+    b.write_bytes(b"other\n")
+    (src / "_hidden").write_bytes(b"no\n")
+    assert drain() == ["", "one", "other", "three \u00e9", "two is longer than a chunk"]
+    with a.open("ab") as f:
+        f.write(b"\n")
+    assert drain() == drain() == ["", "four", "one", "other", "three \u00e9", "two is longer than a chunk"]
+    a.write_bytes(b"one\n")
+    with pytest.raises(Exception, match="shorter"):
+        drain()

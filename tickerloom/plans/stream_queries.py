@@ -8,7 +8,7 @@ from tickerloom.plans.base import register, select, shape
 from tickerloom.plans.bucket_queries import A1, A5, A5_ROWS, A8, A8_SQL, EVENT, W1, W1_SQL
 from tickerloom.plans.metric_queries import TRADER
 from tickerloom.plans.source_queries import KNOWN, MS, _capture, universe
-from tickerloom.sources import capture
+from tickerloom.sources import capture, growing
 from tickerloom.streaming import live
 
 SLICES = 4
@@ -93,6 +93,49 @@ def stream_capture(spark, sf):
     return shape(spark.read.schema(trades.schema).parquet(f"{path}/rows"), S6)
 
 
+def _grow(lines, path, step):
+    """Append each file's lines of one step where it lies, as its capture process would."""
+
+    def append(rows):
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        files.create_dir(root, recursive=True)
+        out = {}
+        for r in rows:
+            if r.file not in out:
+                out[r.file] = files.open_append_stream(f"{root}/capture-{r.file}.jsonl")
+            out[r.file].write(r.value.encode() + b"\n")
+        for f in out.values():
+            f.close()
+
+    rows = lines.filter(F.col("step") == step).repartition(GROWING, "file").sortWithinPartitions("file", "n")
+    rows.foreachPartition(append)
+
+
+GROWING = 3
+
+
+@register("stream_growing_capture", select([EVENT], S6, f"tape WHERE kind = 'trade' AND {KNOWN}", sip_ns=MS))
+def stream_growing_capture(spark, sf):
+    """Captures read while they grow: three files, each longer at each of three restarts of the query."""
+
+    def write(path):
+        lines = spark.read.text(_capture(spark, sf)).withColumn("n", F.xxhash64("value"))
+        lines = lines.withColumns({"file": F.pmod("n", F.lit(GROWING)), "step": F.pmod(F.shiftright("n", 8), F.lit(3))})
+        for step in range(3):
+            _grow(lines, f"{path}/growing", step)
+            records = growing.stream_growing_capture(spark, f"{path}/growing", chunk_bytes=1 << 16)
+            events = capture.decode_events(capture.explode_frames(records), universe(spark))
+            trades = capture.capture_trades(events).select("symbol", "sip_ns", "seq", "price", "size")
+            out = trades.writeStream.format("parquet").option("checkpointLocation", f"{path}/ckpt")
+            out.trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+
+    path = stored._once(spark, sf, "growing_frames", write)
+    schema = "symbol string, sip_ns bigint, seq bigint, price double, size double"
+    return shape(spark.read.schema(schema).parquet(f"{path}/rows"), S6)
+
+
 @register("stream_sequence_regressions", W1_SQL)
 def stream_sequence_regressions(spark, sf):
     """Sequence regressions counted across micro-batches, with a restart after each of them."""
