@@ -4,6 +4,7 @@ import pytest
 from conftest import Tape, et
 
 from tickerloom.operators import baselines as BL
+from tickerloom.operators import rolling
 from tickerloom.operators import buckets as B
 from tickerloom.sources import store
 
@@ -170,3 +171,31 @@ def test_a_failed_rebuild_leaves_the_table(spark, tmp_path):
         store.write_table(spark.range(3).selectExpr("raise_error('broken') AS id"), path)
     assert rows() == [0, 1, 2]
     assert len(list((tmp_path / "t/data").glob("build=*"))) <= 3  # last, the one before, the broken one
+
+
+def test_rolling_baselines_equal_full_builds(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    r, t = random.Random(6), Tape()
+    days = [str(dt.date(2026, 8, 3) + dt.timedelta(days=k)) for k in range(24)]
+    for day in days:
+        for s in ("A", "B", "C"):
+            for _ in range(4):
+                t.trade(s, et(day, "09:30:00") + r.randrange(4) * 5400 + r.randrange(60), 10, r.randrange(1, 9))
+    rows, m = B.bucketize(t.frame(spark)).cache(), members(spark, x=["A", "B"], y=["C"])
+    samples = rolling.SampleStore(str(tmp_path / "s"), lookback=4, bar_minutes=195)
+    shown = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in df.collect())
+    for k, day in enumerate(dates(days)):
+        stay = samples.roll(rows, day)
+        assert [str(d) for d in stay] == days[max(0, k - 3) : k + 1]
+        assert len(list((tmp_path / "s").glob("session_date=*"))) == len(stay)
+        if k in (0, 3, 4, 23):
+            full = BL.ticker_profile(rows, symbols(spark, "A", "B", "C"), stay, 195)
+            assert shown(samples.ticker_profile(spark, symbols(spark, "A", "B", "C"))) == shown(full)
+            assert shown(samples.basket_profile(spark, m)) == shown(BL.basket_profile(rows, m, stay, 195))
+    assert samples.roll(rows, dates(days)[-1]) == stay  # a repeated night changes nothing
+    plan = BL.session_bars(BL.of_dates(rows, stay[-1:]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("session_date") and days[-2] not in plan
+    with pytest.raises(ValueError, match="no data"):
+        samples.roll(rows, dt.date(2026, 9, 30))

@@ -108,6 +108,11 @@ def ticker_profile(buckets, symbols, dates, bar_minutes=1, counted=None):
     """
     n = len(check_sessions_have_data(buckets, check_dates(dates)))
     bars = session_bars(of_dates(buckets, dates), bar_minutes, counted)
+    return ticker_profile_of(bars, symbols, n, bar_minutes)
+
+
+def ticker_profile_of(bars, symbols, n, bar_minutes=1):
+    """ticker_profile of the bars of n sessions."""
     samples = bars.groupBy("symbol", "minute_of_day").agg(
         F.collect_list("shares").alias("s"), F.collect_list("dollars").alias("d")
     )
@@ -199,7 +204,13 @@ def basket_profile(buckets, members, dates, bar_minutes=1):
     which no member traded gives no sample.
     """
     check_sessions_have_data(buckets, check_dates(dates))
-    days = basket_day_shares(buckets, members, dates, bar_minutes)
+    bars = session_bars(of_dates(buckets, dates), bar_minutes)
+    return basket_profile_of(bars, members, dates, bar_minutes)
+
+
+def basket_profile_of(bars, members, dates, bar_minutes=1):
+    """basket_profile of the bars of these sessions."""
+    days = _basket_days(bars, members, list(dates), bar_minutes)
     samples = days.groupBy("basket", "minute_of_day").agg(
         F.collect_list("share").alias("s"), F.collect_list("cum_share").alias("c")
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.stats import with_robust
 from tickerloom.operators import baselines as BL
+from tickerloom.operators import rolling
 from tickerloom.plans import sqltext as Q
 from tickerloom.plans import stored, tapes
 from tickerloom.plans.base import register, select, shape
@@ -92,6 +93,32 @@ def ticker_profile_half_hour(spark, sf):
     return shape(df, A14)
 
 
+ROLL = 10
+
+
+def _rolling(profiles):
+    """profiles(...) over the latest ROLL sessions only."""
+    days = "days AS (SELECT DISTINCT session_date FROM bs WHERE minute_of_day BETWEEN 570 AND 959"
+    return [c.replace(days, f"{days} ORDER BY session_date DESC LIMIT {ROLL}") for c in profiles]
+
+
+def rolled(spark, sf):
+    """The sample store after a nightly roll for every session of the tape, one after the other."""
+
+    def write(path):
+        samples = rolling.SampleStore(path, ROLL)
+        for date in stored.dates(spark, sf, "line"):
+            samples.roll(stored.buckets(spark, sf, "line"), date)
+
+    return rolling.SampleStore(stored._once(spark, sf, "line_samples", write), ROLL)
+
+
+@register("rolling_ticker_profile", select(_rolling(Q.profiles("line")), A14, "tp"))
+def rolling_ticker_profile(spark, sf):
+    """Ticker baselines of the latest sessions, from a store that is rolled session by session."""
+    return shape(rolled(spark, sf).ticker_profile(spark, tapes.symbols(spark)), A14)
+
+
 A15 = "d:session_date s:uncovered"
 
 
@@ -119,6 +146,12 @@ def basket_profile(spark, sf):
     return shape(BL.basket_profile(buckets, tapes.members(spark), dates), A16)
 
 
+@register("rolling_basket_profile", select(_rolling(Q.profiles("line")), A16, "bp"))
+def rolling_basket_profile(spark, sf):
+    """Basket baselines of the latest sessions, from a store that is rolled session by session."""
+    return shape(rolled(spark, sf).basket_profile(spark, tapes.members(spark)), A16)
+
+
 @register("basket_profile_half_hour", select(Q.profiles("wide", HALF_HOUR), A16, "bp"))
 def basket_profile_half_hour(spark, sf):
     df = BL.basket_profile(

@@ -51,11 +51,15 @@ def buckets(spark, sf_dir, tape):
     return _checked(spark, path, lambda p: store.read_buckets(spark, p))
 
 
+#: Sessions that baselines of a tape look back on at most: the list becomes a partition filter.
+LOOKBACK = 400
+
+
 def dates(spark, sf_dir, tape):
-    """Every session date with regular-session data, ascending."""
+    """The session dates with regular-session data, ascending: the latest LOOKBACK of them."""
     key = (spark.sparkContext.applicationId, str(sf_dir), f"{tape}_dates")
     if key not in _PATHS:
-        _PATHS[key] = BL.regular_dates(buckets(spark, sf_dir, tape), n=1_000_000)
+        _PATHS[key] = BL.regular_dates(buckets(spark, sf_dir, tape), n=LOOKBACK)
     return _PATHS[key]
 
 
