@@ -9,7 +9,6 @@ follows from counts.
 """
 
 import string
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +20,13 @@ from tickerloom.llm import base
 
 MIN_DOCUMENTS = 3
 ONE = 1_000_000_000
+#: Counts below this times ONE fit 64 bits.
+MOST = 9_000_000_000
 TOP = 200
 #: Different terms that one vectorizer counts, about; its vocabulary passes through the driver.
 VOCABULARY = 3 << 19
+#: Different terms, about, of the vectorizers that go over the documents together.
+TOGETHER = 2 * VOCABULARY
 #: Languages with vectorizers of their own.
 OWN = 64
 #: Sources compared by one task, and cells of groups, about.
@@ -42,8 +45,10 @@ def terms_of(text):
 
 
 def _plain(docs):
+    """(lang, source, group: a number for the two, text), nulls as ''."""
     names = ("lang", "source", "text")
-    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names))
+    df = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names))
+    return df.select("lang", "source", F.xxhash64("lang", "source").alias("group"), "text")
 
 
 def _lists(found):
@@ -60,29 +65,45 @@ def thinned(docs, least):
     def run(batches):
         for batch in batches:
             seen, out = {}, []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary())):
-                held = seen.setdefault(lang, Counter())
-                new = [t for t in set(terms_of(text.as_py())) if held[t] < least]
-                held.update(new)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                held = seen.setdefault(lang, {})
+                times = held.get
+                new = [t for t in set(terms_of(text.as_py())) if times(t, 0) < least]
+                for t in new:
+                    held[t] = times(t, 0) + 1
                 out.append(new)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out)], ["lang", "terms"])
 
-    return base.settled(base.map_arrow(_plain(docs), run, "lang string, terms array<string>"), "thinned")
+    own = _plain(docs).select("lang", "text")
+    return base.settled(base.map_arrow(own, run, "lang string, terms array<string>"), "thinned")
 
 
 def places(thin):
-    """({language: (first column, columns)}, columns of the other languages, all columns)."""
+    """({language: (first column, columns)}, columns of the other languages, terms of each column, about)."""
     terms = thin.select("lang", F.explode("terms").alias("t"))
     n = terms.groupBy("lang").agg(F.approx_count_distinct("t", 0.02).alias("n"))
     n = base.settled(n, "sizes")
-    found, at = {}, 0
+    found, sizes = {}, []
     for r in n.orderBy(F.desc("n"), "lang").limit(OWN).collect():
         k = -(-r.n // VOCABULARY)
-        found[r.lang] = (at, k)
-        at += k
+        found[r.lang] = (len(sizes), k)
+        sizes += [r.n // k] * k
     rest = n.filter(~F.col("lang").isin(list(found))).agg(F.sum("n")).first()[0] or 0
     others = -(-rest // VOCABULARY)
-    return found, (at, others), at + others
+    place = (len(sizes), others)
+    return found, place, sizes + [rest // max(1, others)] * others
+
+
+def passes(sizes):
+    """Columns that are summed together: their vocabularies are with every task at once."""
+    out, held = [], 0
+    for k, n in enumerate(sizes):
+        if not out or held + n > TOGETHER or len(out[-1]) == 256:
+            out.append([])
+            held = 0
+        out[-1].append(k)
+        held += n
+    return out
 
 
 def _column(place, k, term):
@@ -91,36 +112,40 @@ def _column(place, k, term):
     return F.lit(True) if n == 1 else F.pmod(F.crc32(term), F.lit(n)) == k - first
 
 
-def dealt(docs, own, others, n):
-    """docs -> (lang, source, t0 ...): every document's terms in the columns that count them."""
-    names = [f"t{k}" for k in range(n)]
+def dealt(docs, own, others, columns):
+    """docs -> (group, t<k> ...): every document's terms in those of the columns that count them."""
+    names = [f"t{k}" for k in columns]
 
     def run(batches):
         import zlib
 
         for batch in batches:
-            columns = [[()] * len(batch) for _ in range(n)]
-            for row, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()))):
-                found, (first, k) = terms_of(text.as_py()), own.get(lang, others)
+            found = {k: [()] * len(batch) for k in columns}
+            for row, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()))):
+                first, k = own.get(lang, others)
+                if not any(j in found for j in range(first, first + k)):
+                    continue
+                terms = terms_of(text.as_py())
                 if lang not in own:
                     end = MARK + lang.encode()
-                    found = [t + end for t in found]
+                    terms = [t + end for t in terms]
                 if k == 1:
-                    columns[first][row] = found
+                    found[first][row] = terms
                     continue
                 parts = [[] for _ in range(k)]
-                for t in found:
+                for t in terms:
                     parts[zlib.crc32(t) % k].append(t)
                 for j, part in enumerate(parts):
-                    columns[first + j][row] = part
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(_lists, columns)], ["lang", "source", *names])
+                    if first + j in found:
+                        found[first + j][row] = part
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(_lists, found.values())], ["group", *names])
 
-    schema = ", ".join(["lang string, source string", *(f"{c} array<string>" for c in names)])
-    return base.settled(base.map_arrow(_plain(docs), run, schema), "terms")
+    schema = ", ".join(["group bigint", *(f"{c} array<string>" for c in names)])
+    return base.map_arrow(_plain(docs).select("group", "lang", "text"), run, schema)
 
 
 def fitted(thin, place, k, lang, least):
-    """(model, vocabulary (block, index, lang, term)) of column k, over one language or, for None, over
+    """(model, vocabulary (key, lang, term)) of column k, over one language or, for None, over
     the rows given with their terms marked.
     """
     spark = thin.sparkSession
@@ -135,59 +160,65 @@ def fitted(thin, place, k, lang, least):
     words = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "t")).filter("t <> ''")
     own = F.lit(lang) if lang is not None else F.expr("substring(t, length(term) + 2)")
     words = words.withColumn("term", F.substring_index("t", MARK.decode(), 1) if lang is None else F.col("t"))
-    return model, words.select(F.lit(k).alias("block"), "index", own.alias("lang"), "term")
+    return model, words.select((F.lit(k << 32) + F.col("index")).cast("bigint").alias("key"), own.alias("lang"), "term")
 
 
-def summed(model, rows, k):
-    """rows (lang, source, t<k>) -> (lang, source, block, index, n): sums of the documents' vectors."""
-    name = f"t{k}"
-    vectors = model.setInputCol(name).transform(rows.select("lang", "source", name).filter(F.size(name) > 0))
-    vectors = vectors.select("lang", "source", F.unwrap_udt("vector").alias("v")).select("lang", "source", "v.indices", "v.values")
-    schema = "lang string, source string, index int, n bigint"
+def summed(rows, models):
+    """rows (group, t<k> ...), {k: model} -> (group, key, n): sums of the documents' vectors.
+
+    key holds column and index. Each batch is summed before the shuffle.
+    """
+    for k, model in models.items():
+        rows = model.setInputCol(f"t{k}").setOutputCol(f"v{k}").transform(rows).drop(f"t{k}")
+        rows = rows.withColumn(f"v{k}", F.unwrap_udt(f"v{k}"))
+    parts = [F.col(f"v{k}.{c}").alias(f"{c}{k}") for k in models for c in ("indices", "values")]
+    columns = np.array(list(models), np.int64)
 
     def run(batches):
         for batch in batches:
-            pair = [batch.column(c).dictionary_encode() for c in range(2)]
-            names = [p.dictionary for p in pair]
-            code = pair[0].indices.to_numpy().astype(np.int64) * len(names[1]) + pair[1].indices.to_numpy()
-            lens = np.diff(batch.column(2).offsets.to_numpy())
-            key = np.repeat(code, lens) << 32 | batch.column(2).flatten().to_numpy()
-            found, place = np.unique(key, return_inverse=True)
-            n = np.bincount(place, weights=batch.column(3).flatten().to_numpy(), minlength=len(found))
-            code = found >> 32
-            cols = [names[0].take(pa.array(code // max(1, len(names[1])))), names[1].take(pa.array(code % max(1, len(names[1]))))]
-            cols += [pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "index", "n"])
-
-    sums = base.map_arrow(vectors, run, schema).groupBy("lang", "source", "index").agg(F.sum("n").alias("n"))
-    return sums.select("lang", "source", F.lit(k).alias("block"), "index", "n")
+            groups, own = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            keys, counts = [], []
+            for j in range(len(columns)):
+                indices, values = batch.column(1 + 2 * j), batch.column(2 + 2 * j)
+                at = np.repeat(own, np.diff(indices.offsets.to_numpy()))
+                keys.append(at << 40 | j << 32 | indices.flatten().to_numpy())
+                counts.append(values.flatten().to_numpy())
+            found, place = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
+            key = columns[found >> 32 & 255] << 32 | found & 0xFFFFFFFF
+            cols = [pa.array(groups[found >> 40]), pa.array(key), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(cols, ["group", "key", "n"])
+
+    found = base.map_arrow(rows.select("group", *parts), run, "group bigint, key bigint, n bigint")
+    return found.groupBy("group", "key").agg(F.sum("n").alias("n"))
 
 
 def counted(docs, least=MIN_DOCUMENTS):
-    """(vocabulary (block, index, lang, term), cells (lang, source, block, index, n), groups (lang, source))."""
+    """(vocabulary (key, lang, term), cells (group, key, n), groups (group, lang, source))."""
     thin = thinned(docs, least)
-    own, others, n = places(thin)
-    rows = dealt(docs, own, others, n)
+    own, others, sizes = places(thin)
     marked = thin.filter(~F.col("lang").isin(list(own)))
     marked = marked.select(F.transform("terms", lambda t: F.concat(t, F.lit(MARK.decode()), "lang")).alias("terms"))
-    jobs = [(lang, place, place[0] + j) for lang, place in own.items() for j in range(place[1])]
-    jobs += [(None, others, others[0] + j) for j in range(others[1])]
-    words = cells = None
-    for lang, place, k in jobs:
-        model, own_words = fitted(marked if lang is None else thin, place, k, lang, least)
-        found = summed(model, rows, k)
-        words, cells = (own_words, found) if words is None else (words.union(own_words), cells.union(found))
-    groups = rows.select("lang", "source").distinct()
-    if words is None:
-        spark = docs.sparkSession
-        words = spark.createDataFrame([], "block int, index int, lang string, term string")
-        cells = spark.createDataFrame([], "lang string, source string, block int, index int, n bigint")
+    lang_of = {first + j: (lang, (first, n)) for lang, (first, n) in own.items() for j in range(n)}
+    spark = docs.sparkSession
+    words = spark.createDataFrame([], "key bigint, lang string, term string")
+    cells = spark.createDataFrame([], "group bigint, key bigint, n bigint")
+    for columns in passes(sizes):
+        models = {}
+        for k in columns:
+            lang, place = lang_of.get(k, (None, others))
+            models[k], found = fitted(marked if lang is None else thin, place, k, lang, least)
+            words = words.union(found)
+        cells = cells.union(summed(dealt(docs, own, others, columns), models))
+    groups = _plain(docs).select("group", "lang", "source").distinct()
     return base.settled(words, "vocabulary"), base.settled(cells, "cells"), groups
 
 
 def share(count, total, terms):
     """1 + floor(ONE * (count + 1) / (total + terms)), exact: the product has up to 31 digits."""
-    return F.expr(f"1 + ({ONE} * cast({count} + 1 as decimal(20,0))) div ({total} + {terms})")
+    small = f"({ONE}L * ({count} + 1)) div ({total} + {terms})"
+    large = f"({ONE} * cast({count} + 1 as decimal(20,0))) div ({total} + {terms})"
+    return F.expr(f"1 + if({count} < {MOST}, {small}, {large})")
 
 
 def gap(p, q):
@@ -285,8 +316,8 @@ def audit(docs, least=MIN_DOCUMENTS, top=TOP):
     """
     words, cells, groups = counted(docs, least)
     terms = words.groupBy("lang").agg(F.count("*").alias("terms"))
-    sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("n"))
-    groups = groups.join(sums, ["lang", "source"], "left").join(terms, "lang", "left").fillna(0, ["total", "n", "terms"])
+    sums = cells.groupBy("group").agg(F.sum("n").alias("total"), F.count("*").alias("n"))
+    groups = groups.join(sums, "group", "left").join(terms, "lang", "left").fillna(0, ["total", "n", "terms"])
     number = F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("bigint") - 1
     groups = groups.withColumn("s", number)
     first = F.when(F.col("terms") > 0, share("0", "total", "terms")).otherwise(F.lit(1).cast("bigint"))
@@ -295,12 +326,11 @@ def audit(docs, least=MIN_DOCUMENTS, top=TOP):
     langs = base.settled(langs.withColumn("lang_no", F.monotonically_increasing_id()), "langs")
     groups = base.settled(groups.join(langs, "lang"), "groups")
 
-    cells = cells.join(groups.select("lang", "source", "lang_no", "s", "total", "lang_total", "terms"), ["lang", "source"])
+    cells = cells.join(groups.select("group", "lang_no", "s", "total", "lang_total", "terms"), "group")
     cells = cells.withColumn("p", share("n", "total", "terms"))
-    cells = cells.withColumn("m", F.sum("n").over(W.partitionBy("lang_no", "block", "index")))
+    cells = cells.withColumn("m", F.sum("n").over(W.partitionBy("key")))
     cells = cells.withColumn("q", share("m", "lang_total", "terms"))
-    key = F.expr("shiftleft(cast(block as bigint), 32) + index").alias("key")
-    cells = base.settled(cells.select("lang_no", "lang", "source", "s", "block", "index", key, "p", "q"), "shares")
+    cells = base.settled(cells.select("lang_no", "s", "key", "p", "q"), "shares")
 
     near = pairs(cells.select("lang_no", "s", "key", "p"), groups)
     names = groups.select("lang_no", "s", "source")
@@ -308,8 +338,8 @@ def audit(docs, least=MIN_DOCUMENTS, top=TOP):
     near = near.join(names.toDF("lang_no", "j", "item"), ["lang_no", "j"])
     near = near.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
-    more = cells.filter("p > q").select("lang", "source", "block", "index", gap("p", "q").alias("value"))
-    more = more.join(words.select("block", "index", "term"), ["block", "index"])
+    more = cells.filter("p > q").select("lang_no", "s", "key", gap("p", "q").alias("value"))
+    more = more.join(words.select("key", "term"), "key").join(groups.select("lang_no", "s", "lang", "source"), ["lang_no", "s"])
     more = more.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     more = more.withColumn("rank", rank).filter(F.col("rank") <= top)
