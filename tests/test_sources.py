@@ -2,9 +2,11 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from tickerloom.functions import session as S
 from tickerloom.operators import buckets as B
-from tickerloom.sources import capture, config, flat, store
+from tickerloom.sources import capture, config, flat, landed, store
 
 TRADES = """Size,TICKER, price ,conditions,exchange,tape,participant_timestamp,sip_timestamp,sequence_number,trf_id
 12.75,WIDG,8.125,"14,37",4,3,900,1000,1,x
@@ -146,3 +148,35 @@ def test_a_store_without_a_column_is_refused(spark, tape, tmp_path):
     rows.drop("last_price").write.partitionBy("session_date").parquet(str(tmp_path / "b"))
     with pytest.raises(ValueError, match="last_price"):
         store.read_buckets(spark, str(tmp_path / "b"))
+
+
+def scanned(df):
+    """(rows that the scan gave, its pushed filters) of a collected frame without a shuffle."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.collectToPython()
+    leaf = plan.collectLeaves().apply(0)
+    return leaf.metrics().apply("numOutputRows").value(), leaf.toString()
+
+
+def test_windows_and_universes_reach_the_scan(spark, tmp_path):
+    rows = [(f"S{k % 50:02d}", 1_786_700_000 * 10**9 + k * 10**9, k) for k in range(40_000)]
+    rows += [("ODD", 1_786_700_000 * 10**9 + 5, -1)]
+    tape = spark.createDataFrame(rows, "symbol string, sip_ns bigint, arrival bigint")
+    tape = tape.withColumn("session_date", S.et_date("sip_ns div 1000000000"))
+    path = str(tmp_path / "t")
+    landed.land_tape(tape, path, row_group=16 << 10)
+    assert landed.read_landed(spark, path).count() == len(rows)
+    low, high = rows[9_000][1], rows[9_500][1]
+    window = landed.read_landed(spark, path, None, low, high)
+    assert sorted(r.arrival for r in window.collect()) == list(range(9_000, 9_500))
+    read, text = scanned(window)
+    assert "GreaterThanOrEqual(sip_ns" in text and "LessThan(sip_ns" in text and read < 6_000
+    one = landed.read_landed(spark, path, universe(spark, "ODD"))
+    assert one.count() == 1
+    read, text = scanned(one)
+    assert "symbol" in text.split("PushedFilters")[1] and read < 6_000  # the other files have no such symbol
+    many = spark.createDataFrame([(f"S{k:02d}",) for k in range(80)], "symbol string")
+    assert landed.read_landed(spark, path, many).count() == 40_000
+    landed.land_tape(tape.filter("arrival < 0"), path)  # its session is replaced, the others stay
+    first = tape.filter("arrival < 0").first().session_date
+    assert landed.read_landed(spark, path).count() == 1 + tape.filter(F.col("session_date") != F.lit(first)).count()

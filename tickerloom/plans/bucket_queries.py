@@ -13,7 +13,7 @@ from tickerloom.plans import sqltext as Q
 from tickerloom.plans import stored, tapes
 from tickerloom.plans.base import register, select, shape
 from tickerloom.schema import class_columns
-from tickerloom.sources import flat
+from tickerloom.sources import flat, landed
 
 EVENT, LINE = Q.TAPES["event"], Q.TAPES["line"]
 TRADES = "tape WHERE kind = 'trade'"
@@ -69,6 +69,14 @@ def time_window(spark, sf):
     return shape(flat.time_window(tapes.event_tape(spark, sf), P3_FROM, P3_TO), P3)
 
 
+@register("landed_window", select([EVENT, Q.MEMBERS], P3,
+    f"tape WHERE sip_ns >= {P3_FROM} AND sip_ns < {P3_TO} AND symbol IN (SELECT symbol FROM mem)"))
+def landed_window(spark, sf):
+    """A window and a universe of the landed tape: both are filters of the scan."""
+    path = stored._once(spark, sf, "event_landed", lambda p: landed.land_tape(tapes.event_tape(spark, sf), p))
+    return shape(landed.read_landed(spark, path, tapes.members(spark), P3_FROM, P3_TO), P3)
+
+
 P12 = (
     "i:arrival s:symbol d:et_date i:minute_of_day i:minute_start i:in_regular"
     " i:bucket_start i:open_ns"
