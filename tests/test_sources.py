@@ -92,6 +92,21 @@ def test_torn_lines_are_skipped_and_bad_events_counted(spark, tmp_path):
     assert (s["trades"], s["unknown"], s["status"], s["decode_errs"]) == (0, 1, 1, 3)
 
 
+def test_skipped_lines_are_counted_by_the_job_that_reads(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    lines = ["", f"17 [{T}]", f"18 [{T[:40]}", "x1 []", "19 []", "nospace"]
+    path = write(tmp_path / "c.jsonl", "\n".join(lines))
+    seen = Observation("lines")
+    assert capture.read_capture(spark, path, seen).count() == 2
+    assert seen.get == {"lines": 6, "skipped": 4} == capture.line_stats(spark.read.text(path)).first().asDict()
+    stream = capture.stream_capture(spark, str(tmp_path), observe="lines")
+    out = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ckpt"))
+    query = out.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(p.observedMetrics["lines"]) for p in query.recentProgress if p.numInputRows] == [(6, 4)]
+
+
 def test_too_many_conditions(spark, tmp_path):
     many = T.replace("[14,37]", "[1,3,4,6,11,14,23,27,30]")
     _, d = decoded(spark, tmp_path, [f"17 [{many}]"])

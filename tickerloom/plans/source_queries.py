@@ -1,5 +1,6 @@
 """Queries through the readers and writers, on files Spark writes from the given tables."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tickerloom.plans import sqltext as Q
@@ -95,7 +96,8 @@ def flat_stats(spark, sf):
     return shape(flat.flat_stats(rows), S1S)
 
 
-# Capture: four events to a frame, a status event in every frame of 11, torn lines between.
+# Capture: four events to a frame, a status event in every frame of 11, two bad events in every one of
+# seven, torn and blank lines between.
 PER_FRAME = 4
 
 
@@ -140,7 +142,8 @@ def _capture(spark, sf):
         )
         body = F.array_join(F.transform("evs", lambda e: e["j"]), ",")
         status = F.when(F.col("frame") % 11 == 0, ',{"ev":"status","message":"ok"}').otherwise("")
-        line = F.concat(F.col("recv_ns"), F.lit(" ["), body, status, F.lit("]"))
+        bad = F.when(F.col("frame") % 7 == 0, ',{"ev":"T","sym":"S1","p":"x"},5').otherwise("")
+        line = F.concat(F.col("recv_ns"), F.lit(" ["), body, status, bad, F.lit("]"))
         torn = F.when(F.col("frame") % 13 == 0, F.concat(F.col("recv_ns"), F.lit(' [{"ev":"T","sy')))
         lines = F.explode(F.array_compact(F.array(line, torn, F.when(F.col("frame") % 17 == 0, ""))))
         per.select(lines.alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
@@ -182,7 +185,7 @@ S4S = "i:trades i:quotes i:status i:unknown i:decode_errs i:cond_overflow"
     trades=f"count(*) FILTER (kind = 'trade' AND {KNOWN})",
     quotes=f"count(*) FILTER (kind = 'quote' AND {KNOWN})",
     status="count(DISTINCT arrival // 4) FILTER (arrival // 4 % 11 = 0)",
-    unknown=f"count(*) FILTER (NOT {KNOWN})", decode_errs="0", cond_overflow="0"))
+    unknown=f"count(*) FILTER (NOT {KNOWN})", decode_errs="2 * count(DISTINCT arrival // 4) FILTER (arrival // 4 % 7 = 0)", cond_overflow="0"))
 def capture_stats(spark, sf):
     return shape(capture.capture_stats(decoded(spark, sf, universe(spark))), S4S)
 
@@ -191,13 +194,28 @@ S3 = "i:recv_ns i:events"
 
 
 @register("read_capture", select([EVENT, FRAMES], S3, "fr", "GROUP BY arrival // 4",
-    recv_ns="max(frame_ns)", events="count(*) + CASE WHEN arrival // 4 % 11 = 0 THEN 1 ELSE 0 END"))
+    recv_ns="max(frame_ns)", events="count(*) + CASE WHEN arrival // 4 % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN arrival // 4 % 7 = 0 THEN 2 ELSE 0 END"))
 def read_capture(spark, sf):
     records = capture.read_capture(spark, _capture(spark, sf))
     n = F.size(F.from_json("frame", "array<string>")).alias("events")
     return shape(records.select("recv_ns", n), S3)
 
 
+S3L = "i:lines i:skipped i:records"
+
+
+@register("capture_lines", select([EVENT, "f AS (SELECT DISTINCT arrival // 4 AS f FROM tape)"], S3L, "f",
+    lines="count(*) + count(*) FILTER (f % 13 = 0) + count(*) FILTER (f % 17 = 0)",
+    skipped="count(*) FILTER (f % 13 = 0) + count(*) FILTER (f % 17 = 0)", records="count(*)"))
+def capture_lines(spark, sf):
+    """Lines read and skipped, reported by the job that counts the records."""
+    seen = Observation("capture")
+    records = capture.read_capture(spark, _capture(spark, sf), seen).count()
+    row = spark.range(1).select(F.lit(records).alias("records"), *(F.lit(v).alias(k) for k, v in seen.get.items()))
+    stats = capture.line_stats(spark.read.text(_capture(spark, sf)))  # a scan of its own gives the same
+    return shape(row.join(stats, ["lines", "skipped"]), S3L)
+
+
 S15 = "i:recv_ns s:symbol i:seq"
 
 

@@ -46,32 +46,50 @@ MS = 1_000_000
 FRAME_EVENTS = 1_000_000_000
 
 
-def parse_lines(lines):
-    """(recv_ns, frame) of capture lines; blank and torn lines are left out."""
+def _marked(lines):
+    """(recv_ns, frame, whole) of every capture line; whole: neither blank nor torn."""
     v = F.col("value")
     cut = F.instr(v, " ")
     prefix = F.substring(v, F.lit(1), cut - 1)
     recv = F.when(prefix.rlike("^[+-]?[0-9]+$"), prefix.try_cast("bigint"))
     frame = F.substring(v, cut + 1, F.length(v))
-    whole = F.try_parse_json(frame).isNotNull()
-    return (
-        lines.select(recv.alias("recv_ns"), frame.alias("frame"), cut.alias("cut"))
-        .filter((F.col("cut") > 1) & F.col("recv_ns").isNotNull() & whole)
-        .select("recv_ns", "frame")
-    )
+    rows = lines.select(recv.alias("recv_ns"), frame.alias("frame"), cut.alias("cut"))
+    whole = (F.col("cut") > 1) & F.col("recv_ns").isNotNull() & F.try_parse_json("frame").isNotNull()
+    return rows.select("recv_ns", "frame", F.coalesce(whole, F.lit(False)).alias("whole"))
+
+
+def _line_counts():
+    return [F.count(F.lit(1)).alias("lines"), F.count_if(~F.col("whole")).alias("skipped")]
+
+
+def parse_lines(lines, observe=None):
+    """(recv_ns, frame) of capture lines; blank and torn lines are left out.
+
+    observe: an Observation (batch) or a name (stream) under which the job that reads the records
+    reports `lines` and `skipped`, without a second scan.
+    """
+    rows = _marked(lines)
+    if observe is not None:
+        rows = rows.observe(observe, *_line_counts())
+    return rows.filter("whole").select("recv_ns", "frame")
+
+
+def line_stats(lines):
+    """One row: capture lines, and those of them that are left out."""
+    return _marked(lines).agg(*_line_counts())
 
 
-def read_capture(spark, path):
+def read_capture(spark, path, observe=None):
     """Records of a capture file or directory, plain or gzip."""
-    return parse_lines(spark.read.text(path))
+    return parse_lines(spark.read.text(path), observe)
 
 
-def stream_capture(spark, path, max_files_per_trigger=None):
+def stream_capture(spark, path, max_files_per_trigger=None, observe=None):
     """The same records from files dropped into a directory."""
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return parse_lines(reader.text(path))
+    return parse_lines(reader.text(path), observe)
 
 
 def explode_frames(records):
