@@ -232,6 +232,14 @@ def test_benchmark_outside_the_universe_is_an_error(spark, tape):
         table.basket_table(inp.with_(universe=spark.createDataFrame([("A",)], "symbol string")))
 
 
+def test_a_configuration_is_checked_once(spark, tape):
+    tape.trade("A", at("10:00:00"), 1, 1)
+    inp = inputs(spark, tape, at("10:01:00"), dict(a=["A"]), tickers=ticker_profile(spark, dict(A=1)))
+    assert table.check_configuration(inp).with_(asof=inp.asof).checked and not inp.with_(benchmark="B").checked
+    with pytest.raises(ValueError, match="no baseline"):
+        table.check_configuration(inp.with_(members=members(spark, a=["A", "Z"])))
+
+
 def test_registered_metric(spark, tape):
     tape.trade("A", at("10:00:00"), 5, 1).trade("A", at("10:00:30"), 5, 1)
     fn = lambda inp: inp.buckets.join(inp.members, "symbol").join(inp.asof, "session_date").groupBy(*M.KEYS, "basket").agg(F.sum("trades").alias("prints"))

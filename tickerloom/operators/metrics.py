@@ -73,10 +73,12 @@ class Inputs:
     universe: DataFrame | None = None  # the symbols of the tape, to check the configuration by
     windows: Any = None  # builds the member frame; default: member_windows
     extra: dict = field(default_factory=dict)
+    checked: bool = False  # the configuration has been checked against baselines and universe
 
     def with_(self, **changes):
         """A copy with some fields changed."""
-        return replace(self, **changes)
+        same = not {"members", "tickers", "universe", "benchmark"} & changes.keys()
+        return replace(self, **{"checked": self.checked and same, **changes})
 
     def at(self, at_sec):
         """A copy for one second: the scan is cut to that session and to what came before."""

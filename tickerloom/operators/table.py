@@ -33,10 +33,18 @@ def check_profiles(inp):
 
 
 def check_configuration(inp):
-    """Raise if the benchmark is no symbol of the tape, or a basket member has no baseline."""
+    """Raise if the benchmark is no symbol of the tape, or a basket member has no baseline.
+
+    Inputs that have passed, and copies of them with the same configuration, are not checked again.
+    """
+    if inp.checked:
+        return inp
     if inp.universe is not None and not inp.universe.filter(F.col("symbol") == inp.benchmark).take(1):
         raise ValueError(f"benchmark {inp.benchmark} is not in the universe")
-    return check_profiles(inp) if inp.tickers is not None else inp
+    if inp.tickers is not None:
+        check_profiles(inp)
+    inp.checked = True
+    return inp
 
 
 def view(df, mode="dev", flags=False):
