@@ -75,6 +75,7 @@ def test_audit_equals_brute_force(audited, monkeypatch):
     assert rows(divergence.audit(audited(data, clash=True)), *AUDIT) == want
     monkeypatch.setattr(divergence, "VOCABULARY", 90)  # many vectorizers, shared ones too, tiles and tasks
     monkeypatch.setattr(divergence, "OWN", 2)
+    monkeypatch.setattr(divergence, "HELD", 100)
     monkeypatch.setattr(divergence, "TILE", 2)
     monkeypatch.setattr(divergence, "CELLS", 50)
     assert rows(divergence.audit(audited(data), least=2, top=3), *AUDIT) == brute_audit(data, 2, 3)

@@ -32,6 +32,8 @@ OWN = 64
 #: Sources compared by one task, and cells of groups, about.
 TILE = 256
 CELLS = 1 << 18
+#: Terms that a task holds as text at once.
+HELD = 1 << 18
 #: Between a term and its language where languages share a vectorizer; no term holds it.
 MARK = b"\x00"
 
@@ -120,25 +122,27 @@ def dealt(docs, own, others, columns):
         import zlib
 
         for batch in batches:
-            found = {k: [()] * len(batch) for k in columns}
+            first_row, held, found = 0, 0, {k: [] for k in columns}
             for row, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()))):
                 first, k = own.get(lang, others)
-                if not any(j in found for j in range(first, first + k)):
-                    continue
-                terms = terms_of(text.as_py())
-                if lang not in own:
-                    end = MARK + lang.encode()
-                    terms = [t + end for t in terms]
-                if k == 1:
-                    found[first][row] = terms
-                    continue
-                parts = [[] for _ in range(k)]
-                for t in terms:
-                    parts[zlib.crc32(t) % k].append(t)
-                for j, part in enumerate(parts):
-                    if first + j in found:
-                        found[first + j][row] = part
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(_lists, found.values())], ["group", *names])
+                for lists in found.values():
+                    lists.append(())
+                if any(j in found for j in range(first, first + k)):
+                    terms = terms_of(text.as_py())
+                    held += len(terms)
+                    if lang not in own:
+                        end = MARK + lang.encode()
+                        terms = [t + end for t in terms]
+                    parts = [terms] if k == 1 else [[] for _ in range(k)]
+                    for t in terms if k > 1 else ():
+                        parts[zlib.crc32(t) % k].append(t)
+                    for j, part in enumerate(parts):
+                        if first + j in found:
+                            found[first + j][-1] = part
+                if held > HELD or row == len(batch) - 1:  # few terms at a time
+                    groups = batch.column(0).slice(first_row, row + 1 - first_row)
+                    yield pa.RecordBatch.from_arrays([groups, *map(_lists, found.values())], ["group", *names])
+                    first_row, held, found = row + 1, 0, {k: [] for k in columns}
 
     schema = ", ".join(["group bigint", *(f"{c} array<string>" for c in names)])
     return base.map_arrow(_plain(docs).select("group", "lang", "text"), run, schema)
