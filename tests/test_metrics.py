@@ -254,8 +254,70 @@ def test_registered_metric(spark, tape):
         registry.unregister_metric("prints")
 
 
+def window_metrics(windows=tuple(registry.WINDOWS)):
+    """A metric for each window: a basket's share of prints in it, and its prints."""
+    out = {}
+    for w in windows:
+        sums = {"n": (F.col("trades"), w)}
+        out[f"prints {w}"] = registry.WindowMetric(sums, lambda basket, union: basket("n"))
+        out[f"part {w}"] = registry.WindowMetric(sums, lambda basket, union: basket("n") / F.nullif(union("n"), F.lit(0.0)))
+    return out
+
+
+@pytest.fixture
+def own_metrics():
+    made = window_metrics()
+    for name, m in made.items():
+        registry.register_metric(name, m)
+    yield list(made)
+    for name in made:
+        registry.unregister_metric(name)
+
+
+def test_window_metrics_by_hand(spark, tape, own_metrics):
+    for hms, symbol in (("08:00:00", "A"), ("09:40:00", "A"), ("10:00:10", "A"), ("10:00:20", "B"),
+                        ("10:01:05", "B"), ("10:01:30", "A"), ("10:01:31", "A")):
+        tape.trade(symbol, at(hms), 5, 1)
+    inp = inputs(spark, tape, at("10:01:30"), dict(a=["A"], ab=["A", "B"], quiet=["Z"]), tickers=ticker_profile(spark, dict(A=1, B=1, Z=1)),
+                 baskets=basket_profile(spark, ["a"]), floors=floors(spark))
+    got = by_basket(table.basket_table(inp, extra=own_metrics))
+    counts = {w: (got["a"][f"prints {w}"], got["ab"][f"prints {w}"]) for w in registry.WINDOWS}
+    assert counts == {"previous_bar": (1, 2), "current_bar": (1, 2), "since_open": (3, 5), "completed": (2, 3), "pre_market": (1, 1)}
+    assert got["a"]["part since_open"] == 0.6 and got["quiet"]["part since_open"] == 0.0
+    early = by_basket(table.basket_table(inp.with_(asof=M.asof_literal(spark, at("05:00:00"))), extra=own_metrics))
+    assert early["a"]["part pre_market"] is None  # 0/0 is a gap
+
+
+def test_window_metrics_read_nothing_of_their_own(spark, tape, own_metrics):
+    tape.trade("A", at("10:00:00"), 5, 1)
+    kw = dict(tickers=ticker_profile(spark, dict(A=1)), baskets=basket_profile(spark, ["a"]), floors=floors(spark))
+    inp = inputs(spark, tape, at("10:01:00"), dict(a=["A"]), **kw)
+
+    def reads(df):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        return text.count("LogicalRDD"), text.count("Aggregate ["), text.count("Join ")
+
+    assert reads(table.basket_table(inp, extra=own_metrics)) == reads(table.basket_table(inp))
+    assert reads(table.basket_series(inp, extra=own_metrics)) == reads(table.basket_series(inp))
+
+
+def test_window_metrics_are_checked(spark, tape, own_metrics):
+    with pytest.raises(ValueError, match="next_bar"):
+        registry.WindowMetric({"n": (F.col("trades"), "next_bar")}, lambda basket, union: basket("n"))
+    tape.trade("A", at("10:00:00"), 5, 1)
+    inp = inputs(spark, tape, at("10:01:00"), dict(a=["A"]), tickers=ticker_profile(spark, dict(A=1)))
+    with pytest.raises(ValueError, match="kept windows"):
+        table.basket_table(inp.with_(windows=M.member_windows), extra=own_metrics)
+    registry.register_metric("joined", lambda inp: inp.asof)
+    try:
+        with pytest.raises(ValueError, match="joined"):
+            table.basket_series(inp, extra=["joined"])
+    finally:
+        registry.unregister_metric("joined")
+
+
 @pytest.mark.parametrize("step", [20, 60])
-def test_series_equals_single_renders(spark, step):
+def test_series_equals_single_renders(spark, step, own_metrics):
     import random
 
     rnd, t = random.Random(5), Tape()
@@ -267,10 +329,10 @@ def test_series_equals_single_renders(spark, step):
     kw = dict(tickers=ticker_profile(spark, dict(A=500, B=0, C=100)), baskets=basket_profile(spark, ["x", "y"]), floors=floors(spark))
     inp = inputs(spark, t, at("10:00:00"), dict(x=["A", "B"], y=["B", "C"]), **kw)
     inp = inp.with_(buckets=inp.buckets.cache())
-    series = table.basket_series(inp, step, "dev", 560, 965).cache()
+    series = table.basket_series(inp, step, "dev", 560, 965, own_metrics[1::2]).cache()
     clock = table.series_clock(inp.asof.select("session_date"), step, 560, 965)
-    single = table.basket_table(inp.with_(asof=clock), "dev")
-    rounded = lambda df: df.select(*[F.round(c, 9).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    single = table.basket_table(inp.with_(asof=clock), "dev", extra=own_metrics[1::2])
+    rounded = lambda df: df.select(*[F.round(f"`{c}`", 9).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
     a, b = rounded(series), rounded(single)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

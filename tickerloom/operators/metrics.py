@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions import session as S
 from tickerloom.functions import slices
 from tickerloom.functions.stats import zguard
+from tickerloom.operators import registry
 from tickerloom.operators.baselines import UNION
 from tickerloom.schema import (
     BENCHMARK,
@@ -72,7 +73,7 @@ class Inputs:
     whole: DataFrame | None = None  # the sessions' buckets where `buckets` is cut; default: buckets
     universe: DataFrame | None = None  # the symbols of the tape, to check the configuration by
     windows: Any = None  # builds the member frame; default: member_windows
-    extra: dict = field(default_factory=dict)
+    own: dict = field(default_factory=dict)  # {name: WindowMetric} to compute in the same pass
     checked: bool = False  # the configuration has been checked against baselines and universe
 
     def with_(self, **changes):
@@ -173,6 +174,23 @@ def _slices(inp):
     )
 
 
+def own_sums(inp):
+    """(column, what is summed, window) of every sum that registered metrics add to the pass."""
+    return [
+        (_own(name, part), what.cast("double"), window)
+        for name, metric in inp.own.items()
+        for part, (what, window) in metric.sums.items()
+    ]
+
+
+def _own(name, part):
+    return f"own__{name}__{part}"
+
+
+def _own_names(inp):
+    return [c for c, _, _ in own_sums(inp)]
+
+
 def member_windows(inp):
     """Per as-of second and symbol: dollars and prices of every window (one pass)."""
     bar = 60 * inp.bar_minutes
@@ -185,6 +203,7 @@ def member_windows(inp):
         auctions.alias("auctions"),
         extended.alias("extended"),
         F.when(F.col("trades") > 0, F.col("last_price")).alias("price"),
+        *[what.alias(c) for c, what, _ in own_sums(inp)],
     ).join(clocks(inp.asof, inp.bar_minutes), "session_date")
     rows = rows.filter("second <= at_sec")
 
@@ -205,6 +224,7 @@ def member_windows(inp):
         *[dollars("counted", end[j], end[j - 1], f"bar{j}_d") for j in _BARS],
         f"min_by(price, {when(end[0])}) AS anchor",
         *[f"max_by(price, {when(end[j - 1])}) AS last{j}" for j in _BARS],
+        *[dollars(f"`{c}`", *registry.WINDOWS[w], f"`{c}`") for c, _, w in own_sums(inp)],
     ]
     return rows.groupBy(*KEYS, "symbol").agg(*[F.expr(a) for a in aggs])
 
@@ -224,8 +244,11 @@ def _grid(inp):
 
 def member_frame(inp, breadth=False, volume=False):
     """The grid with each member's windows; price side and volume state when asked for."""
+    if inp.windows and inp.own:
+        raise ValueError("kept windows have no sums of registered metrics")
     build = inp.windows or member_windows
-    df = _grid(inp).join(build(inp), [*KEYS, "symbol"], "left").fillna(0.0, DOLLARS)
+    df = _grid(inp).join(build(inp), [*KEYS, "symbol"], "left")
+    df = df.fillna(0.0, [*DOLLARS, *_own_names(inp)])
     if breadth:
         df = _with_sides(df)
     if volume:
@@ -288,7 +311,7 @@ def _top(dollars):
 def basket_frame(inp, shares=True, baseline=False, breadth=False, volume=False):
     """One row per as-of second and basket with every metric of the families asked for."""
     rows = member_frame(inp, breadth or volume, volume)
-    aggs = [*COUNTS[:1], *[f"sum({c}) AS {c}" for c in SUMS]]
+    aggs = [*COUNTS[:1], *[f"sum(`{c}`) AS `{c}`" for c in (*SUMS, *_own_names(inp))]]
     edges = [
         "open_sec", "bar_sec", "pre_end", "pre_sec", "live_end", "cum_end",
         "bars_done", "prev_regular", "key_minute",
@@ -304,15 +327,22 @@ def basket_frame(inp, shares=True, baseline=False, breadth=False, volume=False):
     df = rows.groupBy(*KEYS, "basket").agg(*aggs)
     if baseline:
         df = _with_baselines(df, inp)
-    return finished(df, shares, baseline, breadth, volume)
+    return finished(df, inp, shares, baseline, breadth, volume)
 
 
-def finished(df, shares, baseline, breadth, volume):
+def finished(df, inp, shares, baseline, breadth, volume):
     """Metrics of rows that hold sums, edges, counts and baselines of baskets and of UNION."""
     at = f"OVER (PARTITION BY {', '.join(KEYS)})"
-    union = [f"max(if(basket = '{UNION}', {c}, NULL)) {at} AS uni_{c}" for c in SUMS]
+    sums = [*SUMS, *_own_names(inp)]
+    union = [f"max(if(basket = '{UNION}', `{c}`, NULL)) {at} AS `uni_{c}`" for c in sums]
     df = df.selectExpr("*", *union).filter(f"basket NOT IN ('{UNION}', '{MARK}')")
-    return _with_metrics(df, shares, baseline, breadth, volume)
+    df = _with_metrics(df, shares, baseline, breadth, volume)
+    for name, metric in inp.own.items():
+        place = lambda part: _own(name, part) if part in metric.sums else part  # noqa: B023
+        of = lambda part: F.col(f"`{place(part)}`")  # noqa: B023
+        of_union = lambda part: F.col(f"`uni_{place(part)}`")  # noqa: B023
+        df = df.withColumn(name, metric.value(of, of_union))
+    return df
 
 
 def _with_baselines(df, inp):

@@ -22,6 +22,11 @@ EDGES = ["open_sec", "close_sec", "pre_sec", "cum_end", "bars_done", "prev_regul
 BAR, EVENT, TICK = 0, 1, 2
 
 
+def _own(inp, *windows):
+    """Columns of registered metrics' sums over these windows."""
+    return [c for c, _, w in M.own_sums(inp) if w in windows]
+
+
 def session_days(dates, from_minute, to_minute):
     """dates (session_date) with the seconds of its session and of the clock."""
     wall = lambda m: S.bucket_start("session_date", m)
@@ -41,6 +46,11 @@ def _prints(inp, days):
     sec, opened = F.col("second"), F.col("open_sec")
     regular = (sec >= opened) & (sec < F.col("close_sec"))
     early = (sec >= F.col("pre_sec")) & (sec < opened)
+    inside = {"since_open": regular, "completed": regular, "pre_market": early}
+    own = [
+        (F.when(inside[w], what).otherwise(0.0) if w in inside else what).alias(c)
+        for c, what, w in M.own_sums(inp)
+    ]
     rows = M.config_rows(inp).join(days, "session_date").filter(sec <= F.col("clock_to"))
     return rows.select(
         "session_date",
@@ -52,6 +62,7 @@ def _prints(inp, days):
         F.when(regular, auctions).otherwise(0.0).alias("auctions"),
         F.when(early, extended).otherwise(0.0).alias("extended"),
         F.when((F.col("trades") > 0) & regular, F.col("last_price")).alias("price"),
+        *own,
     )
 
 
@@ -69,14 +80,16 @@ def bar_windows(inp, prints, days):
         "session_date", "symbol", F.explode(every).alias("bar_sec"),
         F.lit(None).cast("bigint").alias("second"), zero.alias("counted"), zero.alias("auctions"),
         F.lit(None).cast("double").alias("price"),
+        *(zero.alias(c) for c in _own(inp, "previous_bar", "completed")),
     )
-    rows = prints.select(*silent.columns).unionByName(silent)
+    rows = prints.select(*(f"`{c}`" for c in silent.columns)).unionByName(silent)
     traded = F.when(F.col("price").isNotNull(), F.col("second"))
     bars = rows.groupBy("session_date", "symbol", "bar_sec").agg(
         F.sum("counted").alias("counted"),
         F.sum("auctions").alias("auctions"),
         F.min_by("price", traded).alias("first_price"),
         F.max_by("price", traded).alias("last_price"),
+        *(F.sum(f"`{c}`").alias(f"{c}__bar") for c in _own(inp, "previous_bar", "completed")),
     )
     order = W.partitionBy("session_date", "symbol").orderBy("bar_sec")
     before, through = (order.rowsBetween(W.unboundedPreceding, k) for k in (-1, 0))
@@ -85,16 +98,19 @@ def bar_windows(inp, prints, days):
     bars = bars.withColumn("last_to_here", here)
     cols = {
         "cum_d": F.coalesce(F.sum("auctions").over(before), zero),
+        **{c: F.coalesce(F.sum(f"`{c}__bar`").over(before), zero) for c in _own(inp, "completed")},
         "anchor": F.first("first_price", ignorenulls=True).over(before),
         **{f"bar{j}_d": F.lag("counted", j).over(order) for j in M._BARS},
         **{f"last{j}": F.lag("last_to_here", j).over(order) for j in M._BARS},
     }
-    bars = bars.select("*", F.lag("counted", 1).over(order).alias("prev_d"), *(e.alias(c) for c, e in cols.items()))
+    last = {"prev_d": F.lag("counted", 1).over(order)}
+    last |= {c: F.lag(f"`{c}__bar`", 1).over(order) for c in _own(inp, "previous_bar")}
+    bars = bars.select("*", *(e.alias(c) for c, e in (last | cols).items()))
     # After the close the completed windows stay those of the last session bar. A value that
     # is missing at a bar is missing at every earlier one, so carrying it forward is exact.
     in_session = F.col("bar_sec") <= F.col("close_sec")
-    frozen = [F.last(F.when(in_session, F.col(c)), ignorenulls=True).over(through).alias(c) for c in cols]
-    own = ["session_date", F.col("bar_sec").alias("at_sec"), "symbol", "prev_d", *frozen, "clock_from", "clock_to"]
+    frozen = [F.last(F.when(in_session, F.col(f"`{c}`")), ignorenulls=True).over(through).alias(c) for c in cols]
+    own = ["session_date", F.col("bar_sec").alias("at_sec"), "symbol", *(f"`{c}`" for c in last), *frozen, "clock_from", "clock_to"]
     return bars.select(*own).filter("at_sec BETWEEN clock_from AND clock_to").drop("clock_from", "clock_to")
 
 
@@ -109,7 +125,7 @@ def bar_part(inp, prints, days):
     rows = rows.join(M.config_table(inp.members, inp.benchmark), "symbol")
     rows = M._with_volume_state(M._with_sides(rows), inp)
     df = rows.groupBy(*M.KEYS, "basket").agg(
-        *(F.sum(c).alias(c) for c in ("prev_d", "cum_d")),
+        *(F.sum(f"`{c}`").alias(c) for c in ("prev_d", "cum_d", *_own(inp, "previous_bar", "completed"))),
         M._top("prev_d"),
         *(F.first(c).alias(c) for c in EDGES),
         *(F.expr(e) for e in M.COUNTS),
@@ -122,10 +138,11 @@ def events(inp, prints, step):
     """Per session, basket, bar and clock step with prints: dollars that enter, and the largest member
     so far among those that traded.
     """
+    own = _own(inp, "since_open", "pre_market", "current_bar")
     tick = F.col("clock_from") + F.ceil((F.col("second") - F.col("clock_from")) / step) * step
     tick = F.greatest(tick.cast("bigint"), F.col("clock_from")).alias("at_sec")
     steps = prints.groupBy("session_date", "symbol", "bar_sec", tick).agg(
-        *(F.sum(c).alias(c) for c in ("counted", "auctions", "extended"))
+        *(F.sum(f"`{c}`").alias(c) for c in ("counted", "auctions", "extended", *own))
     )
     so_far = W.partitionBy("session_date", "symbol").orderBy("at_sec", "bar_sec")
     so_far = so_far.rowsBetween(W.unboundedPreceding, 0)
@@ -136,6 +153,7 @@ def events(inp, prints, step):
         F.sum("auctions").alias("live_d"),
         F.sum("extended").alias("pre_d"),
         F.sum("counted").alias("cur_d"),
+        *(F.sum(f"`{c}`").alias(c) for c in own),
         top("live"),
         top("pre"),
     )
@@ -168,7 +186,7 @@ def series_frame(inp, step, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
     ticks = ticks.withColumn("bar_sec", S.bar_start("at_sec", "open_sec", inp.bar_minutes)).drop("open_sec")
     bars = bar_part(inp, prints, days)
     keys = ["session_date", "basket", "bar_sec"]
-    bars = bars.select(*keys, F.struct(*(c for c in bars.columns if c not in keys)).alias("bar"))
+    bars = bars.select(*keys, F.struct(*(f"`{c}`" for c in bars.columns if c not in keys)).alias("bar"))
     bars = bars.withColumn("at_sec", F.col("bar_sec")).withColumn("kind", F.lit(BAR))
     rows = ticks.unionByName(bars, True).unionByName(
         events(inp, prints, step).withColumn("kind", F.lit(EVENT)), True
@@ -189,6 +207,8 @@ def series_frame(inp, step, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
         F.min("live_d_top").over(along).alias("live_d_top"),
         F.min("pre_d_top").over(along).alias("pre_d_top"),
         F.coalesce(F.sum("cur_d").over(in_bar), zero).alias("cur_d"),
+        *(F.coalesce(F.sum(f"`{c}`").over(along), zero).alias(c) for c in _own(inp, "since_open", "pre_market")),
+        *(F.coalesce(F.sum(f"`{c}`").over(in_bar), zero).alias(c) for c in _own(inp, "current_bar")),
         F.first("bar", ignorenulls=True).over(in_bar).alias("bar"),
     ).filter(F.col("kind") == TICK)
     df = rows.select("*", "bar.*", "span.*").drop("bar", "span", "kind")
@@ -198,7 +218,7 @@ def series_frame(inp, step, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
         "least(at_sec + 1, open_sec) AS pre_end",
         "cast(lo IS NULL OR at_sec < lo OR at_sec > hi AS int) AS outside",
     )
-    return M.finished(df, shares=True, baseline=True, breadth=True, volume=True)
+    return M.finished(df, inp, shares=True, baseline=True, breadth=True, volume=True)
 
 
 def changes(df, keys, columns):

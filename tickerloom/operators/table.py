@@ -47,8 +47,8 @@ def check_configuration(inp):
     return inp
 
 
-def view(df, mode="dev", flags=False):
-    """The columns of a view of a basket frame, with what the rows are keyed by."""
+def view(df, mode="dev", flags=False, own=()):
+    """The columns of a view of a basket frame and `own`, with what the rows are keyed by."""
     columns = DEV_COLUMNS if mode == "dev" else TRADER_COLUMNS
     out = [*M.KEYS, "basket", *columns]
     if mode == "trader":
@@ -60,20 +60,23 @@ def view(df, mode="dev", flags=False):
             "breadth_flag", display.breadth_flag("breadth_up", "breadth_down", "members")
         )
         out += ["cum_share_z_flag", "breadth_flag"]
-    return df.select(*out, *(["outside"] if "outside" in df.columns else []))
+    return df.select(*out, *own, *(["outside"] if "outside" in df.columns else []))
 
 
 def basket_table(inp, mode="dev", flags=False, extra=()):
     """One row per basket and as-of second; `outside` is 1 where the session has no data around it.
 
     dev: every metric, by name. trader: the since-open set with `row_rank`. `extra` names
-    registered metrics to join in.
+    registered metrics: those made of sums come out of the same pass over the buckets, functions of
+    the inputs are joined in.
     """
     check_configuration(inp)
-    df = view(M.basket_frame(inp, shares=True, baseline=True, breadth=True, volume=True), mode, flags)
+    own = registry.compiled(extra)
+    df = M.basket_frame(inp.with_(own=own), shares=True, baseline=True, breadth=True, volume=True)
+    df = view(df, mode, flags, own)
     span = M.outside_span(inp.buckets if inp.whole is None else inp.whole, inp.asof)
     df = df.join(span, M.KEYS)
-    for name in extra:
+    for name in (n for n in extra if n not in own):
         df = df.join(registry.metric(name)(inp), [*M.KEYS, "basket"], "left")
     return df
 
@@ -87,10 +90,16 @@ def series_clock(dates, step=60, from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE
     )
 
 
-def basket_series(inp, step=60, mode="dev", from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE):
-    """basket_table at every step of each session of inp.asof (session_date); see `series`."""
+def basket_series(inp, step=60, mode="dev", from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE, extra=()):
+    """basket_table at every step of each session of inp.asof (session_date); see `series`.
+
+    `extra` names registered metrics made of sums.
+    """
     check_configuration(inp)
-    return view(series.series_frame(inp, step, from_minute, to_minute), mode)
+    own = registry.compiled(extra)
+    if gone := [n for n in extra if n not in own]:
+        raise ValueError(f"metrics of a series are made of sums: {gone}")
+    return view(series.series_frame(inp.with_(own=own), step, from_minute, to_minute), mode, own=own)
 
 
 def basket_changes(inp, step=1, mode="dev", from_minute=OPEN_MINUTE, to_minute=CLOSE_MINUTE, shaped=None):

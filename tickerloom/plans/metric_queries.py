@@ -303,6 +303,47 @@ def registered_metric(spark, sf):
     return shape(df, UX1)
 
 
+def _block_share():
+    """A metric in the shared pass: a basket's block dollars since the open against all members'."""
+    sums = {"block": (F.col("block_dollars"), "since_open")}
+    return registry.WindowMetric(sums, lambda basket, union: basket("block") / F.nullif(union("block"), F.lit(0.0)))
+
+
+def _block_sql(clock, table):
+    """The SQL of block_share over a clock (session_date, at_sec, open_sec, close_sec)."""
+    return [
+        f"""own_one AS (
+  SELECT session_date, at_sec, symbol, sum(block_dollars) AS block FROM bs JOIN {clock} USING (session_date)
+  WHERE second >= open_sec AND second < least(at_sec + 1, close_sec) GROUP BY ALL)""",
+        """own_uni AS (SELECT session_date, at_sec, sum(block) AS whole FROM own_one
+  WHERE symbol IN (SELECT symbol FROM mem) GROUP BY ALL)""",
+        "own_sum AS (SELECT session_date, at_sec, basket, sum(block) AS part FROM own_one JOIN mem USING (symbol) GROUP BY ALL)",
+        f"""shared AS (
+  SELECT {table}.*, coalesce(part, 0) / nullif(whole, 0) AS block_share
+  FROM {table} LEFT JOIN own_sum USING (session_date, at_sec, basket) LEFT JOIN own_uni USING (session_date, at_sec))""",
+    ]
+
+
+OWN = KEY + "f:flow_share p:block_share"
+
+
+@register("window_metric", select([*FULL_CTES, *_block_sql("clk", "full_table")], OWN, "shared"))
+def window_metric(spark, sf):
+    """The dev table with a metric of the user's own that the shared pass computes."""
+    registry.unregister_metric("block_share")
+    registry.register_metric("block_share", _block_share())
+    return shape(table.basket_table(inputs(spark, sf), extra=["block_share"]), OWN)
+
+
+@register("window_metric_series", select([*SERIES_CTES, *_block_sql("clk", "full_table")], OWN, "shared"))
+def window_metric_series(spark, sf):
+    """The same metric at every minute 04:00-16:15 of every session, from running sums."""
+    registry.unregister_metric("block_share")
+    registry.register_metric("block_share", _block_share())
+    inp = stored.inputs(spark, sf, stored.session_dates(spark, sf, "line"))
+    return shape(table.basket_series(inp, 60, "dev", 240, 975, ["block_share"]), OWN)
+
+
 # Display forms: values are shown to six decimals at most, halves round up.
 def _figures(scale):
     x = f"CAST(v / {scale} AS DECIMAL(30, 6))"
