@@ -12,6 +12,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,6 +59,16 @@ def _lists(found):
     return pa.ListArray.from_arrays(pa.array(ends), pa.array([t for x in found for t in x], pa.binary()).cast(pa.string()))
 
 
+def _split(texts):
+    """Texts of letters and spaces, none at their ends -> the lists of their terms."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+    n = np.diff(lists.offsets.to_numpy())
+    n[[not t for t in texts]] = 0  # an empty text is split into one empty term
+    values = lists.flatten()
+    ends = np.append(0, np.cumsum(n, dtype=np.int64)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values.filter(pc.not_equal(values, "")))
+
+
 def thinned(docs, least):
     """docs -> (lang, terms): each document's different terms, but those that `least` documents of
     its language before it in the same batch hold. As many documents have a term as before, or
@@ -117,6 +128,7 @@ def _column(place, k, term):
 def dealt(docs, own, others, columns):
     """docs -> (group, t<k> ...): every document's terms in those of the columns that count them."""
     names = [f"t{k}" for k in columns]
+    whole = {first for first, k in own.values() if k == 1}  # counted from the text as it is
 
     def run(batches):
         import zlib
@@ -125,9 +137,13 @@ def dealt(docs, own, others, columns):
             first_row, held, found = 0, 0, {k: [] for k in columns}
             for row, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()))):
                 first, k = own.get(lang, others)
-                for lists in found.values():
-                    lists.append(())
-                if any(j in found for j in range(first, first + k)):
+                for j, column in found.items():
+                    column.append(b"" if j in whole else ())
+                if first in whole and first in found:
+                    letters = text.as_py().translate(_TABLE).strip()
+                    held += letters.count(b" ") + 1
+                    found[first][-1] = letters
+                elif any(j in found for j in range(first, first + k)):
                     terms = terms_of(text.as_py())
                     held += len(terms)
                     if lang not in own:
@@ -141,7 +157,8 @@ def dealt(docs, own, others, columns):
                             found[first + j][-1] = part
                 if held > HELD or row == len(batch) - 1:  # few terms at a time
                     groups = batch.column(0).slice(first_row, row + 1 - first_row)
-                    yield pa.RecordBatch.from_arrays([groups, *map(_lists, found.values())], ["group", *names])
+                    lists = [(_split if j in whole else _lists)(column) for j, column in found.items()]
+                    yield pa.RecordBatch.from_arrays([groups, *lists], ["group", *names])
                     first_row, held, found = row + 1, 0, {k: [] for k in columns}
 
     schema = ", ".join(["group bigint", *(f"{c} array<string>" for c in names)])
