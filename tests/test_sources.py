@@ -195,3 +195,19 @@ def test_windows_and_universes_reach_the_scan(spark, tmp_path):
     landed.land_tape(tape.filter("arrival < 0"), path)  # its session is replaced, the others stay
     first = tape.filter("arrival < 0").first().session_date
     assert landed.read_landed(spark, path).count() == 1 + tape.filter(F.col("session_date") != F.lit(first)).count()
+
+
+def test_captured_times_are_whole_milliseconds(spark):
+    from tickerloom.plans import source_queries
+
+    first, n = 1_704_154_120_618, 2000  # divided as doubles, some of these come out less
+    row = dict(symbol="S1", exchange=1, price=1.0, size=1.0, conditions=[1], seq=1, tape=1)
+    row |= dict(bid_exch=1, bid_price=1.0, bid_size=1, ask_exch=1, ask_price=1.0, ask_size=1)
+    ms = spark.range(first, first + n)
+    for k, v in row.items():
+        ms = ms.withColumn(k, F.array(*map(F.lit, v)) if k == "conditions" else F.lit(v))
+    ms = ms.withColumns({"sip_ns": F.col("id") * 1_000_000, "part_ns": F.col("id") * 1_000_000 + 999_000})
+    for kind, names in (("trade", ("t", "pt")), ("quote", ("t",))):
+        event = ms.withColumn("kind", F.lit(kind)).select("id", source_queries._event_json().alias("j"))
+        for name in names:
+            assert event.filter(F.get_json_object("j", f"$.{name}").cast("bigint") == F.col("id")).count() == n

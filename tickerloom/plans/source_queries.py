@@ -102,12 +102,12 @@ PER_FRAME = 4
 
 
 def _event_json():
-    ms = lambda c: F.col(c) / 1_000_000
+    ms = lambda c: F.expr(f"{c} div {capture.MS}")  # a double has not all digits of a nanosecond
     trade = F.to_json(
         F.struct(
             F.lit("T").alias("ev"), F.col("symbol").alias("sym"), F.col("exchange").alias("x"),
             F.col("price").alias("p"), F.col("size").alias("s"), F.col("conditions").alias("c"),
-            ms("sip_ns").cast("bigint").alias("t"), ms("part_ns").cast("bigint").alias("pt"),
+            ms("sip_ns").alias("t"), ms("part_ns").alias("pt"),
             F.col("seq").alias("q"), F.col("tape").alias("z"), F.lit(4).alias("trfi"),
         )
     )
@@ -117,7 +117,7 @@ def _event_json():
             F.col("bid_price").alias("bp"), F.col("bid_size").alias("bs"),
             F.col("ask_exch").alias("ax"), F.col("ask_price").alias("ap"),
             F.col("ask_size").alias("as"), c.alias("c"),
-            ms("sip_ns").cast("bigint").alias("t"), F.col("seq").alias("q"), F.col("tape").alias("z"),
+            ms("sip_ns").alias("t"), F.col("seq").alias("q"), F.col("tape").alias("z"),
         )
     )
     bare = F.get(F.col("conditions"), F.lit(0))
