@@ -113,3 +113,17 @@ def test_sketches_keep_to_their_bound():
         met += bool(keys[0] & keys[1])
     assert met >= 0.98 * total
     assert nearcopies.pieces_for(10**9, 0.8)[0] > bits and nearcopies.pieces_for(1, 0.8) == (bits, pieces)
+
+
+def test_deletion_variants_alone_find_what_is_within_their_bits(docs, spark, monkeypatch):
+    none = spark.createDataFrame([], "u bigint, v bigint, ru bigint, rv bigint")
+    monkeypatch.setattr(nearcopies, "_met", lambda *_: none)
+    texts = near_copies(5, 900, 6)
+    prints = [nearcopies.sketch(np.unique(nearcopies.shingle_hashes(t.encode(), 5)), 1) for t in texts]
+    parts = list(range(len(texts)))
+    for k, f in enumerate(prints):
+        for j in range(k):
+            if np.bitwise_count(f ^ prints[j])[0] <= 4 and jaccard(texts[j], texts[k]) >= 0.8:
+                parts = [parts[j] if x == parts[k] else x for x in parts]
+    assert len(set(parts)) < len(texts)
+    assert len(kept(docs, texts)) == len(set(parts))

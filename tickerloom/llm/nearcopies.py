@@ -1,8 +1,10 @@
 """Near copies by similarity of their shingle sets, found through SimHash and joined without pair lists.
 
 Texts are known by their set of shingles, and by a sketch of it: bits that over half of the hashes
-have, mixed anew for every word of 64 bits. Texts that share a piece of their sketches meet in a
-group; small sets meet by their least hashes instead, which is exact. A group hands on only links
+have, mixed anew for every word of 64 bits. The first word is a SimHash fingerprint: texts whose
+fingerprints `simhash` links by deletion variants are candidates first. Texts at the similarity often
+differ in more bits than that; so texts that share a piece of their sketches meet in a group, too, and
+small sets meet by their least hashes, which is exact. A group hands on only links
 between texts within some bits of each other that join what is still apart, so the links of a
 family go with its members. Components of links are candidates; their members meet once more, with
 their shingles, and again only links that join two parts come out: the components of all pairs of
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickerloom.llm import base, components
+from tickerloom.llm import base, components, simhash
 from tickerloom.llm.simhash import SEED, shingle_hashes
 
 #: Chance that two texts at the similarity share a piece.
@@ -26,8 +28,6 @@ FOUND = 0.99
 PIECE, TEXTS = 18, 1 << 20
 #: Sets of at most this many shingles meet by least hashes, which finds every pair of them.
 SMALL = 64
-#: Keys that the first round looks at: most copies are joined by these.
-FIRST = 8
 #: Words of a sketch that groups compare, and members of a group compared pair by pair.
 WORDS, FEW = 4, 32
 #: Members and shingles of a block; groups beyond are verified block against block.
@@ -242,9 +242,12 @@ def _met(texts, keys, most):
     return base.settled(base.map_arrow(rows, _links(most), "u bigint, v bigint, ru bigint, rv bigint"), "links")
 
 
-def _rooted(texts, links):
-    found = components.roots(links).withColumnRenamed("node", "id")
-    return texts.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _rooted(texts):
+    """texts with `root`: the least id of those whose fingerprints deletion variants link."""
+    found = base.settled(simhash.classes(texts.select(F.col("w0").alias("fp"))), "classes")
+    rows = texts.join(found.select(F.col("fp").alias("w0"), F.col("root").alias("class")), "w0")
+    least = rows.groupBy("class").agg(F.min("id").alias("root"))
+    return rows.join(least, "class").select(*texts.columns, "root")
 
 
 def _same(similarity):
@@ -320,10 +323,10 @@ def classes(texts, similarity, with_text, n):
     with_text(ids) gives the rows with their `text`. Ids without a partner have no row.
     """
     most = bound(64 * WORDS, similarity, 6)
-    first = _met(texts.withColumn("root", F.col("id")), F.slice("keys", 1, FIRST), most)
-    known = base.settled(_rooted(texts, first.select("u", "v")), "rooted")
+    known = base.settled(_rooted(texts), "rooted")
+    first = known.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))
     more = _met(known, F.col("keys"), most)
-    links = first.select("u", "v").union(more.select("u", "v"))
+    links = first.union(more.select("u", "v"))
     found = components.roots(links).withColumnRenamed("node", "id")
     ends = found.select("id", "root").union(found.select(F.col("root").alias("id"), "root").distinct())
     members = with_text(ends).join(texts.select("id", "size", "bits"), "id")
