@@ -177,3 +177,11 @@ def test_busiest_symbols(spark, tape):
     tape.trade("B", 1, 1, 1).quote("B", 1).trade("A", 1, 1, 1).quote("A", 1).trade("C", 1, 1, 1)
     got = book.busiest_symbols(tape.frame(spark), 2).collect()
     assert [(r["symbol"], r["messages"]) for r in got] == [("A", 2), ("B", 2)]
+
+
+def test_no_scan_task_aggregates_buckets(spark, tape):
+    plan = B.bucketize(tape.trade("S1", 1_700_000_000, 1, 1).frame(spark))._jdf.queryExecution().sparkPlan().toString()
+    lines = [line.strip(" :+-*") for line in plan.splitlines()]
+    shuffle = next(k for k, line in enumerate(lines) if line.startswith("Exchange") or "REPARTITION_BY_COL" in line)
+    aggregates = [k for k, line in enumerate(lines) if line.startswith("HashAggregate")]
+    assert aggregates and max(aggregates) < shuffle

@@ -62,10 +62,12 @@ def bucketize(tape):
     """bucket_1s: one row per (symbol, SIP second) that saw a message.
 
     Event time alone decides the bucket, so late prints land in their own second.
-    Sums and the last-price pick combine on the map side; one shuffle on
-    (symbol, second), so a symbol holding most of the tape still spreads by second.
+    One shuffle of narrow rows on (symbol, second), so a symbol holding most of the tape still
+    spreads by second. It comes before the aggregate: a scan task that combined would hold a wide
+    row for nearly every message of its split, a task after the shuffle holds its own buckets.
     """
-    out = _flags(tape).groupBy("symbol", "second").agg(*_bucket_aggregates())
+    rows = _flags(tape).repartition("symbol", "second")
+    out = rows.groupBy("symbol", "second").agg(*_bucket_aggregates())
     return out.withColumn("session_date", S.et_date("second")).select(*BUCKETS.names)
 
 
