@@ -167,3 +167,16 @@ def test_a_growing_file_is_read_once_line_by_line(spark, tmp_path):
     a.write_bytes(b"one\n")
     with pytest.raises(Exception, match="shorter"):
         drain()
+
+
+def test_a_longer_tape_has_more_drop_files_and_as_many_batches(spark, tape, monkeypatch):
+    from tickerloom.plans import stored, stream_queries
+
+    for k in range(64):
+        tape.trade("S1", 1_700_000_000 + k, 1, 1)
+    rows = tape.frame(spark)
+    monkeypatch.setitem(stored.TAPES, "many", lambda spark, sf: rows)
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 4, raising=False)
+    files = spark.read.parquet(stream_queries._drops(spark, "drop-test", "many")).inputFiles()
+    assert len(files) > 2 * stream_queries.SLICES
+    assert spark.read.parquet(*files).count() == 64

@@ -12,6 +12,8 @@ from tickerloom.sources import capture, growing
 from tickerloom.streaming import live
 
 SLICES = 4
+#: Messages of a dropped file: a longer tape has more files, and more of them in a batch.
+FILE_ROWS = 1 << 20
 
 
 def _drops(spark, sf, tape):
@@ -19,15 +21,17 @@ def _drops(spark, sf, tape):
 
     def write(path):
         df = stored.TAPES[tape](spark, sf)
-        df.repartition(SLICES, F.xxhash64("arrival")).write.mode("overwrite").parquet(path)
+        files = SLICES * -(-df.count() // (SLICES * FILE_ROWS))
+        df.repartition(max(files, SLICES), F.xxhash64("arrival")).write.mode("overwrite").parquet(path)
 
     return stored._once(spark, sf, f"{tape}_drops", write)
 
 
 def tape_stream(spark, sf, tape="event"):
     path = _drops(spark, sf, tape)
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    drops = spark.read.parquet(path)
+    batch = -(-len(drops.inputFiles()) // SLICES)
+    return spark.readStream.schema(drops.schema).option("maxFilesPerTrigger", batch).parquet(path)
 
 
 def _drain(stream, observers=(), **kw):
