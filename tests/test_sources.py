@@ -211,3 +211,19 @@ def test_captured_times_are_whole_milliseconds(spark):
         event = ms.withColumn("kind", F.lit(kind)).select("id", source_queries._event_json().alias("j"))
         for name in names:
             assert event.filter(F.get_json_object("j", f"$.{name}").cast("bigint") == F.col("id")).count() == n
+
+
+def test_frames_of_ids_that_a_double_cannot_hold(spark, tmp_path):
+    from tickerloom.plans import source_queries
+
+    first, n, s = 1 << 56, 40, 1_704_467_000
+    events = spark.range(first, first + n).selectExpr(
+        "id AS event_id", f"TIMESTAMP_NTZ'2024-01-05 15:03:20' + make_dt_interval(0, 0, 0, id - {first}) AS ts",
+        "1L AS user_id", "'click' AS event_type", "1.5D AS value", "'{\"k\": 5}' AS props",
+    )
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    recv = {i: (s + i - first) * 10**9 + i * 37 % 1009 * 10**6 for i in range(first, first + n)}
+    frame = {k: max(recv[i] for i in recv if i // 4 == k) for k in {i // 4 for i in recv}}
+    want = sorted((i - 400 * (i % 10 == 3), frame[i // 4]) for i in recv)
+    got = source_queries.decode_trades(spark, str(tmp_path)).select("seq", "recv_ns").collect()
+    assert sorted(map(tuple, got)) == want
